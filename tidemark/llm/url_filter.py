@@ -95,7 +95,7 @@ def judge(pages: DataFrame, sample: int = SAMPLE, trees: int = 8, depth: int = 3
         if len(classes) < 2:
             only = "block" if classes == [1.0] else "allow"
             return ready.select("page_id", "host", "path", "rule", F.coalesce("_verdict", F.lit(only)).alias("verdict"))
-        model = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_said", rawPredictionCol="_raw", probabilityCol="_p",
+        model = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_said",
                               maxIter=trees, maxDepth=depth, maxBins=32, seed=17).fit(train)
     finally:
         train.unpersist()
