@@ -123,4 +123,5 @@ def apply_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     m = measures(docs.select(row, F.col("text")), keep=("_row",))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return m.where(~failed & verdict(rules)).select("_row.*")
+    # a filter would be pushed below the projections and compute every measure again and again
+    return m.select(F.explode(F.when(~failed & verdict(rules), F.array("_row"))).alias("_row")).select("_row.*")
