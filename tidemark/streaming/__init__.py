@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.functions.replay import changes_between
 from tidemark.functions.versions import split_by_frontier
 from tidemark.scratch import new_folder
-from tidemark.sources import M
+from tidemark.sources import M, stream_trace
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,10 +27,23 @@ def event_time(df: DataFrame, version: str = "version") -> DataFrame:
 
 
 def heartbeat(df: DataFrame, version: int) -> DataFrame:
-    """A row that declares all versions below ``version`` closed."""
-    blank = [F.lit(0).cast("bigint").alias(c) if c == M else F.lit(version).cast(t).alias(c) if c == "version" else F.lit(None).cast(t).alias(c)
-             for c, t in df.dtypes]
-    return df.sparkSession.range(1).select(*blank)
+    """A row with multiplicity 0 that declares all versions below ``version`` closed.
+
+    Its other columns hold -1 or an empty string: nulls would turn integers of its batch to floats.
+    """
+    def blank(name: str, kind: str):
+        return F.lit(0 if name == M else version if name == "version" else "" if kind == "string" else -1).cast(kind).alias(name)
+    return df.sparkSession.range(1).select(*[blank(c, t) for c, t in df.dtypes])
+
+
+def feed(batches: Sequence[DataFrame], name: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """A stream that delivers the given tables one micro-batch each, for replays and tests."""
+    spark = batches[0].sparkSession
+    path = new_folder(spark, f"{name}-input")
+    files = max(1, max(-(-b.count() // rows_per_file) for b in batches))
+    for b in batches:
+        b.repartition(files).write.mode("append").parquet(path)
+    return stream_trace(spark, path, batches[0].schema, files)
 
 
 def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -93,9 +106,9 @@ class ClosedVersions(StatefulProcessor):
             for version, value, m in zip(frame["version"], frame["value"], frame[M]):
                 if m == 0:
                     continue  # a heartbeat moves the watermark only
-                at = (int(version), value)
+                at = (int(version), value.item() if hasattr(value, "item") else value)
                 old = self.pending.getValue(at)
-                if old is None and not any(k[0] == at[0] for k in self.pending.keys()):
+                if old is None:
                     self.handle.registerTimer((at[0] + 1) * 1000)
                 self.pending.updateValue(at, ((old[0] if old else 0) + int(m),))
         yield pd.DataFrame(columns=self.names)
