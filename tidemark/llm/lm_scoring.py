@@ -26,6 +26,7 @@ model falls to 1 / (V + 1); other columns never reach a task.
 
 from __future__ import annotations
 
+import gc
 from functools import lru_cache
 
 import numpy as np
@@ -254,6 +255,7 @@ def token_counts(docs: DataFrame) -> tuple[DataFrame, int, int]:
 
 def release(spark) -> None:
     """Lets Spark drop the shuffle files of finished jobs now, not at the driver's next collection."""
+    gc.collect()  # Python's own handles on the jobs' plans go first
     spark._jvm.System.gc()
 
 
@@ -276,10 +278,12 @@ def _histogram(n_total: int, v_total: int):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     two = np.where((p > 0) & (u > 0), np.round(np.log10(p / np.maximum(u, 1) / floor) / STEP), -9999)
                     one = np.where(w > 0, np.round(np.log10(w / max(n_total - 1, 1) / floor) / STEP), -9999)
-                key = np.stack([np.searchsorted(BUCKETS, u, side="right"), two.astype(np.int64), one.astype(np.int64)], axis=1)
-                seen, many = np.unique(key, axis=0, return_counts=True) if len(key) else (key, np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1]), pa.array(seen[:, 2]), pa.array(many.astype(np.int64))],
-                                                 ["bucket", "two", "one", "many"])
+                bucket = np.searchsorted(BUCKETS, u, side="right")
+                key = (bucket * 20_000 + two.astype(np.int64) + 10_000) * 20_000 + one.astype(np.int64) + 10_000
+                seen, many = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (seen // 400_000_000, seen // 20_000 % 20_000 - 10_000, seen % 20_000 - 10_000, many.astype(np.int64))],
+                    ["bucket", "two", "one", "many"])
     return run
 
 

@@ -87,7 +87,7 @@ def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> D
         .otherwise(F.array().cast("array<bigint>")).alias("_h"))
     step = step.withColumn("_o", _by_hash(F.col("_h"))).withColumn("n_repeat_words", _repeat_words(F.col("_o")))
     words = F.greatest("n_words", F.lit(1))
-    return step.select(
+    out = step.select(
         *keep, F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("n_repeat_words") / words).alias("repeat_ratio"),
         (F.col("n_symbols") / words).alias("symbol_ratio"),
@@ -95,6 +95,9 @@ def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> D
         (F.col("n_stop_words") / words).alias("stop_word_ratio"),
         (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_line_ratio"),
         (F.col("n_words") / F.greatest("n_lines", F.lit(1))).alias("longest_line_words"))
+    # A filter on a measure must not be pushed below the projections: it would compute every
+    # measure anew for each use.  Filters do not pass a generator of one row.
+    return out.select(F.explode(F.array(F.struct(*out.columns))).alias("_m")).select("_m.*")
 
 
 def verdict(rules=RULES) -> Column:
@@ -123,5 +126,4 @@ def apply_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     m = measures(docs.select(row, F.col("text")), keep=("_row",))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    # a filter would be pushed below the projections and compute every measure again and again
-    return m.select(F.explode(F.when(~failed & verdict(rules), F.array("_row"))).alias("_row")).select("_row.*")
+    return m.where(~failed & verdict(rules)).select("_row.*")
