@@ -371,12 +371,12 @@ def _(spark, d):
 
 
 _MINIMAL = "SELECT DISTINCT v0, v1 FROM {0} a WHERE NOT EXISTS (SELECT 1 FROM {0} b WHERE b.v0 <= a.v0 AND b.v1 <= a.v1 AND (b.v0 < a.v0 OR b.v1 < a.v1))"
-_HALVES = "f AS (SELECT v0, 6 - v1 AS v1 FROM order_churn2 WHERE v0 + v1 > 4 AND key % 2 = 0), g AS (SELECT v0, v1 FROM order_churn2 WHERE v0 + v1 > 3 AND key % 2 = 1)"
+_HALVES = "f AS (SELECT v0, 6 - v1 AS v1 FROM order_churn2 WHERE v0 >= 3 AND v1 <= 3 AND key % 2 = 0), g AS (SELECT v0, v1 FROM order_churn2 WHERE v0 + v1 > 3 AND key % 2 = 1)"
 
 
 def _halves(spark, d):
     tr = J.order_churn2(spark, d)
-    f = tr.where("v0 + v1 > 4 and key % 2 = 0").select("v0", (6 - F.col("v1")).alias("v1"))
+    f = tr.where("v0 >= 3 and v1 <= 3 and key % 2 = 0").select("v0", (6 - F.col("v1")).alias("v1"))
     return f, tr.where("v0 + v1 > 3 and key % 2 = 1").select("v0", "v1")
 
 
