@@ -38,9 +38,9 @@ def _cutter(path: str, spaced: bool, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for k in range(0, len(texts), 256):
-                for d, ids in zip(names[k:k + 256], encoder(path, spaced).encode_all(texts[k:k + 256])):
+            names, texts = b.column("doc_id").to_pylist(), b.column("text")
+            for k in range(0, len(names), 256):
+                for d, ids in zip(names[k:k + 256], encoder(path, spaced).encode_all(texts.slice(k, 256).to_pylist())):
                     ids += end
                     n = len(ids) // 4
                     stop, start, piece = (n - 1) % length + 1, 0, 0

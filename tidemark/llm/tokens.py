@@ -1,8 +1,10 @@
 """Shared whole-text tokenization with a public tokenizer file, in Spark tasks.
 
-A text is cut at white space into chunks that a tokenizer treats independently of each other;
-each worker encodes a chunk once and keeps its ids in a bounded cache.  ``check_chunking`` in the
-tests compares whole texts with the library.
+A text is cut at white space into chunks, and a chunk of the form punctuation, letters, punctuation
+into these parts; a tokenizer's own pattern splits there too, so their ids follow one another.  Each
+worker asks the library once for each part and keeps its ids, and those of whole chunks, in bounded
+caches.  New parts go to the library joined, where its pattern parts them again.  The tests compare
+whole texts with the library.
 """
 
 from __future__ import annotations
@@ -13,26 +15,43 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE = 400_000
+CHUNKS, PARTS = 200_000, 450_000  # entries that a worker keeps
 # Unicode White_Space, as the tokenizers' own patterns read \s (fixed values).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(f"[^{SPACE}]+")
 # As byte-level patterns do: a word takes one space before it; runs leave their last blank.
 SPACED = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 NOT_ASCII_SPLIT = re.compile("[\x1c-\x1f]")
+PUNCT = r"[!-/:-@\[-`{-~]*"
+CORE = re.compile(f"( ?)({PUNCT})([^\\W\\d_]+)({PUNCT})")
+JOINED = 2048
+
+
+def _low(letters: str) -> str:
+    """Lower case where it goes letter by letter, as the library's does; else the letters as they are."""
+    low = letters.lower()
+    return low if letters.isascii() or max(letters) < "\u0250" and len(low) == len(letters) else letters
 
 
 class ChunkEncoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    ``spaced`` says that the vocabulary keeps white space (byte-level) instead of dropping it.
+    ``spaced`` says that the vocabulary keeps white space (byte-level) instead of dropping it; the
+    other kind lower-cases.
     """
 
     def __init__(self, path: str, spaced: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        # tokens that begin with a space, or that end a word
+        mark = (lambda t: t.startswith("\u0120")) if spaced else (lambda t: t.endswith("</w>"))
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.edge[i] = mark(token)
+        self.line_end = self.tokenizer.token_to_id("\u010a")
+        self.known: dict[str, bytes] = {}  # of chunks
+        self.parts: dict[str, bytes] = {"": b""}
 
     def chunks(self, text: str) -> list[str]:
         if self.spaced:
@@ -41,9 +60,75 @@ class ChunkEncoder:
             return WORDS.findall(text)
         return text.split()
 
-    def learn(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+    def _cut(self, chunk: str) -> tuple[str, ...]:
+        """Parts whose ids make up the chunk's; contractions and anything unusual stay whole."""
+        if not self.spaced:  # the usual cases, without a pattern
+            if chunk.isalpha():
+                return (_low(chunk),)
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                return (_low(chunk[:-1]), chunk[-1])
+        elif self.spaced and chunk[0] == " ":
+            if chunk[1:].isalpha():
+                return (chunk,)
+            if chunk[-1] in ".,;:!?" and chunk[1:-1].isalpha():
+                return (chunk[:-1], chunk[-1])
+        m = CORE.fullmatch(chunk)
+        if m is None or m[2].endswith("'") or not m[3].isalpha():
+            return (chunk,)
+        space, before, core, after = m.groups()
+        if (before or after) and any(x in chunk for x in self.special):
+            return (chunk,)
+        if not self.spaced:
+            core = _low(core)
+        if before:
+            return (space + before, core, after)
+        return (space + core, after)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Asks the library: words go joined and are told apart by their ids, others one by one."""
+        alone: list[str] = []
+        words: list[str] = []  # told apart by their end (kind without space) or their space
+        bare: list[str] = []   # told apart by a line end between them
+        for p in parts:
+            if not self.spaced:
+                (words if p.isalpha() else alone).append(p)
+            elif p[0] == " ":
+                (words if p[1:].isalpha() else alone).append(p)
+            else:
+                (bare if p.isalpha() else alone).append(p)
+        for own, gap in ((words, "" if self.spaced else " "), (bare, "\n")):
+            for k in range(0, len(own), JOINED):
+                group = own[k:k + JOINED]
+                ids = np.array(self.tokenizer.encode_batch_fast([gap.join(group)], add_special_tokens=False)[0].ids, dtype="<u4")
+                if own is bare:
+                    at = np.flatnonzero(ids == self.line_end)
+                    starts, stops = np.r_[0, at + 1], np.r_[at, len(ids)]
+                elif self.spaced:
+                    starts = np.flatnonzero(self.edge[ids])
+                    stops = np.r_[starts[1:], len(ids)]
+                else:
+                    stops = np.flatnonzero(self.edge[ids]) + 1
+                    starts = np.r_[0, stops[:-1]]
+                if len(starts) != len(group):  # some letters do not stay together after all
+                    alone += group
+                    continue
+                raw = ids.tobytes()
+                for p, a, b in zip(group, (4 * starts).tolist(), (4 * stops).tolist()):
+                    self.parts[p] = raw[a:b]
+        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _meet(self, chunks: set[str]) -> None:
+        if len(self.known) > CHUNKS:
+            self.known.clear()
+        if len(self.parts) > PARTS:
+            self.parts = {"": b""}
+        new = list(chunks.difference(self.known))
+        cut = [self._cut(c) for c in new]
+        self._learn(list(set().union(*cut).difference(self.parts)))
+        get = self.parts.__getitem__
+        for c, p in zip(new, cut):
+            self.known[c] = b"".join(map(get, p))
 
     def encode_all(self, texts: list[str], group: int = 256) -> list[bytes]:
         out: list[bytes] = []
@@ -51,9 +136,7 @@ class ChunkEncoder:
             part = texts[k:k + group]
             # special tokens of a vocabulary that keeps white space may split a run of it
             cut = [None if self.spaced and any(s in t for s in self.special) else self.chunks(t) for t in part]
-            if len(self.known) > CACHE:
-                self.known.clear()
-            self.learn(list(set().union(*(c for c in cut if c)).difference(self.known)))
+            self._meet(set().union(*(c for c in cut if c)))
             get = self.known.__getitem__
             for text, c in zip(part, cut):
                 if c is None:
