@@ -6,7 +6,7 @@ any store that Spark reads can hold it):
     magic "TMBP1\\0\\0\\0" | header length u32 | header JSON | planes
 
 Ids are cut into blocks of ``BLOCK``.  A block is a matrix of 32-bit rows; ``unpackbits`` and a
-transpose turn it into 32 bit planes, each compressed alone (unused high planes cost a few bytes).
+transpose turn it into 32 bit planes, each compressed alone (planes of unused high bytes are empty).
 The header is the chunk index: for each block its number of ids and the lengths of its planes, and
 for each document its id and number of ids.
 
@@ -41,11 +41,14 @@ FILES = "part int, file int, n_ids long, image binary"
 
 
 def pack_block(ids: np.ndarray, press: zstandard.ZstdCompressor) -> list[bytes]:
-    """32 compressed bit planes, lowest bit first."""
+    """32 compressed bit planes, lowest bit first; planes of a byte that is always 0 are empty."""
     octets = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
     planes = []
     for k in range(4):
-        column = octets[:, k]
+        column = np.ascontiguousarray(octets[:, k])
+        if not column.any():
+            planes += [b""] * 8
+            continue
         planes += [press.compress(np.packbits(column >> b & 1, bitorder="little").tobytes()) for b in range(8)]
     return planes
 
@@ -53,9 +56,10 @@ def pack_block(ids: np.ndarray, press: zstandard.ZstdCompressor) -> list[bytes]:
 def unpack_block(n: int, planes: list[bytes], unpress: zstandard.ZstdDecompressor) -> np.ndarray:
     octets = np.zeros((n, 4), dtype=np.uint8)
     for i, plane in enumerate(planes):
+        if not plane:
+            continue
         bits = np.unpackbits(np.frombuffer(unpress.decompress(plane), dtype=np.uint8), count=n, bitorder="little")
-        if bits.any():
-            octets[:, i // 8] |= bits << (i % 8)
+        octets[:, i // 8] |= bits << (i % 8)
     return octets.view("<u4").ravel()
 
 
@@ -106,9 +110,9 @@ def _writer(path: str, spaced: bool, end_id: int, file_ids: int):
                 ["part", "file", "n_ids", "image"])
 
         for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for k in range(0, len(texts), 256):
-                for d, i in zip(names[k:k + 256], encoder(path, spaced).encode_all(texts[k:k + 256])):
+            names, texts = b.column("doc_id").to_pylist(), b.column("text")
+            for k in range(0, len(names), 256):
+                for d, i in zip(names[k:k + 256], encoder(path, spaced).encode_all(texts.slice(k, 256).to_pylist())):
                     docs.append(d)
                     held.append(i + end)
                     rows += len(i) // 4 + 1
