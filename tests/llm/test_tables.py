@@ -38,6 +38,23 @@ def test_vectors_find_every_link(spark):
         assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, False)
 
 
+def test_few_probes_keep_the_recall(spark):
+    r = np.random.default_rng(9)
+    centre = r.normal(size=(60, 16))
+    x = (centre[r.integers(0, 60, 600)] + r.normal(scale=0.14, size=(600, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum() - 600
+    q = vector_dedup.Quantiser(unit, 12)
+    own = vector_dedup._nearest(unit, q.centre)
+    may = q.probes(unit, own, float(np.sqrt(0.1)), 3)
+    assert may.sum(axis=1).max() <= 3
+    i, j = np.nonzero(unit @ unit.T >= 0.95)
+    assert may[i, own[j]].mean() >= 0.9
+    got = sum(row.n_links for row in vector_dedup.near_duplicates(df).collect())
+    assert 0.9 * links <= got <= links
+
+
 def test_vectors_without_any(spark):
     df = spark.createDataFrame([(1, None)], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in vector_dedup.near_duplicates(df).collect()] == [(1, 0, 1, True)]
