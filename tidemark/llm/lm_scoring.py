@@ -26,6 +26,8 @@ model falls to 1 / (V + 1); other columns never reach a task.
 
 from __future__ import annotations
 
+import gc
+import time
 from functools import lru_cache
 
 import numpy as np
@@ -252,9 +254,16 @@ def token_counts(docs: DataFrame) -> tuple[DataFrame, int, int]:
     return counts, int(n), int(v)
 
 
-def release(spark) -> None:
-    """Lets Spark drop the shuffle files of finished jobs now, not at the driver's next collection."""
-    spark._jvm.System.gc()
+def release(spark, rounds: int = 2) -> None:
+    """Lets Spark drop the shuffle files of finished jobs now, not at the driver's next collection.
+
+    Python's handles on the plans go first, then the JVM's objects; Spark's cleaner runs beside
+    this thread, and what it frees is collected in the second round.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def _parts(row, n_total: int, v_total: int):
