@@ -55,6 +55,21 @@ def test_few_probes_keep_the_recall(spark):
     assert 0.9 * links <= got <= links
 
 
+def test_links_of_a_large_group_over_many_lists_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "PER_LIST", 50)
+    r = np.random.default_rng(11)
+    n, size = 3_000, 1_000
+    x = r.normal(size=(n, 16))
+    x[:size] = r.normal(size=16) + r.normal(scale=0.12, size=(size, 16))
+    x = x[r.permutation(n)].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert want.max() >= size // 2
+    got = {row.vec_id: row.n_links for row in vector_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(n)] == want.tolist()
+
+
 def test_vectors_without_any(spark):
     df = spark.createDataFrame([(1, None)], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in vector_dedup.near_duplicates(df).collect()] == [(1, 0, 1, True)]

@@ -4,17 +4,18 @@ Coarse lists come from k-means over a bounded sample; each vector belongs to its
 and its residual is coded by one of 256 words in each of eight subspaces.  A query probes every
 list that can hold a linked vector: cosine >= c means a distance of at most r = sqrt(2 - 2c) between
 unit vectors, so the list of centroid k is probed if the query lies within r of the plane between
-its own centroid and k, and k is among the ``PROBES`` nearest ones.  In a list the query's table of subspace distances gives an asymmetric
-distance to every code; as each member also stores the length of its coding error, only members
-with distance <= r + error can be linked, and those get the exact cosine in double precision.
-The bounds lose no link; the limit on probes may, and keeps the work in proportion to the vectors.
-Against brute force 8 probes found every link of 4,000 queries among 10,256 vectors in 21 lists and
-all but fewer than one in 10,000 among 51,282 in 101 (0.9 is asked); the tests measure it again.
-
-Scale.  Exact copies are folded first.  Lists and queries are dealt to tiles (list, members' piece,
-queries' piece) of bounded size, from counts per list (at most ``LISTS`` rows), so a list that holds
-a third of all vectors becomes many tiles.  A tile returns a number of links for each query and a
-spanning forest of the links, never all pairs.
+its own centroid and k.  The rule is symmetric: of two linked vectors each probes the other's list,
+so that an unordered pair of lists is searched once, between the members of either that probe the
+other, and a link is credited to both ends.  In a pair of lists the distance from each query to each
+member's decoded residual is asymmetric; as each member also stores the length of its coding error,
+only members with distance <= r + error can be linked, and those get the exact cosine in double
+precision.  All bounds lose no link: the links equal brute force, whatever the vectors' skew.
+
+Scale.  Exact copies are folded first.  Lists are put together to blocks of bounded size from counts
+per list (at most ``LISTS`` rows), and a list that holds a third of all vectors is dealt over many
+blocks.  A vector goes to a tile (block, block) only if it probes a list of the other block.  A tile
+returns a number of links for each vector and a spanning forest of the links, never all pairs.  Where
+the bound leaves out no list, the pairs searched grow with the square of the distinct vectors.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component link
 with nothing; vectors of different lengths do not link; vectors of another length than the most
@@ -37,7 +38,7 @@ LISTS = 1024
 PER_LIST = 512
 SUBSPACES, WORDS = 8, 256
 PIECE = 1024
-PROBES = 8
+BLOCKS = 8  # at least, if they hold more than a piece
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -91,18 +92,21 @@ class Quantiser:
             self.between = np.sqrt(np.maximum(sq[:, None] + sq - 2 * self.centre @ self.centre.T, 0))
         return self.between
 
-    def near(self, query: np.ndarray, centre: np.ndarray, code: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
-        """Asymmetric distances by table look-up: which (query, member) pairs may be linked?"""
-        shifted = query - centre
-        total = np.zeros((len(query), len(code)), dtype=np.float32)
+    def decoded(self, centre: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The vectors that the codes stand for."""
+        out = np.repeat(centre[None], len(code), axis=0)
         for k, (p, w) in enumerate(zip(self.parts, self.words)):
-            part = shifted[:, p]
-            table = ((part ** 2).sum(axis=1)[:, None] - 2 * part @ w.T + (w ** 2).sum(axis=1)).astype(np.float32)
-            total += table[:, code[:, k]]
+            out[:, p] += w[code[:, k]]
+        return out
+
+    def near(self, query: np.ndarray, decoded: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
+        """Asymmetric distances to decoded members: which (query, member) pairs may be linked?"""
+        query, decoded = query.astype(np.float32), decoded.astype(np.float32)
+        total = (query ** 2).sum(axis=1)[:, None] - 2 * (query @ decoded.T) + (decoded ** 2).sum(axis=1)
         return total <= ((radius + error + 1e-3) ** 2).astype(np.float32)[None]
 
 
-def _unit(values: list) -> np.ndarray:
+def _unit(values: list | np.ndarray) -> np.ndarray:
     x = np.array(values, dtype=np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow in the norm
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -133,81 +137,144 @@ def _fit(distinct: DataFrame, sample: int, lists: int) -> Quantiser | None:
     return Quantiser(_unit([r.v for r in rows]), n_lists)
 
 
-INDEXED = "rep long, copies long, u array<double>, list int, codes array<int>, error double, probes array<int>"
+INDEXED = "rep long, copies long, v {0}, list int, codes binary, error double, probes binary"
+DEALT = "own_group int, low int, high int, block int, " + INDEXED
 
 
-def _index(q: Quantiser, radius: float, most: int):
-    """Every vector's list, codes and probes; vectors of other lengths share the list -dim."""
+def _index(q: Quantiser, radius: float):
+    """Every vector's list, codes and probes (a bit a list); vectors of other lengths share the list -dim."""
     def run(batches):
         for b in batches:
             dims = np.array(b.column("dim").to_pylist())
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
-                u, k = _unit(part.column("v").to_pylist()), part.num_rows
-                for s in range(0, k, 1024):
-                    x = u[s:s + 1024]
+                for s in range(0, part.num_rows, 1024):
+                    rows = part.slice(s, 1024)
+                    n = rows.num_rows
                     if dim == q.dim:
+                        x = _unit(_vectors(rows.column("v")))
                         own = _nearest(x, q.centre)
                         codes, error = q.codes(x - q.centre[own])
-                        codes, probes = codes.tolist(), [np.flatnonzero(r).tolist() for r in q.probes(x, own, radius, most)]
+                        codes = [r.tobytes() for r in codes.astype(np.uint8)]
+                        probes = [r.tobytes() for r in np.packbits(q.probes(x, own, radius, len(q.centre)), axis=1)]
                     else:
-                        own, error = np.full(len(x), -dim), np.zeros(len(x))
-                        codes, probes = [[]] * len(x), [[-int(dim)]] * len(x)
+                        own, error = np.full(n, -dim), np.zeros(n)
+                        codes = probes = [b""] * n
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("rep")[s:s + 1024], part.column("copies")[s:s + 1024], pa.array(x.tolist(), pa.list_(pa.float64())),
-                         pa.array(own, pa.int32()), pa.array(codes, pa.list_(pa.int32())), pa.array(error, pa.float64()), pa.array(probes, pa.list_(pa.int32()))],
-                        ["rep", "copies", "u", "list", "codes", "error", "probes"])
+                        [rows.column("rep"), rows.column("copies"), rows.column("v"), pa.array(own, pa.int32()),
+                         pa.array(codes, pa.binary()), pa.array(error, pa.float64()), pa.array(probes, pa.binary())],
+                        ["rep", "copies", "v", "list", "codes", "error", "probes"])
+    return run
+
+
+def _bits(column, n: int) -> np.ndarray:
+    """Rows of n bits from a binary column."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+    return np.unpackbits(raw, axis=1, count=n).astype(bool)
+
+
+def _places(sizes: dict[int, int], lists: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each list: neighbours share a block up to ``block`` rows."""
+    first, parts = np.zeros(lists, dtype=np.int64), np.ones(lists, dtype=np.int64)
+    at = held = 0
+    for k in range(lists):
+        n = sizes.get(k, 0)
+        if held and held + n > block:
+            at, held = at + 1, 0
+        first[k], parts[k] = at, max(1, -(-n // block))
+        at, held = at + parts[k] - 1, held + n if parts[k] == 1 else block
+    return first, parts
+
+
+def _deal(first: np.ndarray, parts: np.ndarray):
+    """Each vector once for every block of which it probes a list, with both blocks in order."""
+    blocks = int((first + parts).max())
+    of = np.zeros((len(first), blocks), dtype=np.float32)
+    for k in range(len(first)):
+        of[k, first[k]:first[k] + parts[k]] = 1
+
+    def run(batches):
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                rows = b.slice(s, 1024)
+                own = rows.column("list").to_numpy()
+                block = first[own] + rows.column("turn").to_numpy() % parts[own]
+                to = _bits(rows.column("probes"), len(first)).astype(np.float32) @ of > 0
+                i, other = np.nonzero(to)
+                mine = block[i]
+                rows = rows.drop_columns(["turn"]).take(pa.array(i))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.int32()) for x in (np.zeros(len(i)), np.minimum(mine, other), np.maximum(mine, other), mine)] + rows.columns,
+                    ["own_group", "low", "high", "block", *rows.schema.names])
     return run
 
 
 FOUND = "a long, b long, links long"
+SURE = 1e-9  # beyond the rounding of a cosine in double precision
+
+
+def _cosines(x: np.ndarray, y: np.ndarray, cosine: float, may: np.ndarray | None) -> np.ndarray:
+    """Which pairs have the cosine?  ``may`` marks the pairs to look at."""
+    if may is not None and may.mean() < 0.02:
+        i, j = np.nonzero(may)
+        hit = np.zeros_like(may)
+    else:
+        product = x @ y.T
+        hit = product >= cosine + SURE
+        doubt = np.abs(product - cosine) <= SURE
+        if may is not None:
+            hit, doubt = hit & may, doubt & may
+        i, j = np.nonzero(doubt)
+    for k in range(0, len(i), 1 << 15):
+        ii, jj = i[k:k + (1 << 15)], j[k:k + (1 << 15)]
+        hit[ii, jj] = np.einsum("nd,nd->n", x[ii], y[jj]) >= cosine
+    return hit
 
 
 def _tile(q: Quantiser, cosine: float, radius: float):
-    """Links between a tile's queries and members: (query, null, links) and spanning (a, b, null)."""
-    def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        a, b, links = [], [], []
-        if members.num_rows and queries.num_rows:
-            m_rep, q_rep = members.column("rep").to_numpy(), queries.column("q_rep").to_numpy()
-            m_copies = members.column("copies").to_numpy()
-            m_vec = _vectors(members.column("u"))
-            which = members.column("list")[0].as_py()
-            coded = which >= 0
-            if coded:
-                code = np.array(members.column("codes").to_pylist(), dtype=np.int64)
-                error = members.column("error").to_numpy()
-            nodes = np.unique(np.r_[m_rep, q_rep])
-            label = np.arange(len(nodes))
-            m_node = np.searchsorted(nodes, m_rep)
-            for s in range(0, len(q_rep), 256):
-                x = _vectors(queries.column("q_u").slice(s, 256))
-                rep = q_rep[s:s + 256]
-                if coded:
-                    i, j = np.nonzero(q.near(x, q.centre[which], code, error, radius))
-                else:
-                    i, j = np.divmod(np.arange(len(x) * len(m_vec)), len(m_vec))
-                many = np.zeros(len(x), dtype=np.int64)
-                for k in range(0, len(i), 1 << 15):
-                    ii, jj = i[k:k + (1 << 15)], j[k:k + (1 << 15)]
-                    hit = (np.einsum("nd,nd->n", x[ii], m_vec[jj]) >= cosine) & (rep[ii] != m_rep[jj])
-                    ii, jj = ii[hit], jj[hit]
-                    np.add.at(many, ii, m_copies[jj])
-                    merge_labels(label, np.searchsorted(nodes, rep[ii]), m_node[jj])
-                seen = many > 0
-                a.append(rep[seen])
-                links.append(many[seen])
-            counted = [len(x) for x in a]
-            own = np.flatnonzero(label != np.arange(len(nodes)))
-            a.append(nodes[own])
-            b = [None] * sum(counted) + nodes[label[own]].tolist()
-            links = np.concatenate(links).tolist() + [None] * len(own)
-            a = np.concatenate(a).tolist()
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], ["a", "b", "links"])
+    """Links between the vectors of two blocks, or of one: (vector, null, links) and spanning (a, b, null)."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("list").combine_chunks()
+        rep, which, block = (rows.column(c).to_numpy() for c in ("rep", "list", "block"))
+        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+        copies = rows.column("copies").to_numpy().astype(np.float64)
+        x = _unit(_vectors(rows.column("v")))
+        coded = which[0] >= 0
+        if coded:
+            code = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.uint8).reshape(len(rep), -1)
+            error, probes = rows.column("error").to_numpy(), _bits(rows.column("probes"), len(q.centre))
+            decoded = np.concatenate([q.decoded(q.centre[k], code[which == k]) for k in np.unique(which)])
+        many, label = np.zeros(len(rep), dtype=np.int64), np.arange(len(rep))
+        sides = [{k: np.flatnonzero((block == side) & (which == k)) for k in np.unique(which[block == side])} for side in (low, high)]
+        for k, left in sides[0].items():
+            for m, right in sides[1].items():
+                if low == high and m < k:
+                    continue
+                a, b = (left[probes[left, m]], right[probes[right, k]]) if coded else (left, right)
+                same = low == high and k == m
+                for s in range(0, len(a), PIECE):
+                    i = a[s:s + PIECE]
+                    for t in range(s if same else 0, len(b), PIECE):
+                        j = b[t:t + PIECE]
+                        may = q.near(x[i], decoded[j], error[j], radius) if coded else None
+                        if may is not None and not may.any():
+                            continue
+                        hit = _cosines(x[i], x[j], cosine, may)
+                        if same and s == t:
+                            hit = np.triu(hit, 1)
+                        if hit.any():
+                            many[i] += (hit @ copies[j]).astype(np.int64)
+                            many[j] += (copies[i] @ hit).astype(np.int64)
+                            ii, jj = np.nonzero(hit & (label[i][:, None] != label[j]))
+                            merge_labels(label, i[ii], j[jj])
+        seen, own = np.flatnonzero(many), np.flatnonzero(label != np.arange(len(rep)))
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.Table.from_arrays([pa.array(np.r_[rep[seen], rep[own]], pa.int64()), pa.concat_arrays([none(len(seen)), pa.array(rep[label[own]], pa.int64())]),
+                                     pa.concat_arrays([pa.array(many[seen], pa.int64()), none(len(own))])], ["a", "b", "links"])
     return run
 
 
-def near_duplicates(vectors: DataFrame, column: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, lists: int = LISTS, piece: int = PIECE,
-                    probes: int = PROBES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, column: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, lists: int = LISTS, piece: int = PIECE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``."""
     rows, distinct = representatives(vectors, column)
     distinct = saved(distinct, "vectors")
@@ -215,20 +282,19 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", cosine: float
     q = _fit(distinct, sample, lists)
     if q is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    indexed = saved(distinct.select("v", "dim", "rep", "copies").mapInArrow(_index(q, radius, probes), INDEXED), "codes")
-    probing = indexed.select("rep", "u", F.explode("probes").alias("list"))
-    # bounded by the number of lists: pieces of members and of queries
-    size = indexed.groupBy("list").agg(F.count("*").alias("n"))
-    asks = indexed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("k"))
-    tiles = F.broadcast(size.join(asks, "list").select(
-        "list", F.ceil(F.col("n") / piece).cast("int").alias("m_pieces"), F.ceil(F.col("k") / (4 * piece)).cast("int").alias("q_pieces")))
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    members = (indexed.join(tiles, "list").withColumn("m", F.pmod(F.xxhash64("rep"), F.col("m_pieces")).cast("int"))
-               .select("rep", "copies", "u", "list", "codes", "error", "m", every(F.col("q_pieces")).alias("q")))
-    queries = (probing.join(tiles, "list").withColumn("q", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("q_pieces")).cast("int"))
-               .select(F.col("rep").alias("q_rep"), F.col("u").alias("q_u"), F.col("list").alias("list"), F.col("q").alias("q"), every(F.col("m_pieces")).alias("m")))
-    key = ["list", "m", "q"]
-    found = saved(members.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(_tile(q, cosine, radius), FOUND), "links")
+    kind = distinct.schema["v"].dataType.simpleString()
+    indexed = saved(distinct.select("v", "dim", "rep", "copies").mapInArrow(_index(q, radius), INDEXED.format(kind)), "codes")
+    # bounded by the number of lists
+    sizes = {r.list: r.n for r in indexed.where("list >= 0").groupBy("list").agg(F.count("*").alias("n")).collect()}
+    first, parts = _places(sizes, len(q.centre), max(piece, min(8 * piece, -(-sum(sizes.values()) // BLOCKS))))
+    turn = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)).alias("turn")
+    dealt = indexed.where("list >= 0").select("*", turn).mapInArrow(_deal(first, parts), DEALT.format(kind))
+    others = indexed.where("list < 0")
+    blocks = others.groupBy("list").agg(F.ceil(F.count("*") / piece).cast("int").alias("blocks"))
+    others = (others.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select(F.col("list").alias("own_group"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *indexed.columns))
+    found = saved(dealt.unionByName(others).groupBy("own_group", "low", "high").applyInArrow(_tile(q, cosine, radius), FOUND), "links")
     links = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
     joined = components(found.where("b is not null").select("a", "b"))
     per = (distinct.join(links, distinct.rep == links.a, "left").join(joined, F.col("rep") == F.col("node"), "left")
