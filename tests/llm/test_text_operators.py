@@ -5,7 +5,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, namedtuple
 
 import numpy as np
 import pytest
@@ -246,6 +246,25 @@ def test_toxicity_sees_through_disguise(scorer, word):
     assert scorer.score(f"the river {word} over green hills") >= 0.3
 
 
+LETTERS = " ".join("theriveroverthegreenhillswithasmallhouseandastup1dtreenearthewater")
+
+
+@pytest.mark.parametrize("word", ["i, d, i, o, t", "s. t. u. p. i. d.", "iddiot", "iidiot", "1ddi0t", "moroon", LETTERS])
+def test_toxicity_sees_through_more_disguise(scorer, word):
+    assert scorer.score(f"the river {word} over green hills") >= 0.3
+
+
+def test_toxicity_finds_beginnings_in_spaced_text(scorer):
+    own = toxicity.Scorer(scorer.channel, {}, {"stupi": 4.0}, 1.0, 0.0)
+    assert own.evidence("s t u p i d") == own.evidence("stupidity") == 4.0
+
+
+def test_cover_goes_on_after_a_term_without_news():
+    row = namedtuple("row", "term docs odds")
+    rows = [row("a", range(100), 9.0), row("b", [*range(96, 100), *range(200, 204)], 9.0), row("c", range(300, 305), 2.0)]
+    assert toxicity._cover(rows) == {"a": 9.0, "c": 2.0}
+
+
 @pytest.mark.parametrize("text", ["", "the river over green hills", "a a a a a a", "house no. 10 and 3 trees, 50% light!", "x" * 50_000, "a b c d e f g"])
 def test_toxicity_leaves_clean_text_alone(scorer, text):
     assert scorer.score(text) < 0.3

@@ -2,7 +2,8 @@
 
 Channel.  A word's characters span a lattice: a leetspeak symbol may stand for several letters, a
 run of three or more equal letters for one or two, separators between single characters for
-nothing, and a run of single characters between blanks for one word.  A Viterbi pass picks the
+nothing, and a run of single characters between blanks for words without blanks.  Where a reading
+gives no evidence, a doubled letter may also stand for one.  A Viterbi pass picks the
 reading with the highest probability under a character trigram model counted over *all* documents.
 Plain words have one reading and are their own restoration.
 
@@ -37,7 +38,6 @@ from tidemark.llm.common import crc_fold, documents
 SAMPLE_DOCS = 10_000
 FEATURES = 2_000
 CACHE = 400_000
-LONGEST = 40  # collapsed tokens beyond this are identifiers or links, not words
 SPACED_RUN = 4
 THRESHOLD = 0.3
 
@@ -46,6 +46,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 EDGES = ".,;:!?\"'()[]{}<>«»„“”’‘…"
 SEPARATED = re.compile(r"[^\W_]([.\-_*~'][^\W_])+")
+DOUBLED = re.compile(r"([^\W\d_])\1")
 SYMBOLS = 28  # boundary, a-z, any other letter
 
 
@@ -94,39 +95,41 @@ class Channel:
         p3 = (counts + 20 * p2[None]) / (counts.sum(axis=2, keepdims=True) + 20)
         self.log = np.log(p3)
 
-    def lattice(self, word: str) -> list[list[tuple[str, float]]]:
-        """Readings of each run of equal characters with their channel costs."""
+    def lattice(self, word: str, doubled: bool = False) -> list[list[tuple[str, float]]]:
+        """Readings of each run of equal characters with their channel costs; ``doubled``: two letters may be one."""
         if SEPARATED.fullmatch(word):
             word = re.sub(r"[.\-_*~']", "", word)
         out = []
         for c, run in groupby(word):
             n = len(list(run))
             if c.isalpha():
-                out.append([(c * n, 0.0)] if n < 3 else [(c, -0.5), (c * 2, -1.0)])
+                out.append([(c, -0.5), (c * 2, -1.0)] if n > 2 else [(c * 2, 0.0), (c, -2.5)] if n == 2 and doubled else [(c * n, 0.0)])
             elif c in LEET:
                 out.append([(x * k, -1.0 - 0.5 * (n != k)) for x in LEET[c] for k in {1, min(n, 2)}])
             else:
                 out.append([("", -1.0)])
         return out
 
-    def restore(self, word: str) -> str:
-        steps = self.lattice(word)
-        if len(steps) > LONGEST:
-            return word
-        best = {(0, 0): (0.0, "")}
-        for options in steps:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, said) in best.items():
+    def restore(self, word: str, doubled: bool = False) -> str:
+        best: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None, "")}  # score, step before, letters
+        for options in self.lattice(word, doubled):
+            new: dict[tuple[int, int], tuple] = {}
+            for (a, b), before in best.items():
                 for text, cost in options:
-                    x, y, s = a, b, score + cost
+                    x, y, s = a, b, before[0] + cost
                     for c in text:
                         k = letter(c)
                         s += self.log[x, y, k]
                         x, y = y, k
                     if (x, y) not in new or new[x, y][0] < s:
-                        new[x, y] = (s, said + text)
+                        new[x, y] = (s, before, text)
             best = new
-        return max(((s + self.log[a, b, 0], said) for (a, b), (s, said) in best.items()), default=(0.0, ""))[1]
+        step = max(((v[0] + self.log[a, b, 0], v) for (a, b), v in best.items()), key=lambda e: e[0])[1]
+        said = []
+        while step[1] is not None:
+            said.append(step[2])
+            step = step[1]
+        return "".join(reversed(said))
 
 
 class Scorer:
@@ -135,7 +138,9 @@ class Scorer:
     def __init__(self, channel: Channel, words: dict[str, float], starts: dict[str, float], slope: float, base: float):
         self.channel, self.words, self.starts, self.slope, self.base = channel, words, starts, slope, base
         self.sizes = sorted({len(s) for s in starts})
-        self.known: dict[str, tuple[str, float] | None] = {}
+        self.known: dict[str, tuple[tuple[str, float] | None, bool]] = {}
+        self.spelt = {DOUBLED.sub(r"\1", w) for w in words} | {DOUBLED.sub(r"\1", w) for w in starts}
+        self.spelt_sizes = sorted({len(w) for w in self.spelt})
 
     def _weigh(self, word: str) -> tuple[str, float] | None:
         w = self.words.get(word, 0.0)
@@ -146,14 +151,21 @@ class Scorer:
                 best = (word[:n], v)
         return best if best[1] > 0 else None
 
+    def _doubled(self, plain: str) -> tuple[str, float] | None:
+        """Evidence of a plain word whose doubled letters may be single; others are not decoded."""
+        single = DOUBLED.sub(r"\1", plain)
+        if len(single) == len(plain) or not any(single[:n] in self.spelt for n in self.spelt_sizes):
+            return None
+        return self._weigh(self.channel.restore(plain, True))
+
     def _word(self, token: str) -> tuple[str, float] | None:
         plain = token.strip(EDGES)
         if plain.isalpha() and not any(a == b == c for a, b, c in zip(plain, plain[1:], plain[2:])):
-            return self._weigh(plain)
+            return self._weigh(plain) or self._doubled(plain)
         found = None
         for piece in {plain, token} if plain != token and any(c in LEET for c in token) else {plain}:
             if any(c.isalpha() for c in piece):
-                found = found or self._weigh(self.channel.restore(piece))
+                found = found or self._weigh(self.channel.restore(piece)) or (self._weigh(self.channel.restore(piece, True)) if DOUBLED.search(piece) else None)
         if found is None and "-" in plain or "/" in plain:
             for piece in re.split(r"[-/]", plain):
                 found = found or (self._weigh(piece) if piece.isalpha() else None)
@@ -166,24 +178,28 @@ class Scorer:
             if single:
                 letters = "".join(t.strip(EDGES) or t for t in run)
                 if SPACED_RUN <= len(letters) and len(set(letters)) > 1:
-                    said = self.channel.restore(letters)
-                    out += [(w, v) for w, v in self.words.items() if len(w) >= SPACED_RUN and w in said]
+                    said = {self.channel.restore(letters), self.channel.restore(letters, True)}
+                    words = [(w, v) for w, v in self.words.items() if len(w) >= SPACED_RUN and any(w in x for x in said)]
+                    out += words + [(s, v) for s, v in self.starts.items() if any(s in x for x in said) and not any(w.startswith(s) and u >= v for w, u in words)]
         return out
 
     def evidence(self, text: str) -> float:
         tokens = text.lower().split()
-        known, found = self.known, {}
+        known, found, singles = self.known, {}, set()
         if len(known) > CACHE:
             known.clear()
         for t in set(tokens):
             if t in known:
-                hit = known[t]
+                hit, single = known[t]
             else:
-                hit = known[t] = self._word(t)
+                hit, single = known[t] = self._word(t), len(t.strip(EDGES) or t) == 1
             if hit is not None:
                 found[hit[0]] = hit[1]
-        if sum(map((1).__eq__, map(len, tokens))) >= SPACED_RUN:
-            found.update(self._spaced(tokens))
+            if single:
+                singles.add(t)
+        if singles and sum(map(singles.__contains__, tokens)) >= SPACED_RUN:
+            for w, v in self._spaced(tokens):
+                found[w] = max(v, found.get(w, v))
         return math.fsum(sorted(found.values()))
 
     def score(self, text: str) -> float:
@@ -202,14 +218,13 @@ def _cover(rows, fewest: int = 5) -> dict[str, float]:
     left = {r.term: set(r.docs) for r in rows}
     odds = {r.term: r.odds for r in rows}
     kept: dict[str, float] = {}
-    explained: set[int] = set()
     while left:
-        term = max(left, key=lambda t: (len(left[t] - explained) * odds[t], t))
-        new = left.pop(term) - explained
+        term = max(left, key=lambda t: (len(left[t]) * odds[t], t))
+        new = left.pop(term)
         if len(new) < fewest:
-            break
+            continue
         kept[term] = odds[term]
-        explained |= new
+        left = {t: rest for t, d in left.items() if len(rest := d - new) >= fewest}
     return kept
 
 
