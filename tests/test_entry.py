@@ -35,6 +35,22 @@ def test_query_equals_sql(spark, name):
     assert normal(got) == normal(want)
 
 
+WHOLE = ["i1_iterate", "i3_bounded", "i4_semi_naive"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", WHOLE)
+def test_iteration_over_every_key(spark, name):
+    from tidemark.plans import catalog as c
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    got, want = c.QUERIES[f"{name}_whole"](spark, SF).toPandas(), con.execute(c.ORACLE[f"{name}_whole"]).df()
+    assert normal(got) == normal(want)
+    keys = {r[0] for r in con.execute("select distinct o_custkey from orders").fetchall()}
+    assert len(keys) > 60 and keys <= set(got.x)
+
+
 def test_entry_without_llm(monkeypatch):
     for name in [n for n in sys.modules if n.startswith("tidemark.llm") or n in ("corpus_pipeline", "__spark_entry__")]:
         monkeypatch.delitem(sys.modules, name)

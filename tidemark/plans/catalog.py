@@ -396,6 +396,33 @@ def _(spark, d):
     return V.not_covered(V.minimal_versions(f, ["v0", "v1"]), g.distinct(), ["v0", "v1"])
 
 
+# Whole tables: every order and line item, versions (day, digit).
+_DAYS = ("f AS (SELECT DISTINCT datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS v0, 8 - l_linenumber AS v1 FROM lineitem), "
+         "g AS (SELECT DISTINCT datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS v0, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS v1 FROM orders)")
+
+
+def _days(spark, d):
+    day = lambda c: F.datediff(F.col(c), F.lit("1992-01-01").cast("date")).alias("v0")
+    f = J.read(spark, d, "lineitem").select(day("l_shipdate"), (8 - F.col("l_linenumber")).cast("int").alias("v1"))
+    return f.distinct(), J.read(spark, d, "orders").select(day("o_orderdate"), F.substring("o_orderpriority", 1, 1).cast("int").alias("v1")).distinct()
+
+
+@query("v11_minimal_whole", sql(_MINIMAL.format("order_churn2"), "order_churn2"))
+def _(spark, d):
+    return V.minimal_versions(J.order_churn2(spark, d).select("v0", "v1"), ["v0", "v1"])
+
+
+@query("v12_meet_whole", sql(_MINIMAL.format("u"), more=_DAYS + ", u AS (SELECT * FROM f UNION SELECT * FROM g)"))
+def _(spark, d):
+    return V.frontier_meet(*_days(spark, d), ["v0", "v1"])
+
+
+@query("v13_frontier_leq_whole", sql("SELECT DISTINCT v0, v1 FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.v0 <= g.v0 AND f.v1 <= g.v1)", more=_DAYS))
+def _(spark, d):
+    f, g = _days(spark, d)
+    return V.not_covered(V.minimal_versions(f, ["v0", "v1"]), g, ["v0", "v1"])
+
+
 @query("v14_split", sql("SELECT key, value, v0, v1, NOT ((2 <= v0 AND 1 <= v1) OR (1 <= v0 AND 3 <= v1)) AS closed FROM order_churn2", "order_churn2"))
 def _(spark, d):
     closed, opened = V.split_by_frontier(J.order_churn2(spark, d).drop(M), ["v0", "v1"], [(2, 1), (1, 3)])
@@ -461,6 +488,40 @@ def _(spark, d):
     return I.iterate_trace(_closure_trace(spark, d), J.closure_step(500, lambda x: x * 3))
 
 
+# Whole tables: every key, closed up to the largest key.
+_ALL_SEEDS = "s AS (SELECT DISTINCT o_custkey AS x FROM orders WHERE o_custkey IS NOT NULL), top AS (SELECT max(x) AS t FROM s)"
+_ALL_CLOSED = _ALL_SEEDS + ", c AS (SELECT x FROM s UNION SELECT {0} FROM c, top WHERE {0} <= t)"
+_ALL_ROUNDS = _ALL_SEEDS + ", c AS (SELECT x, 0 AS r FROM s UNION SELECT x * 2, r + 1 FROM c, top WHERE x * 2 <= t{0})"
+
+
+def _all_seeds(spark, d) -> tuple[DataFrame, int]:
+    """Every customer key of the orders, and the largest."""
+    seeds = S.collection(J.read(spark, d, "orders").select(F.col("o_custkey").cast("bigint").alias("x")).where("x is not null").distinct())
+    return seeds, _top(seeds)
+
+
+def _top(df: DataFrame) -> int:
+    return df.agg(F.max("x")).first()[0] or 0
+
+
+@query("i1_iterate_whole", sql(f"SELECT x, {ONE} AS multiplicity FROM c", more=_ALL_CLOSED.format("x * 2"), recursive=True))
+def _(spark, d):
+    seeds, top = _all_seeds(spark, d)
+    return I.iterate(seeds, J.closure_step(top, lambda x: x * 2))
+
+
+@query("i4_semi_naive_whole", sql(f"SELECT x, {ONE} AS multiplicity FROM c", more=_ALL_CLOSED.format("x * 2"), recursive=True))
+def _(spark, d):
+    seeds, top = _all_seeds(spark, d)
+    return I.iterate_insert_only(seeds, lambda df: df.withColumn("x", F.col("x") * 2).where(F.col("x") <= top))
+
+
+@query("i3_bounded_whole", sql(f"SELECT DISTINCT x, {ONE} AS multiplicity FROM c", more=_ALL_ROUNDS.format(" AND r < 3"), recursive=True))
+def _(spark, d):
+    seeds, top = _all_seeds(spark, d)
+    return I.iterate(seeds, J.closure_step(top, lambda x: x * 2), max_rounds=3, on_limit="return")
+
+
 # ---- user functions ----------------------------------------------------------------------------
 
 @query("u1_map", sql("SELECT key, value * 2 + 1 AS value, multiplicity FROM order_churn", "order_churn"))
