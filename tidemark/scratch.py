@@ -1,7 +1,8 @@
 """Tables that cut lineage, below the shared folder that the session names.
 
-``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, notebooks) a
-temporary folder is chosen.  A written table survives lost executors; localCheckpoint would not.
+``spark.checkpoint.dir`` is read from the session.  Where it is unset a cluster uses its warehouse,
+which executors share, and a local session (tests, notebooks) a temporary folder.  A written table
+survives lost executors; localCheckpoint would not.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tidemark-")
     return _own_dir
@@ -40,8 +44,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once and read it back: a lost executor costs a re-read, plans stay short."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``saved`` returned; nothing may read them any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch_path)
