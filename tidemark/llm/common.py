@@ -1,50 +1,12 @@
-"""Shared pieces of the training-data operators: scratch tables, components, input shaping.
-
-Scratch tables go below the folder that the session names in ``spark.checkpoint.dir`` because
-executors and driver share no local disk.  Only where that setting is absent (tests, notebooks)
-a temporary folder is chosen.
-"""
+"""Shared pieces of the training-data operators: components, input shaping."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_own_dir: str | None = None
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    global _own_dir
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="tidemark-")
-    return _own_dir
-
+from tidemark.scratch import saved
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the JVM may be gone already; the folder is scratch space
-        pass
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once below the shared scratch folder and read it back.
-
-    This cuts lineage, so that a lost executor costs a re-read and not a re-computation, and
-    keeps driver loops from planning ever longer queries.  Folders go when Python exits.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "crc_fold", "documents", "saved", "table"]
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
