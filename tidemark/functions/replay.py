@@ -10,9 +10,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.functions.values import arrow_schema, columns_of, rank, rows_of
 from tidemark.sources import M
 
 Weighted = list[tuple[tuple, int]]
@@ -24,8 +25,8 @@ class RunningExtreme:
     def __init__(self, greatest: bool):
         self.greatest, self.net, self.heap = greatest, {}, []
 
-    def _rank(self, v):
-        return _Reversed(v) if self.greatest else v
+    def _entry(self, v):
+        return (_Reversed(rank(v)) if self.greatest else rank(v)), v
 
     def apply(self, changes: Weighted) -> None:
         for v, m in changes:
@@ -33,7 +34,7 @@ class RunningExtreme:
             if new < 0:
                 raise ValueError(f"negative net multiplicity of {v}")
             if new and v not in self.net:
-                heapq.heappush(self.heap, self._rank(v))
+                heapq.heappush(self.heap, self._entry(v))
             if new:
                 self.net[v] = new
             else:
@@ -41,7 +42,7 @@ class RunningExtreme:
 
     def answer(self) -> Weighted:
         while self.heap:
-            top = self.heap[0].value if self.greatest else self.heap[0]
+            top = self.heap[0][1]
             if top in self.net:
                 return [(top, 1)]
             heapq.heappop(self.heap)
@@ -57,6 +58,14 @@ class _Reversed:
     def __lt__(self, other):
         return other.value < self.value
 
+    def __eq__(self, other):
+        return self.value == other.value
+
+
+def in_order(net: dict) -> Weighted:
+    """(value, multiplicity) by value, nulls first."""
+    return sorted(net.items(), key=lambda e: rank(e[0]))
+
 
 class Replay:
     """A key's weighted values and what a user function makes of them."""
@@ -73,7 +82,7 @@ class Replay:
                 self.net.pop(v, None)
 
     def answer(self) -> Weighted:
-        return self.f(sorted(self.net.items())) if self.net else []
+        return self.f(in_order(self.net)) if self.net else []
 
 
 def changes_between(old: Weighted, new: Weighted) -> Weighted:
@@ -81,7 +90,7 @@ def changes_between(old: Weighted, new: Weighted) -> Weighted:
     for rows, sign in ((old, -1), (new, 1)):
         for v, m in rows:
             net[v] = net.get(v, 0) + sign * m
-    return sorted((v, m) for v, m in net.items() if m)
+    return in_order({v: m for v, m in net.items() if m})
 
 
 def replay(tr: DataFrame, key: Sequence[str], value: Sequence[str], make: Callable[[], object], result: str, version: str = "version") -> DataFrame:
@@ -89,10 +98,10 @@ def replay(tr: DataFrame, key: Sequence[str], value: Sequence[str], make: Callab
     types = dict(tr.dtypes)
     summed = tr.groupBy(*key, *value, version).agg(F.sum(M).alias(M)).where(F.col(M) != 0)
     dealt = summed.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key, version, *value)
-    spec = ", ".join([*(f"{k} {types[k]}" for k in key), result, f"{M} bigint", f"{version} {types[version]}"])
-    names = [*key, *[c.split()[0] for c in result.split(",")], M, version]
+    spec = ", ".join([*(f"`{k}` {types[k]}" for k in key), result, f"{M} bigint", f"`{version}` {types[version]}"])
+    schema, width = arrow_schema(spec), len(key)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, at, said, pending = None, None, [], []
 
         def close():
@@ -103,19 +112,19 @@ def replay(tr: DataFrame, key: Sequence[str], value: Sequence[str], make: Callab
             said = new
             return rows
 
-        for frame in frames:
+        for batch in batches:
             out = []
-            for row in frame[[*key, version, *value, M]].itertuples(index=False, name=None):
-                here = (row[:len(key)], row[len(key)])
+            for row in rows_of([batch.column(c) for c in (*key, version, *value, M)]):
+                here = (row[:width], row[width])
                 if here != at:
                     if at is not None:
                         out += close()
                     if at is None or here[0] != at[0]:
                         state, said = make(), []
                     at, pending = here, []
-                pending.append((row[len(key) + 1:-1], row[-1]))
-            yield pd.DataFrame(out, columns=names)
+                pending.append((row[width + 1:-1], row[-1]))
+            yield pa.RecordBatch.from_arrays(columns_of(out, schema), schema=schema)
         if at is not None:
-            yield pd.DataFrame(close(), columns=names)
+            yield pa.RecordBatch.from_arrays(columns_of(close(), schema), schema=schema)
 
-    return dealt.mapInPandas(run, spec)
+    return dealt.mapInArrow(run, spec)

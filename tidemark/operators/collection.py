@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.values import arrow_schema, columns_of, rank, rows_of
 from tidemark.sources import M
 
 
@@ -121,14 +122,17 @@ def reduce_groups(df: DataFrame, key: Sequence[str], value: Sequence[str],
     """``f`` maps a key's weighted values to weighted results; ``schema`` names the results' columns.
 
     Values are consolidated first, so a group holds its distinct values and not its rows; one
-    group's distinct values must fit a task, as ``f`` wants them together.
+    group's distinct values must fit a task, as ``f`` wants them together.  ``f`` sees them in order,
+    nulls first and integers exact.
     """
-    spec = f"{', '.join(f'{c} {t}' for c, t in df.dtypes if c in key)}, {schema}, {M} bigint"
-    names = [*key, *[c.split()[0] for c in schema.split(",")], M]
+    types = dict(df.dtypes)
+    spec = ", ".join([*(f"`{k}` {types[k]}" for k in key), schema, f"{M} bigint"])
+    shape = arrow_schema(spec)
 
-    def run(ids: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        weighted = sorted(zip(map(tuple, group[list(value)].itertuples(index=False)), group[M]))
-        return pd.DataFrame([(*ids, *result, m) for result, m in f([(v, int(m)) for v, m in weighted])], columns=names)
+    def run(group: pa.Table) -> pa.Table:
+        ids = rows_of([group.column(k).slice(0, 1) for k in key])[0] if key else ()
+        weighted = sorted(zip(rows_of([group.column(v) for v in value]), group.column(M).to_pylist()), key=lambda e: rank(e[0]))
+        return pa.Table.from_arrays(columns_of([(*ids, *result, m) for result, m in f(weighted)], shape), schema=shape)
 
     bare = consolidate(df.select(*key, *value, M))
-    return bare.groupBy(*key).applyInPandas(run, spec)
+    return bare.groupBy(*key).applyInArrow(run, spec)

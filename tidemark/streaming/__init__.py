@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.functions.replay import changes_between
+from tidemark.functions.replay import changes_between, in_order
 from tidemark.functions.versions import split_by_frontier
 from tidemark.scratch import new_folder
 from tidemark.sources import M, stream_trace
@@ -29,10 +28,10 @@ def event_time(df: DataFrame, version: str = "version") -> DataFrame:
 def heartbeat(df: DataFrame, version: int) -> DataFrame:
     """A row with multiplicity 0 that declares all versions below ``version`` closed.
 
-    Its other columns hold -1 or an empty string: nulls would turn integers of its batch to floats.
+    Its other columns are null.
     """
     def blank(name: str, kind: str):
-        return F.lit(0 if name == M else version if name == "version" else "" if kind == "string" else -1).cast(kind).alias(name)
+        return F.lit(0 if name == M else version if name == "version" else None).cast(kind).alias(name)
     return df.sparkSession.range(1).select(*[blank(c, t) for c, t in df.dtypes])
 
 
@@ -75,11 +74,14 @@ def stream_consolidate(stream: DataFrame, record: Sequence[str]) -> DataFrame:
 
 
 def stream_join(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Each side's changes meet the other side's history; state grows with history by design."""
+    """Each side's changes meet the other side's history; state grows with history by design.
+
+    Null keys match, as in the batch join: a state row is found by the key with null made a value.
+    """
     right = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
                      *[F.col(c).alias(f"{c}_right" if c in a.columns else c) for c in b.columns if c not in (*key, M, "version")],
                      F.col(M).alias("_m"), F.col("version").alias("_v"))
-    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key)]
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
     values = [c for c in right.columns if not c.startswith("_")]
     kept = [c for c in a.columns if c not in (M, "version")]
     return a.join(right, on, "inner").select(*kept, *values, F.greatest("version", "_v").alias("version"), (F.col(M) * F.col("_m")).alias(M))
@@ -101,19 +103,18 @@ class ClosedVersions(StatefulProcessor):
         self.live = handle.getMapState("live", f"value {self.kind}", "m bigint")
         self.touched = handle.getValueState("touched", "seen boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for version, value, m in zip(frame["version"], frame["value"], frame[M]):
-                if m == 0:
-                    continue  # a heartbeat moves the watermark only
-                at = (int(version), value.item() if hasattr(value, "item") else value)
-                old = self.pending.getValue(at)
-                if old is None:
-                    self.handle.registerTimer((at[0] + 1) * 1000)
-                self.pending.updateValue(at, ((old[0] if old else 0) + int(m),))
-        yield pd.DataFrame(columns=self.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for row in rows:
+            if row[M] == 0:
+                continue  # a heartbeat moves the watermark only
+            at = (row["version"], row["value"])
+            old = self.pending.getValue(at)
+            if old is None:
+                self.handle.registerTimer((at[0] + 1) * 1000)
+            self.pending.updateValue(at, ((old[0] if old else 0) + row[M],))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         through = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
         waiting: dict[int, list] = {}
         for (version, value), (m,) in list(self.pending.iterator()):
@@ -123,7 +124,7 @@ class ClosedVersions(StatefulProcessor):
         started = self.touched.exists()
         out = []
         for version in sorted(waiting):
-            old = self.f(sorted(net.items())) if started and (net or self.empty_too) else []
+            old = self.f(in_order(net)) if started and (net or self.empty_too) else []
             for value, m in waiting[version]:
                 net[value] = net.get(value, 0) + m
                 self.pending.removeKey((version, value))
@@ -133,11 +134,11 @@ class ClosedVersions(StatefulProcessor):
                     del net[value]
                     self.live.removeKey((value,))
             started = True
-            new = self.f(sorted(net.items())) if net or self.empty_too else []
-            out += [(*key, *v, m, version) for v, m in changes_between(old, new)]
+            new = self.f(in_order(net)) if net or self.empty_too else []
+            out += [Row(**dict(zip(self.names, (*key, *v, m, version)))) for v, m in changes_between(old, new)]
         if started:
             self.touched.update((True,))
-        yield pd.DataFrame(out, columns=self.names)
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -155,7 +156,7 @@ def stream_reduce(stream: DataFrame, key: str, value: str, f: Callable, result:
     spec = f"key {types[key]}, {result}, {M} bigint, version int"
     names = ["key", *[c.split()[0] for c in result.split(",")], M, "version"]
     processor = ClosedVersions(f, types[value], names, empty_too)
-    out = shaped.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=spec, outputMode="Append", timeMode="EventTime")
+    out = shaped.groupBy("key").transformWithState(statefulProcessor=processor, outputStructType=spec, outputMode="Append", timeMode="EventTime")
     return out.withColumnRenamed("key", key) if key != "key" else out
 
 
@@ -168,7 +169,8 @@ def stream_count(stream: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def stream_sum(stream: DataFrame, key: str, value: str) -> DataFrame:
-    return stream_reduce(stream, key, value, lambda rows: [((sum(v * m for v, m in rows),), 1)], "sum bigint", empty_too=True)
+    """Null values add nothing."""
+    return stream_reduce(stream, key, value, lambda rows: [((sum(v * m for v, m in rows if v is not None),), 1)], "sum bigint", empty_too=True)
 
 
 def _live(rows) -> list:
@@ -178,11 +180,12 @@ def _live(rows) -> list:
 
 
 def stream_min(stream: DataFrame, key: str, value: str) -> DataFrame:
-    return stream_reduce(stream, key, value, lambda rows: [((min(_live(rows)),), 1)], f"min {dict(stream.dtypes)[value]}")
+    """Null values are no candidates."""
+    return stream_reduce(stream, key, value, lambda rows: [((v,), 1) for v in _live(rows) if v is not None][:1], f"min {dict(stream.dtypes)[value]}")
 
 
 def stream_max(stream: DataFrame, key: str, value: str) -> DataFrame:
-    return stream_reduce(stream, key, value, lambda rows: [((max(_live(rows)),), 1)], f"max {dict(stream.dtypes)[value]}")
+    return stream_reduce(stream, key, value, lambda rows: [((v,), 1) for v in _live(rows) if v is not None][-1:], f"max {dict(stream.dtypes)[value]}")
 
 
 def stream_distinct(stream: DataFrame, key: str, value: str) -> DataFrame:
