@@ -44,11 +44,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` once and read it back: a lost executor costs a re-read, plans stay short."""
-    path = new_folder(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once and read it back: a lost executor costs a re-read, plans stay short.
+
+    Spark drops the shuffle files of the write when it ends; what was written needs them no more.
+    """
+    spark = df.sparkSession
+    path, was = new_folder(spark, name), spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN, was) if was is not None else spark.conf.unset(CLEAN)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
