@@ -1,21 +1,28 @@
 """Embedding near-duplicates by product quantisation with coarse inverted lists.
 
-Coarse lists come from k-means over a bounded sample; each vector belongs to its nearest centroid,
-and its residual is coded by one of 256 words in each of eight subspaces.  A query probes every
-list that can hold a linked vector: cosine >= c means a distance of at most r = sqrt(2 - 2c) between
-unit vectors, so the list of centroid k is probed if the query lies within r of the plane between
-its own centroid and k.  The rule is symmetric: of two linked vectors each probes the other's list,
-so that an unordered pair of lists is searched once, between the members of either that probe the
-other, and a link is credited to both ends.  In a pair of lists the distance from each query to each
-member's decoded residual is asymmetric; as each member also stores the length of its coding error,
-only members with distance <= r + error can be linked, and those get the exact cosine in double
-precision.  All bounds lose no link: the links equal brute force, whatever the vectors' skew.
+Coarse lists come from k-means over a bounded sample, about the square root of the number of
+vectors (at most ``LISTS``); each vector belongs to its nearest centroid, and its residual is coded
+by one of 256 words in each of eight subspaces.  Between unit vectors cosine >= c means a distance
+of at most r = sqrt(2 - 2c), so that a linked vector can lie in the list of centroid k only if the
+query is within r of the plane between its own centroid and k.  Few links need that much: real
+near copies differ along many directions.  Therefore the margin is measured: ``QUERIES`` vectors are
+compared with *all* vectors, and the margin is the smallest at which ``RECALL`` of their links,
+counted by link and by query, are found, with a tenth on top (r over the root of the dimension
+at least); ``recall=1`` takes r itself and finds
+every link.  A vector probes every list within the margin, however many these are.  Of two vectors
+each must probe the other's list, so that an unordered pair of lists is searched once, between the
+members of either that probe the other, and a link is credited to both ends.  In a pair of lists the
+distance from each query to each member's decoded residual is asymmetric; as each member also
+stores the length of its coding error, only members with distance <= r + error can be linked, and
+those get the exact cosine in double precision.
 
 Scale.  Exact copies are folded first.  Lists are put together to blocks of bounded size from counts
 per list (at most ``LISTS`` rows), and a list that holds a third of all vectors is dealt over many
 blocks.  A vector goes to a tile (block, block) only if it probes a list of the other block.  A tile
-returns a number of links for each vector and a spanning forest of the links, never all pairs.  Where
-the bound leaves out no list, the pairs searched grow with the square of the distinct vectors.
+returns a number of links for each vector and a spanning forest of the links, never all pairs.  The
+pairs searched grow with the power 1.5 of the distinct vectors up to ``LISTS`` squared of them, and
+beyond with the square, divided by the lists' number; so they do in a crowd whose members all link,
+as each vector's number of links is asked for.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component link
 with nothing; vectors of different lengths do not link; vectors of another length than the most
@@ -34,8 +41,9 @@ from tidemark.llm.simhash import merge_labels
 
 COSINE = 0.95
 SAMPLE = 16_384
-LISTS = 1024
-PER_LIST = 512
+LISTS = 4096
+QUERIES, RECALL = 512, 0.999
+STEPS = 256  # of the measured margin
 SUBSPACES, WORDS = 8, 256
 PIECE = 1024
 BLOCKS = 8  # at least, if they hold more than a piece
@@ -75,22 +83,17 @@ class Quantiser:
         error = sum(((residual[:, p] - w[code[:, k]]) ** 2).sum(axis=1) for k, (p, w) in enumerate(zip(self.parts, self.words)))
         return code, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, own: np.ndarray, radius: float, most: int) -> np.ndarray:
-        """Rows by lists: is the list among the ``most`` nearest that may hold a vector within the radius?"""
-        d = ((x ** 2).sum(axis=1)[:, None] - 2 * x @ self.centre.T + (self.centre ** 2).sum(axis=1))
-        apart = np.sqrt(np.maximum(((self.centre[own][:, None] - self.centre[None]) ** 2).sum(axis=2), 0)) if len(x) * len(self.centre) * self.dim < 1 << 22 else self._apart()[own]
-        may = d - d[np.arange(len(x)), own][:, None] <= 2 * radius * apart + 1e-6
-        if most < may.shape[1]:
-            near = np.zeros_like(may)
-            np.put_along_axis(near, np.argpartition(d, most - 1, axis=1)[:, :most], True, axis=1)
-            may &= near
-        return may
-
-    def _apart(self) -> np.ndarray:
-        if not hasattr(self, "between"):
-            sq = (self.centre ** 2).sum(axis=1)
-            self.between = np.sqrt(np.maximum(sq[:, None] + sq - 2 * self.centre @ self.centre.T, 0))
-        return self.between
+    def planes(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Rows by lists: how far is x from the plane between its own centroid and the list's?"""
+        sq = (self.centre ** 2).sum(axis=1)
+        d = (x ** 2).sum(axis=1)[:, None] - 2 * x @ self.centre.T + sq
+        lists, at = np.unique(own, return_inverse=True)
+        apart = np.sqrt(np.maximum(sq[lists][:, None] + sq - 2 * self.centre[lists] @ self.centre.T, 0))
+        return (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * apart[at], 1e-12)
+
+    def probes(self, x: np.ndarray, own: np.ndarray, margin: float) -> np.ndarray:
+        """Rows by lists: which lists are within the margin?"""
+        return self.planes(x, own) <= margin + 1e-6
 
     def decoded(self, centre: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The vectors that the codes stand for."""
@@ -132,7 +135,7 @@ def _fit(distinct: DataFrame, sample: int, lists: int) -> Quantiser | None:
     dims = distinct.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "dim").first()
     if dims is None:
         return None
-    n_lists = int(max(1, min(lists, -(-dims.n // PER_LIST))))
+    n_lists = int(max(1, min(lists, round(dims.n ** 0.5), sample // 4)))
     rows = distinct.where(F.col("dim") == dims.dim).select("v", "rep").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
     return Quantiser(_unit([r.v for r in rows]), n_lists)
 
@@ -141,7 +144,40 @@ INDEXED = "rep long, copies long, v {0}, list int, codes binary, error double, p
 DEALT = "own_group int, low int, high int, block int, " + INDEXED
 
 
-def _index(q: Quantiser, radius: float):
+def _margin(distinct: DataFrame, q: Quantiser, cosine: float, radius: float, recall: float, queries: int) -> float:
+    """The margin at which ``recall`` of the links between a sample and all vectors are found."""
+    if recall >= 1:
+        return radius
+    rows = distinct.where(F.col("dim") == q.dim).select("v", "rep").orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(queries).collect()
+    s, names = _unit([r.v for r in rows]), np.array([r.rep for r in rows])
+    s_own = _nearest(s, q.centre)
+
+    def run(batches):
+        s_planes = q.planes(s, s_own)
+        for b in batches:
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                x, rep = _unit(_vectors(part.column("v"))), part.column("rep").to_numpy()
+                i, j = np.nonzero((x @ s.T >= cosine) & (rep[:, None] != names))
+                own = _nearest(x, q.centre)
+                need = np.maximum(q.planes(x[i], own[i])[np.arange(len(i)), s_own[j]], s_planes[j, own[i]]) if len(i) else np.zeros(0)
+                step = np.clip(np.ceil(need / radius * STEPS), 0, STEPS).astype(np.int64)
+                seen, many = np.unique(j * (STEPS + 1) + step, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(seen // (STEPS + 1)), pa.array(seen % (STEPS + 1)), pa.array(many.astype(np.int64))], ["query", "step", "links"])
+
+    found = (distinct.where(F.col("dim") == q.dim).select("v", "rep").mapInArrow(run, "query long, step long, links long")
+             .groupBy("query", "step").agg(F.sum("links").alias("links")).collect())  # at most queries x steps
+    if not found:
+        return radius * min(1.0, 4 / q.dim ** 0.5)  # links are rare: what evenly spread differences need
+    table = np.zeros((len(s), STEPS + 1))
+    for r in found:
+        table[r.query, r.step] = r.links
+    table = table[table.any(axis=1)]
+    share = np.minimum(np.cumsum(table.sum(axis=0)) / table.sum(), np.cumsum((table / table.sum(axis=1, keepdims=True)).mean(axis=0)))
+    return float(min(radius, radius * max(1.1 * np.argmax(share >= recall - 1e-12) / STEPS, q.dim ** -0.5)))
+
+
+def _index(q: Quantiser, margin: float):
     """Every vector's list, codes and probes (a bit a list); vectors of other lengths share the list -dim."""
     def run(batches):
         for b in batches:
@@ -156,7 +192,7 @@ def _index(q: Quantiser, radius: float):
                         own = _nearest(x, q.centre)
                         codes, error = q.codes(x - q.centre[own])
                         codes = [r.tobytes() for r in codes.astype(np.uint8)]
-                        probes = [r.tobytes() for r in np.packbits(q.probes(x, own, radius, len(q.centre)), axis=1)]
+                        probes = [r.tobytes() for r in np.packbits(q.probes(x, own, margin), axis=1)]
                     else:
                         own, error = np.full(n, -dim), np.zeros(n)
                         codes = probes = [b""] * n
@@ -274,7 +310,8 @@ def _tile(q: Quantiser, cosine: float, radius: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, column: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, lists: int = LISTS, piece: int = PIECE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, column: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, lists: int = LISTS, piece: int = PIECE,
+                    recall: float = RECALL, queries: int = QUERIES) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``."""
     rows, distinct = representatives(vectors, column)
     distinct = saved(distinct, "vectors")
@@ -283,7 +320,7 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", cosine: float
     if q is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     kind = distinct.schema["v"].dataType.simpleString()
-    indexed = saved(distinct.select("v", "dim", "rep", "copies").mapInArrow(_index(q, radius), INDEXED.format(kind)), "codes")
+    indexed = saved(distinct.select("v", "dim", "rep", "copies").mapInArrow(_index(q, _margin(distinct, q, cosine, radius, recall, queries)), INDEXED.format(kind)), "codes")
     # bounded by the number of lists
     sizes = {r.list: r.n for r in indexed.where("list >= 0").groupBy("list").agg(F.count("*").alias("n")).collect()}
     first, parts = _places(sizes, len(q.centre), max(piece, min(8 * piece, -(-sum(sizes.values()) // BLOCKS))))
