@@ -2,21 +2,26 @@
 
 Channel.  A word's characters span a lattice: a leetspeak symbol may stand for several letters, a
 run of three or more equal letters for one or two, separators between single characters for
-nothing, and a run of single characters between blanks for words without blanks.  Where a reading
+nothing, and in a run of single characters between blanks each blank for itself or for nothing.  Where a reading
 gives no evidence, a doubled letter may also stand for one.  A Viterbi pass picks the
 reading with the highest probability under a character trigram model counted over *all* documents.
 Plain words have one reading and are their own restoration.
 
 Score.  The evidence is a set of words and word beginnings that a training sample finds far more
-often in toxic documents (log-odds of document frequencies); a greedy cover keeps those that
-explain documents no better one has explained, so that copies of one document do not make each of
-its words evidence.  A logistic curve over the summed log-odds gives the score.  Labels are read
+often in toxic documents (log-odds of document frequencies).  Copies of one document must not make
+each of its words evidence: a term counts if few others share most of its documents, as words of
+their own do, or if a greedy cover keeps it, which explains documents that no better term has
+explained.  A logistic curve over the summed log-odds gives the score.  Labels are read
 only from rows whose crc32(doc_id) mod 4 is not 2 and only for at most ``SAMPLE_DOCS`` documents;
 labels, lang, source and doc_id are never inputs of a score.
 
 Scale.  Labels are reduced to a bounded, broadcast set of sample ids, so texts are never shuffled;
 scoring runs in the scan's own tasks; the model is some thousand numbers.
 
+In a run of spaced characters a word of evidence counts where it stands between word breaks: the best
+decoding of the run with a break at its ends (a beginning: before it) must be about as likely as the
+best of all.  Decoding takes linear time in a run's length.
+
 Defined results: null and empty texts score like a text without evidence; without both classes
 among the training labels every score is 0; labels that contradict each other for one doc_id count
 as toxic; null labels and ids are not learned from; rows without a doc_id count as fold 0.
@@ -31,14 +36,16 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.common import crc_fold, documents
 
 SAMPLE_DOCS = 10_000
 FEATURES = 2_000
+BITMAP = 32_768  # bits of Spark's bitmap aggregate
 CACHE = 400_000
 SPACED_RUN = 4
+BREAKS = 4.0  # nats that the breaks around a word of evidence may cost in a spaced run
 THRESHOLD = 0.3
 
 # Letters that a symbol may stand for.
@@ -110,26 +117,85 @@ class Channel:
                 out.append([("", -1.0)])
         return out
 
-    def restore(self, word: str, doubled: bool = False) -> str:
-        best: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None, "")}  # score, step before, letters
-        for options in self.lattice(word, doubled):
+    def _steps(self, best: dict, lattice: list, blanks: bool) -> dict:
+        """Viterbi: the best way to each pair of last letters, from the ways in ``best`` through the lattice."""
+        log = self.log
+        for options in lattice:
+            if blanks:  # there may be a word break before it
+                options = options + [(" " + text, cost) for text, cost in options]
             new: dict[tuple[int, int], tuple] = {}
             for (a, b), before in best.items():
                 for text, cost in options:
                     x, y, s = a, b, before[0] + cost
                     for c in text:
                         k = letter(c)
-                        s += self.log[x, y, k]
+                        s += log[x, y, k]
                         x, y = y, k
                     if (x, y) not in new or new[x, y][0] < s:
                         new[x, y] = (s, before, text)
             best = new
-        step = max(((v[0] + self.log[a, b, 0], v) for (a, b), v in best.items()), key=lambda e: e[0])[1]
+        return best
+
+    def decode(self, lattice: list, blanks: bool = False) -> tuple[str, float]:
+        """The most probable reading, and its log probability with the break after it."""
+        best = self._steps({(0, 0): (0.0, None, "")}, lattice, blanks)  # score, step before, letters
+        score, step = max(((v[0] + self.log[a, b, 0], v) for (a, b), v in best.items()), key=lambda e: e[0])
         said = []
         while step[1] is not None:
             said.append(step[2])
             step = step[1]
-        return "".join(reversed(said))
+        return "".join(reversed(said)), score
+
+    def restore(self, word: str, doubled: bool = False) -> str:
+        return self.decode(self.lattice(word, doubled))[0]
+
+    def standing(self, letters: str, at: int, stop: int) -> float:
+        """Log probability of letters[at:stop] as one word after a break at ``at``, with the break behind it."""
+        a, b = letter(letters[at - 1]) if at else 0, 0
+        total = 0.0
+        for c in letters[at:stop]:
+            k = letter(c)
+            total += self.log[a, b, k]
+            a, b = b, k
+        return total + self.log[a, b, 0]
+
+    def ways(self, letters: str) -> tuple[list[float], list[float]]:
+        """For each place of a run of plain letters: the best log probability up to a word break there, and from it on."""
+        log, n = self.log, len(letters)
+        k = [letter(c) for c in letters]
+        ahead, best = [0.0], {(0, 0): 0.0}
+        for i in range(n):
+            new: dict[tuple[int, int], float] = {}
+            for (a, b), s in best.items():
+                t = s + log[a, b, k[i]]
+                if new.get((b, k[i]), -math.inf) < t:
+                    new[b, k[i]] = t
+            # the break at place i: only one way goes on from it, with letter i the next
+            t = ahead[i] + log[0 if i == 0 else k[i - 1], 0, k[i]] if i else -math.inf
+            if new.get((0, k[i]), -math.inf) < t:
+                new[0, k[i]] = t
+            best = new
+            ahead.append(max(s + log[a, b, 0] for (a, b), s in best.items()))
+        back = [-math.inf] * (n + 1)
+        back[n] = 0.0
+        # tail[i][(a)]: best from place i on, letters i-2 (a) and i-1 before it; breaks allowed
+        follow: list[dict[int, float]] = [{} for _ in range(n + 1)]
+
+        def onward(a: int, b: int, i: int) -> float:
+            """From place i on, after the symbols a and b; with the break at the end."""
+            if i == n:
+                return log[a, b, 0]
+            said = log[a, b, k[i]] + follow[i + 1].get(b, -math.inf)
+            return max(said, log[a, b, 0] + back[i]) if b else said
+
+        for i in range(n, 0, -1):
+            # before place i stands letter i-1; before that letter i-2 or a break
+            for a in {k[i - 2] if i > 1 else 0, 0}:
+                follow[i][a] = onward(a, k[i - 1], i)
+            # a break at place i-1, then letter i-1
+            before = k[i - 2] if i > 1 else 0
+            back[i - 1] = log[before, 0, k[i - 1]] + follow[i][0]
+        return ahead, back
 
 
 class Scorer:
@@ -166,7 +232,7 @@ class Scorer:
         for piece in {plain, token} if plain != token and any(c in LEET for c in token) else {plain}:
             if any(c.isalpha() for c in piece):
                 found = found or self._weigh(self.channel.restore(piece)) or (self._weigh(self.channel.restore(piece, True)) if DOUBLED.search(piece) else None)
-        if found is None and "-" in plain or "/" in plain:
+        if found is None and ("-" in plain or "/" in plain):
             for piece in re.split(r"[-/]", plain):
                 found = found or (self._weigh(piece) if piece.isalpha() else None)
         return found
@@ -178,11 +244,29 @@ class Scorer:
             if single:
                 letters = "".join(t.strip(EDGES) or t for t in run)
                 if SPACED_RUN <= len(letters) and len(set(letters)) > 1:
-                    said = {self.channel.restore(letters), self.channel.restore(letters, True)}
-                    words = [(w, v) for w, v in self.words.items() if len(w) >= SPACED_RUN and any(w in x for x in said)]
-                    out += words + [(s, v) for s, v in self.starts.items() if any(s in x for x in said) and not any(w.startswith(s) and u >= v for w, u in words)]
+                    for said in {self.channel.restore(letters), self.channel.restore(letters, True)}:
+                        out += self._standing(said)
         return out
 
+    def _standing(self, said: str) -> list[tuple[str, float]]:
+        """Words and beginnings of evidence that stand between word breaks of a run of letters."""
+        terms = [(w, v, False) for w, v in self.words.items() if len(w) >= SPACED_RUN and w in said]
+        terms += [(w, v, True) for w, v in self.starts.items() if w in said]
+        if not terms:
+            return []
+        ahead, back = self.channel.ways(said)
+        out = {}
+        for w, v, start in terms:
+            at = said.find(w)
+            while at >= 0:
+                best = max(self.channel.standing(said, at, stop) + ahead[at] + (back[stop] if stop < len(said) else 0.0)
+                           for stop in ([at + len(w)] if not start else range(at + len(w), min(len(said), at + 2 * len(w)) + 1)))
+                if best >= ahead[-1] - BREAKS:
+                    out[w] = max(v, out.get(w, 0.0))
+                at = said.find(w, at + 1)
+        longest = [w for w, _, start in terms if not start and w in out]
+        return [(w, v) for w, v in out.items() if w not in self.starts or w in self.words or not any(x.startswith(w) and out[x] >= v for x in longest)]
+
     def evidence(self, text: str) -> float:
         tokens = text.lower().split()
         known, found, singles = self.known, {}, set()
@@ -214,22 +298,39 @@ def _terms(text):
 
 
 def _cover(rows, fewest: int = 5) -> dict[str, float]:
-    """Greedy cover: terms in the order of documents that they newly explain times log-odds."""
-    left = {r.term: set(r.docs) for r in rows}
+    """Greedy cover: terms in the order of documents that they newly explain times log-odds.
+
+    ``docs`` is a bit set of the sample's documents.
+    """
+    left = {r.term: r.docs if isinstance(r.docs, int) else int.from_bytes(r.docs, "little") for r in rows}
     odds = {r.term: r.odds for r in rows}
     kept: dict[str, float] = {}
     while left:
-        term = max(left, key=lambda t: (len(left[t]) * odds[t], t))
+        term = max(left, key=lambda t: (left[t].bit_count() * odds[t], t))
         new = left.pop(term)
-        if len(new) < fewest:
+        if new.bit_count() < fewest:
             continue
         kept[term] = odds[term]
-        left = {t: rest for t, d in left.items() if len(rest := d - new) >= fewest}
+        left = {t: rest for t, d in left.items() if (rest := d & ~new).bit_count() >= fewest}
     return kept
 
 
+def _apart(rows, fewest: int = 8, odds: float = 3.0, company: int = 5, shared: float = 0.8) -> dict[str, float]:
+    """Terms with at most ``company`` others (a word's beginnings too) in most of their documents, each in ``fewest`` or more."""
+    if not rows:
+        return {}
+    raw = [r.docs.to_bytes(BITMAP // 8, "little") if isinstance(r.docs, int) else bytes(r.docs) for r in rows]
+    bits = np.unpackbits(np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(rows), -1), axis=1)
+    bits = bits[:, bits.any(axis=0)].astype(np.float32)
+    size = bits.sum(axis=1)
+    beside = (bits @ bits.T >= shared * size[:, None]).sum(axis=1) - 1
+    return {r.term: r.odds for r, n, k in zip(rows, size, beside) if n >= fewest and k <= company and r.odds >= odds and not r.term.endswith("-")}
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, features: int = FEATURES) -> Scorer | None:
     """The model, or None where training rows lack one of the classes."""
+    if sample_docs > BITMAP:
+        raise ValueError(f"at most {BITMAP} documents can teach")
     named = documents(docs)
     wanted = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
               .where("doc_id is not null and toxic is not null").where(crc_fold(F.col("doc_id"), 4) != 2)
@@ -248,9 +349,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, fe
                 .where("n1 >= 5").select("term", "n1", odds)
                 .where((F.col("odds") >= 3.0) | ((F.col("odds") >= 2.0) & (F.col("n1") >= 50)))
                 .orderBy((F.col("n1") * F.col("odds")).desc(), "term").limit(features))
-        rows = (terms.where("toxic = 1").join(F.broadcast(rows), "term")
-                .groupBy("term").agg(F.max("odds").alias("odds"), F.collect_list("doc_id").alias("docs")).collect())
-        kept = _cover(rows)
+        # toxic documents of the sample by number, at most BITMAP of them: a bit set of 4 KB a term
+        number = F.row_number().over(Window.orderBy("doc_id")) - 1
+        numbers = sample.where("toxic = 1").select("doc_id").distinct().withColumn("number", number)
+        rows = (terms.where("toxic = 1").join(F.broadcast(numbers), "doc_id").join(F.broadcast(rows), "term")
+                .groupBy("term").agg(F.max("odds").alias("odds"), F.bitmap_construct_agg(F.col("number").cast("long")).alias("docs")).collect())
+        kept = {**_apart(rows), **_cover(rows)}
         words = {t: v for t, v in kept.items() if not t.endswith("-")}
         starts = {t[:-1]: v for t, v in kept.items() if t.endswith("-")}
         scorer = Scorer(Channel(trigram_counts(docs)), words, starts, 1.0, 0.0)
