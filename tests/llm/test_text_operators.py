@@ -10,6 +10,7 @@ from collections import Counter, namedtuple
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, lm_scoring, packing, quality_rules, secret_scan, simhash, token_files, toxicity
 
@@ -214,18 +215,61 @@ def test_secret_scan(spark, empty):
     assert secret_scan.train(empty) is None and secret_scan.scan(empty, None).count() == 0
 
 
-def test_secret_network_learns_its_labels():
+KEYS = {"ghp": ("ghp_", 36), "live": ("sk_live_", 24), "bot": ("xoxb-123456789012-", 24), "bare": ("", 40)}
+CLEAN = ["9807915762804490", "2024-11-28T07:12:13Z", "river_hill_stone_42", "utf8_general_ci_v2", "water/house/tree12.html", "123e4567-e89b-12d3-a456-426614174000",
+         "RiverHillStoneWaterHouse", "build-2024.11.28-rc1", "x86_64-linux-gnu-gcc", "ISBN-978-3-16-148410-0", "www.river-hill-stone.com/en/page-12"]
+
+
+def test_secret_network_finds_keys_that_no_pattern_names(spark):
+    """Trained on base findings alone: planted keys of other kinds are found, look-alikes left alone."""
+    r = np.random.default_rng(6)
+    words = "the river over green hills with small house and many trees near water stone light shadow winter summer".split()
+    say = lambda n: " ".join(r.choice(words, n))
+    hexes = ["".join(r.choice(list("0123456789abcdef"), 40)) for _ in range(80)]
+    rows = [(i, f"{say(20)} 98079157628044{i % 90 + 10} {say(20)}" + (f' token = "{hexes[i // 4]}" {say(9)}' if i % 4 == 0 else "")) for i in range(320)]
+    rows += [(1, None), (None, rows[0][1]), (4, rows[4][1])]
+    net = secret_scan.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    found = {k: 0 for k in KEYS}
+    for k, (prefix, n) in KEYS.items():
+        for _ in range(50):
+            before = say(8) + " "
+            key = prefix + "".join(r.choice(letters, n))
+            base, spans = secret_scan.spans_of(before + key + " " + say(8), net)
+            found[k] += any(s < len(before) + len(key) and e > len(before) for s, e, _ in spans)
+    assert min(found.values()) >= 45
+    kept = [not any(k == 3 for _, _, k in secret_scan.spans_of(f"{say(8)} {c} {say(8)}", net)[1]) for c in CLEAN for _ in range(20)]
+    assert sum(kept) >= 0.98 * len(kept), [c for c, k in zip(CLEAN, kept[::20]) if not k]
+
+
+def test_secret_threshold_is_the_recall_quantile():
     r = np.random.default_rng(6)
     key = lambda: "".join(r.choice(list("ABCDEFabcdef0123456789"), 24))
-    good = [secret_scan.window(f"the key = {k}", 10, 34) for k in (key() for _ in range(150))]
-    bad = [secret_scan.window("plain words and no more of them than this", 6, 11 + i % 9) for i in range(150)]
+    good = [secret_scan.windows(f"the key = {k}", 10, 34)[0] for k in (key() for _ in range(150))]
+    bad = [secret_scan.windows("plain words and no more of them than this", 6, 11 + i % 9)[0] for i in range(150)]
     net, y = secret_scan.CharCNN(), np.r_[np.ones(100), np.zeros(100)]
     net.fit(good[:100] + bad[:100], y)
     net.calibrate(good[100:] + bad[100:], np.r_[np.ones(50), np.zeros(50)], 0.98)
-    assert (net.probabilities(good[100:]) >= net.threshold).mean() >= 0.98
+    assert net.threshold == np.sort(net.probabilities(good[100:]))[1]
     assert (net.probabilities(bad[100:]) >= net.threshold).mean() <= 0.05
 
 
+def test_a_key_anywhere_in_a_long_run_is_read():
+    assert len(secret_scan.windows("x" * 500, 10, 400)) > 10
+    assert all(len(w) == secret_scan.WIDTH for w in secret_scan.windows("x" * 500, 10, 400))
+    seen = "".join(w[secret_scan.BEFORE:-secret_scan.AFTER] for w in secret_scan.windows("".join(map(chr, range(200, 500))), 0, 300))
+    assert set(seen) == set(map(chr, range(200, 500)))
+
+
+def test_secret_scan_of_odd_rows(spark):
+    """Null and repeated ids, clashing columns, a very long text."""
+    text = "a password: hunter2hunter2 b " + "word " * 200_000
+    df = spark.createDataFrame([(None, "token=abcdefgh", 1, "x"), (5, text, 1, "x"), (5, text, 1, "x"), (5, None, 1, "x")], "doc_id bigint, text string, w int, spans string")
+    got = sorted((str(r.doc_id), r.n_assign, r.spans) for r in secret_scan.scan(df, None).collect())
+    assert got == [("5", 0, ""), ("5", 1, "assign:2:26"), ("5", 1, "assign:2:26"), ("None", 1, "assign:0:14")]
+    assert secret_scan.redact(df, None).columns == df.columns and secret_scan.train(df) is None
+
+
 @pytest.fixture(scope="module")
 def scorer(spark):
     r = np.random.default_rng(8)
@@ -263,10 +307,86 @@ def test_toxicity_finds_beginnings_in_spaced_text(scorer):
 
 def test_cover_goes_on_after_a_term_without_news():
     row = namedtuple("row", "term docs odds")
-    rows = [row("a", range(100), 9.0), row("b", [*range(96, 100), *range(200, 204)], 9.0), row("c", range(300, 305), 2.0)]
+    bits = lambda docs: sum(1 << d for d in docs)
+    rows = [row("a", bits(range(100)).to_bytes(50, "little"), 9.0), row("b", bits([*range(96, 100), *range(200, 204)]), 9.0), row("c", bits(range(300, 305)), 2.0)]
     assert toxicity._cover(rows) == {"a": 9.0, "c": 2.0}
 
 
+def test_viterbi_equals_exhaustive_decoding(scorer):
+    import itertools
+    channel = scorer.channel
+
+    def probability(reading):
+        a = b = 0
+        total = 0.0
+        for c in reading + "\0":
+            k = toxicity.letter(c)
+            total += channel.log[a, b, k]
+            a, b = b, k
+        return total
+
+    for word in ("1d10t", "$tup1d", "m0r0n", "h3||0", "stuuupiid", "x1", "!!", "a|b(c"):
+        for doubled in (False, True):
+            lattice = channel.lattice(word, doubled)
+            every = [(probability("".join(t for t, _ in way)) + sum(c for _, c in way), "".join(t for t, _ in way)) for way in itertools.product(*lattice)]
+            said, score = channel.decode(lattice)
+            assert math.isclose(score, max(every)[0], abs_tol=1e-9) and any(s == said and math.isclose(p, score, abs_tol=1e-9) for p, s in every)
+    for run in ("idiot", "xbidiots", "theriver", "a", "zz"):
+        cuts = ["".join(c + (" " if b else "") for c, b in zip(run, [*bits, False])) for bits in itertools.product((False, True), repeat=len(run) - 1)]
+        best = max(map(probability, cuts))
+        ahead, back = channel.ways(run)
+        assert math.isclose(ahead[-1], best, abs_tol=1e-9)
+        assert math.isclose(channel.decode([[(c, 0.0)] for c in run], blanks=True)[1], max(best, -math.inf), abs_tol=2.0)
+        for i in range(1, len(run)):
+            forced = max(probability(c) for c in cuts if len(c[:[k for k, x in enumerate(c) if x != " "][i]].rstrip()) < [k for k, x in enumerate(c) if x != " "][i])
+            assert math.isclose(ahead[i] + back[i], forced, abs_tol=1e-9)
+        assert math.isclose(channel.standing(run, 0, len(run)), probability(run), abs_tol=1e-9)
+
+
+def test_toxicity_wants_word_breaks_in_spaced_text(scorer):
+    own = toxicity.Scorer(scorer.channel, {"rover": 4.0, "house": 4.0}, {"ersto": 4.0}, 1.0, 0.0)
+    assert own.evidence("r i v e r o v e r") == 0.0 and own.evidence("w a t e r s t o n e") == 0.0
+    assert own.evidence("r i v e r h o u s e") == 4.0 and own.evidence("r o v e r") == 4.0
+    assert scorer.score("the river and/or green hills") < 0.3
+
+
+def test_words_of_copies_are_no_evidence_of_their_own():
+    row = namedtuple("row", "term docs odds")
+    bits = lambda docs: sum(1 << d for d in docs)
+    copies = [row(f"copied{chr(97 + i)}{i}", bits(range(20)), 6.0) for i in range(20)]
+    words = [row("moron", bits(range(0, 200, 9)), 6.0), row("idiot", bits(range(0, 200, 4)), 6.0), row("weak", bits(range(0, 99, 9)), 2.5)]
+    assert set(toxicity._apart(copies + words)) == {"moron", "idiot"} and toxicity._apart([]) == {}
+
+
+def test_toxicity_of_odd_rows_and_held_out_labels(spark, scorer):
+    """Fold 2 teaches nothing, lang, source and doc_id score nothing; null and repeated ids, clashing columns, very long texts."""
+    r = np.random.default_rng(8)
+    words = "the river over green hills with a small house and many trees near water stone light".split()
+    rows, labels = [], []
+    for i in range(500):
+        w = list(r.choice(words, 20))
+        toxic = i % 5 == 0
+        if toxic:
+            w[3] = "idiot" if i % 10 else "moron"
+        rows.append((i, " ".join(w), "en", "web"))
+        labels.append((i, int(toxic)))
+    schema = "doc_id bigint, text string, lang string, source string"
+    docs, own = spark.createDataFrame(rows, schema), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    turned = own.withColumn("toxic", F.when(fold == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    score = lambda df, labels: {x.doc_id: x.score for x in toxicity.score(df, toxicity.train(docs, labels)).collect()}
+    first = score(docs, own)
+    assert first == score(docs, turned)
+    assert first == score(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("idiot")), own)
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all((first[i] >= 0.3) == (i % 5 == 0) for i in held)
+    odd = spark.createDataFrame([(None, "you idiot", "a", 1.0), (3, "you idiot", "a", 1.0), (3, "calm water", "a", 1.0), (3, "word " * 100_000 + "1d10t", "a", 1.0), (9, None, None, None)],
+                                "doc_id bigint, text string, held_out string, score double")
+    got = sorted((str(x.doc_id), x.predicted) for x in toxicity.score(odd, scorer).collect())
+    assert got == [("3", 0), ("3", 1), ("3", 1), ("9", 0), ("None", 1)]
+    assert sorted(x.doc_id or 0 for x in toxicity.drop_toxic(odd, scorer).collect()) == [3, 9]
+
+
 @pytest.mark.parametrize("text", ["", "the river over green hills", "a a a a a a", "house no. 10 and 3 trees, 50% light!", "x" * 50_000, "a b c d e f g"])
 def test_toxicity_leaves_clean_text_alone(scorer, text):
     assert scorer.score(text) < 0.3
@@ -306,3 +426,51 @@ def test_lm_counts_bigrams_exactly(docs, texts):
         for i, k in zip(row["doc_ids"], many):
             assert own[at:at + k].tolist() == [pairs[p] for p in zip([None, *token[i]], token[i])]
             at += k
+
+
+def test_lm_mixture_against_plain_dictionaries(spark):
+    """Counts in many blocks and shards, weights by EM, and every score, recomputed with dictionaries."""
+    r = np.random.default_rng(12)
+    words = [f"w{int(k)}" for k in np.minimum(r.zipf(1.4, 6000), 900)]
+    texts, at = [], 0
+    for i in range(150):
+        n = int(r.integers(0, 80))
+        texts.append(" ".join(words[at:at + n]))
+        at += n
+    rows = [(i if i % 7 else 3, t) for i, t in enumerate(texts)] + [(None, "w1 w2 w1"), (None, None)]  # a hot id, and none
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counts, n, v = lm_scoring.token_counts(df, block_bytes=2000, shard_bytes=3000)
+    weights = lm_scoring.learn_weights(counts, n, v)
+    assert counts.count() > 5
+    token = [[*(t or "").split(), None] for _, t in rows]
+    learn = [d is None or zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows]
+    c = Counter(w for ws, y in zip(token, learn) if y for w in ws)
+    pairs = Counter(p for ws, y in zip(token, learn) if y for p in zip([None, *ws], ws))
+    assert (n, v) == (sum(c.values()), len(c))
+    bucket = lambda k: int(np.searchsorted(lm_scoring.BUCKETS, k, side="right"))
+    for b in range(len(weights)):
+        terms = Counter()
+        for ws, y in zip(token, learn):
+            for u, w in zip([None, *ws], ws) if y else ():
+                if bucket(c[u] - 1) == b:
+                    terms[c[u] - 1, c[w] - 1, pairs[u, w] - 1] += 1
+        if b == 0 or not terms:
+            continue
+        step = lambda x: 10 ** (round(math.log10(x * (v + 1)) / 0.05) * 0.05) if x else 0.0  # noqa: E731  ratios go to EM in steps
+        p = np.array([[1.0, step(w / (n - 1)), step(uw / u)] for u, w, uw in terms])
+        many, plain = np.array(list(terms.values()), dtype=float), np.full(3, 1 / 3)
+        for _ in range(50):
+            share = p * plain
+            share /= share.sum(axis=1, keepdims=True)
+            plain = (share * many[:, None]).sum(axis=0) + 1e-3
+            plain /= plain.sum()
+        assert np.allclose(weights[b], plain, atol=1e-6)
+    want = []
+    for (d, _), ws in zip(rows, token):
+        total = 0.0
+        for u, w in zip([None, *ws], ws):
+            l = weights[bucket(c[u])]
+            total += math.log10(l[0] / (v + 1) + l[1] * c[w] / n + (l[2] * pairs[u, w] / c[u] if c[u] else l[2] / (v + 1)))
+        want.append((str(d), len(ws), round(total, 6)))
+    got = counts.mapInArrow(lm_scoring._scorer(n, v, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").collect()
+    assert sorted((str(x.doc_id), x.n_tokens, round(x.score, 6)) for x in got) == sorted(want)
