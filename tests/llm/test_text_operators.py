@@ -90,6 +90,18 @@ def test_one_of_each_keeps_rows_without_id(spark):
     assert sorted((r.doc_id or 0, r.rep) for r in out.collect()) == [(0, "z"), (1, "x")]
 
 
+def test_one_of_each_keeps_other_texts_under_one_id(spark):
+    """Unrelated texts that share an id stay apart, their copies go, whatever the columns are called."""
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six seven", "red green blue black white")
+    rows = [(1, a, 1), (1, b, 2), (2, a, 3), (3, b, 4), (3, c, 5), (3, c, 6), (None, a, 7), (4, None, 8), (5, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, grp int")
+    got = sorted((str(r.doc_id), str(r.text), r.grp) for r in simhash.one_of_each(df).collect())
+    assert [g[:2] for g in got] == sorted([("1", a), ("1", b), ("3", c), ("None", a), ("4", "None")])
+    linked = sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert linked == sorted([("1", 1), ("1", 1), ("2", 1), ("3", 1), ("3", 3), ("3", 3), ("None", None), ("4", 4), ("5", 4)], key=lambda x: (x[0], x[1]))
+    assert simhash.one_of_each(df.where("grp < 0")).count() == 0
+
+
 def test_quality_rules(docs, texts, empty):
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     for i, t in enumerate(texts):

@@ -34,6 +34,7 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 HOT_SHARD = 4096
+SALTS = 8
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 BYTE = np.arange(8) * 256
@@ -209,17 +210,29 @@ def _shards(distinct: DataFrame, hot_shard: int) -> DataFrame:
         F.explode(F.when(F.col("hot"), again).otherwise(once)).alias("k"), "fp", "rep").select("k.combo", "k.value", "fp", "rep")
 
 
+def _grouped(fps: DataFrame, hot_shard: int = HOT_SHARD) -> DataFrame:
+    """Adds grp, the smallest fingerprint reachable over links, and component_id to saved (doc_id, fp).
+
+    Links join fingerprints, so that two texts under one doc_id stay apart.
+    """
+    distinct = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = _shards(distinct.select("fp", F.col("fp").alias("rep")), hot_shard)
+    dealt = shards.repartition(n, "combo", "value").sortWithinPartitions("combo", "value")
+    joined = components(dealt.mapInArrow(_forest_links, "a long, b long"))
+    of_fp = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("grp"))
+    ids = of_fp.groupBy("grp").agg(F.min("first").alias("component_id"))
+    # a crowd of exact copies is dealt over SALTS places, the small side once for each
+    of_fp = of_fp.join(ids, "grp").select("fp", "grp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    known = F.col("doc_id").isNotNull()
+    return salted.join(of_fp, ["fp", "salt"], "left").select(
+        "doc_id", "fp", F.when(known, F.col("grp")).alias("grp"), F.when(known, F.col("component_id")).alias("component_id"))
+
+
 def link(fps: DataFrame, hot_shard: int = HOT_SHARD) -> DataFrame:
     """Adds component_id to (doc_id, fp): the smallest doc_id reachable over links."""
-    fps = saved(fps, "fingerprints")
-    distinct = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    spark = fps.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _shards(distinct, hot_shard).repartition(n, "combo", "value").sortWithinPartitions("combo", "value")
-    joined = components(dealt.mapInArrow(_forest_links, "a long, b long"))
-    of_fp = distinct.join(joined, distinct.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of_fp, "fp", "left").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return _grouped(saved(fps, "fingerprints"), hot_shard).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -229,11 +242,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's; of repeated rows with that id one stays.
+    """One document of each group stays, that with the smallest doc_id (then fingerprint).
 
-    Rows without a doc_id belong to no group and stay.
+    Rows that share an id though their texts differ are documents of their own: each text is judged by
+    its own group.  Of rows that agree in id and fingerprint one stays.  Rows without a doc_id belong
+    to no group and stay.
     """
-    keep = link(fingerprints(docs)).where("doc_id = component_id").select("doc_id").distinct()
+    grouped = saved(_grouped(saved(fingerprints(docs), "fingerprints")), "groups").where("doc_id is not null")
+    first = grouped.groupBy("grp").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select("m.doc_id", "m.fp")
+    shared = grouped.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").select(*columns))
+    row = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    key = lambda df, *more: df.select(F.col("doc_id").alias("_id"), *more)
+    ids = first.select("doc_id").distinct()
+    alone = row.join(key(ids.join(shared, "doc_id", "left_anti")), "_id", "left_semi")
+    # only rows whose id is shared are told apart by their text
+    several = _add_fingerprint(row.join(key(ids.join(shared, "doc_id", "left_semi")), "_id", "left_semi"))
+    one = several.join(key(first, F.col("fp").alias("_fp")), ["_id", "_fp"], "left_semi").dropDuplicates(["_id", "_fp"])
+    nameless = row.where("_id is null")
+    return alone.select("_row.*").unionByName(one.select("_row.*")).unionByName(nameless.select("_row.*"))
+
+
+def _add_fingerprint(df: DataFrame) -> DataFrame:
+    """``df`` with the fingerprint of ``_text`` in ``_fp``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("_text").cast(pa.binary()).to_pylist()
+            yield b.append_column("_fp", pa.array([_signed(fingerprint(t)) for t in texts], pa.int64()))
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_fp bigint"]))
