@@ -5,7 +5,8 @@ built-in functions, and ``verdict`` folds the table into one boolean column.  Th
 shuffle: each document is judged alone, in the scan's own tasks.
 
 Defined results: a null text counts as empty; texts without a word have ratios of 0 and fail the
-length rule; ties with a bound pass; repeated rows are judged each for itself; other columns are
+length rule; length alone rejects no long text; texts of 60 or more words in a language whose function
+words are not in ``STOP_WORDS`` fail unless the caller passes other ``rules``; ties with a bound pass; repeated rows are judged each for itself; other columns are
 left alone by ``apply_rules`` and absent from ``judge``; an empty table gives an empty result.
 """
 
@@ -35,7 +36,6 @@ RULES = (
     ("mean_word_length", 2.0, 14.0, 0),
     ("stop_word_ratio", 0.02, None, 60),
     ("dup_line_ratio", None, 0.50, 0),
-    ("longest_line_words", None, 100_000, 0),
 )
 
 
@@ -93,8 +93,7 @@ def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> D
         (F.col("n_symbols") / words).alias("symbol_ratio"),
         (F.col("word_chars") / words).alias("mean_word_length"),
         (F.col("n_stop_words") / words).alias("stop_word_ratio"),
-        (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_line_ratio"),
-        (F.col("n_words") / F.greatest("n_lines", F.lit(1))).alias("longest_line_words"))
+        (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_line_ratio"))
     # A filter on a measure must not be pushed below the projections: it would compute every
     # measure anew for each use.  Filters do not pass a generator of one row.
     return out.select(F.explode(F.array(F.struct(*out.columns))).alias("_m")).select("_m.*")
