@@ -7,13 +7,16 @@ that predict it.  An ``end`` token closes each document and is the context of it
 
 Data flow.  Neither the vocabulary nor the bigrams fit one machine, so counts live in shards:
 
-1.  Documents are dealt to blocks by a hash of doc_id.  A block tokenizes its texts with numpy and
-    sends each shard its *distinct* word and bigram hashes, sorted and compressed, with the block's
-    training counts (a map-side combine; shards are ranges of the hash).
+1.  Documents are dealt to blocks of about ``BLOCK_BYTES`` of text by a hash of doc_id and text, so
+    that one id, or none, fills no block alone.  A block tokenizes its texts with numpy and sends each
+    shard its *distinct* word and bigram hashes, sorted and compressed, with the block's training
+    counts (a map-side combine; shards are ranges of the hash, one for ``SHARD_BYTES`` of text).
 2.  A shard adds the counts up and replies to each block with the totals for what it asked.
 3.  A block meets its replies again and has the exact counts c(u w), c(u), c(w) of every token.
     They are written once; EM and scoring read them.
 
+Blocks and shards both grow with the text, so no task does; the number of requests is their product.
+
 EM works on a histogram of (bucket, log ratios in steps of 0.05), whose size does not depend on the
 corpus and which covers every training token.  All that crosses the driver is that histogram, N, V
 and the weights.  Words are identified by 64-bit hashes: a sum of random byte weights times powers
@@ -21,13 +24,12 @@ of an odd number, mixed; among V words a clash has probability V * V / 2 ** 65.
 
 Defined results: null and empty texts are one ``end`` token; rows without a doc_id count as fold 0;
 repeated rows count as often as they occur; without any training token all counts are zero and the
-model falls to 1 / (V + 1); other columns never reach a task.
+model falls to 1 / (V + 1); other columns never reach a task; a very long text is hashed in parts and has its
+block's memory to itself beside a few others.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 from functools import lru_cache
 
 import numpy as np
@@ -36,9 +38,11 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import crc_fold, documents, saved
+from tidemark.scratch import discard
 
 FOLDS, HELD_OUT = 5, 1
 CHUNK = 1 << 20
+BLOCK_BYTES, SHARD_BYTES = 1 << 23, 1 << 24
 STEP = 0.05
 BUCKETS = np.array([1, 2, 3, 5, 9, 17, 65, 257, 1025, 16385, 1 << 20])  # context counts, by np.searchsorted
 U64 = np.uint64
@@ -229,43 +233,26 @@ def _meet(table: pa.Table, replies: pa.Table) -> pa.Table:
         ["doc_ids", "held_out", "n_tokens", "words", "pairs"])
 
 
-def token_counts(docs: DataFrame) -> tuple[DataFrame, int, int]:
+def token_counts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int, int]:
     """(a table with the counts of every token by block, N, V)."""
-    spark = docs.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = documents(docs)
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, shards = max(1, -(-size // block_bytes)), max(1, -(-size // shard_bytes))
     dealt = named.select("doc_id", F.col("text").cast("binary").alias("text"),
                          (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
-                         F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
+                         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     # the order of a block's rows must be the same in both passes
-    in_order = lambda f: lambda t: f(t.sort_by([("doc_id", "ascending"), ("text", "ascending")]))
-    asked = dealt.groupBy("block").applyInArrow(in_order(_ask(blocks)), REQUESTS)
+    in_order = lambda t: t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    ask = _ask(shards)
+    asked = dealt.groupBy("block").applyInArrow(lambda t: ask(in_order(t)), REQUESTS)
     replies = saved(asked.groupBy("shard").applyInArrow(_answer, REPLIES), "counts")
-    del asked
-    release(spark)
     n, v = replies.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     own = replies.where("block >= 0").select("block", "shard", "word_counts", "pair_counts")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _meet(left.sort_by([("doc_id", "ascending"), ("text", "ascending")]), right)
-
-    counts = saved(dealt.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(meet, COUNTS), "token-counts")
-    release(spark)
+    counts = saved(dealt.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda t, r: _meet(in_order(t), r), COUNTS), "token-counts")
+    discard(replies)
     return counts, int(n), int(v)
 
 
-def release(spark, rounds: int = 2) -> None:
-    """Lets Spark drop the shuffle files of finished jobs now, not at the driver's next collection.
-
-    Python's handles on the plans go first, then the JVM's objects; Spark's cleaner runs beside
-    this thread, and what it frees is collected in the second round.
-    """
-    for _ in range(rounds):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)
-
-
 def _parts(row, n_total: int, v_total: int):
     """(tokens per document, training flags, c(w), c(u w), c(u)) of a block's row."""
     n = np.array(row["n_tokens"], dtype=np.int64)
