@@ -3,24 +3,32 @@
 Rules name a host with its subdomains and the start of a path; the longest fitting rule wins.  They
 are compiled into one expression.  The trees (Spark ML) use lexical features, all built-in
 expressions: lengths, depth, digit ratio, character entropy, parameter counts, and statistics of
-the host's suffix (its share of all urls, and its smoothed share of blocked training urls).  They
-are trained on the urls that a rule judges, at most ``SAMPLE`` of them.
+the host's suffix (its share of all urls, and its smoothed share of blocked ruled urls).  They
+are trained on the urls that a rule judges, at most ``SAMPLE`` of them.  A ruled url's share of
+blocked ones is taken from the other ``FOLDS`` - 1 folds, so that its own label is no input.  Only
+ruled urls carry labels: of suffixes without any the trees know the lexical features alone.
 
-Suffix statistics are counted over all urls with map-side combination and joined back by suffix;
-Spark picks a broadcast only where the counted table proves small, and splits a hot suffix.
+Features are computed once and written.  Suffix statistics are counted over all urls, by suffix and
+fold, with map-side combination; the counted table is broadcast where it has at most ``SUFFIXES``
+rows, and beyond that joined by suffix and fold, which splits a hot suffix.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is
 judged by the trees like any other; without both classes among the ruled urls the verdict is the
-only class seen, or ``allow``; repeated rows are judged each for itself.
+only class seen, or ``allow``; repeated rows, and rows without a page_id, are judged each for itself;
+columns other than page_id and url are not read; very long urls cost time in proportion to their
+length and distinct characters.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tidemark.llm.common import saved
 
 SAMPLE = 20_000
+FOLDS, SUFFIXES = 5, 200_000
 # host, start of the path, verdict (fixed values)
 RULES = (
     ("com", "/", "allow"),
@@ -79,14 +87,17 @@ def _features(pages: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 def judge(pages: DataFrame, sample: int = SAMPLE, trees: int = 8, depth: int = 3) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
-    spark = pages.sparkSession
-    rows = _features(pages.select(F.col("page_id").cast("long").alias("page_id"), "url"), ("page_id",))
-    blocked = F.count_if(F.col("_verdict") == "block")
-    known = F.count_if(F.col("_verdict").isNotNull())
+    rows = saved(_features(pages.select(F.col("page_id").cast("long").alias("page_id"), "url"), ("page_id",))
+                 .withColumn("_fold", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(FOLDS)).cast("int")), "url-features")
     total = rows.count()
-    suffixes = rows.groupBy("_suffix").agg(
-        (F.count("*") / F.lit(max(1, total))).alias("suffix_share"), ((blocked + 1) / (known + 2)).alias("suffix_blocked"))
-    rows = rows.join(suffixes, "_suffix")
+    per = rows.groupBy("_suffix", "_fold").agg(F.count("*").alias("n"), F.count_if(F.col("_verdict") == "block").alias("b"), F.count_if(F.col("_verdict").isNotNull()).alias("k"))
+    w = Window.partitionBy("_suffix")
+    n, b, k = (F.sum(c).over(w) for c in ("n", "b", "k"))
+    suffixes = saved(per.select("_suffix", "_fold", (n / F.lit(max(1, total))).alias("suffix_share"), ((b + 1) / (k + 2)).alias("_every"),
+                                ((b - F.col("b") + 1) / (k - F.col("k") + 2)).alias("_others")), "suffixes")
+    if suffixes.count() <= SUFFIXES:
+        suffixes = F.broadcast(suffixes)
+    rows = rows.join(suffixes, ["_suffix", "_fold"]).withColumn("suffix_blocked", F.when(F.col("_verdict").isNull(), F.col("_every")).otherwise(F.col("_others")))
     ready = VectorAssembler(inputCols=list(LEXICAL), outputCol="_features").transform(rows)
     train = (ready.where("_verdict is not null").select("_features", (F.col("_verdict") == "block").cast("double").alias("_label"), "page_id")
              .orderBy(F.xxhash64("page_id"), "page_id").limit(sample).coalesce(1).persist())
