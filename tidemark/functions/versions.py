@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Version = Sequence[Column]
+PIVOTS = 64
 
 
 def _cols(v) -> list[Column]:
@@ -51,7 +52,8 @@ def minimal_versions(df: DataFrame, coords: Sequence[str]) -> DataFrame:
     """The minimal elements of ``df``'s versions, each once.
 
     In two coordinates: the least second one for each first (map-side combined), then a running
-    minimum over those few rows.  In others: an anti-join on "strictly below"; versions are few.
+    minimum over those few rows.  In others: an anti-join on "strictly below", after one against the
+    ``PIVOTS`` versions with the smallest sums of coordinates, which leaves few.
     """
     if len(coords) == 2:
         a, b = coords
@@ -61,6 +63,9 @@ def minimal_versions(df: DataFrame, coords: Sequence[str]) -> DataFrame:
     every = df.select(*coords).distinct()
     if len(coords) == 1:
         return every.agg(F.min(coords[0]).alias(coords[0])).where(F.col(coords[0]).isNotNull())
+    low = every.orderBy(reduce(lambda x, y: x + y, [F.col(c).cast("bigint") for c in coords]), *coords).limit(PIVOTS)
+    low = low.select(*[F.col(c).alias(f"_{c}") for c in coords])
+    every = every.join(F.broadcast(low), version_lt([f"_{c}" for c in coords], coords), "left_anti")
     other = every.select(*[F.col(c).alias(f"_{c}") for c in coords])
     return every.join(other, version_lt([f"_{c}" for c in coords], coords), "left_anti")
 

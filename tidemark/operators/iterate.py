@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.operators.collection import consolidate, difference
 from tidemark.operators.trace import snapshots
-from tidemark.scratch import saved
+from tidemark.scratch import discard, saved
 from tidemark.sources import M
 
 Body = Callable[[DataFrame], DataFrame]
@@ -27,31 +27,47 @@ def _limit(rounds: int, max_rounds: int, on_limit: str) -> bool:
     return True
 
 
+def _mark(df: DataFrame) -> tuple:
+    """Rows and a hash sum: two tables that differ here differ; equal marks still want a comparison."""
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)"))).first())
+
+
 def iterate(df: DataFrame, f: Body, max_rounds: int = 100, on_limit: str = "raise") -> DataFrame:
-    """f applied until nothing changes; ``on_limit='return'`` gives what ``max_rounds`` rounds give."""
+    """f applied until nothing changes; ``on_limit='return'`` gives what ``max_rounds`` rounds give.
+
+    Rounds are told apart by their marks; only where these agree are the contents compared.  A round's
+    table goes once the next but one is written.
+    """
     now = saved(consolidate(df), "round")
-    rounds = 0
+    mark, old, rounds = _mark(now), None, 0
     while not _limit(rounds, max_rounds, on_limit):
         new = saved(consolidate(f(now)), "round")
         rounds += 1
-        if difference(new, now).isEmpty():
+        was, mark = mark, _mark(new)
+        if was == mark and difference(new, now).isEmpty():
             return new
-        now = new
+        if old is not None:
+            discard(old)
+        old, now = now, new
     return now
 
 
 def iterate_insert_only(df: DataFrame, step: Body, max_rounds: int = 1000) -> DataFrame:
-    """All records that ``step`` reaches from ``df`` (monotone, insert-only): only new ones go on."""
+    """All records that ``step`` reaches from ``df`` (monotone, insert-only): only new ones go on.
+
+    Each round's new records are a table of their own; what has been seen is all of them, never rewritten.
+    """
     cols = [c for c in df.columns if c != M]
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in cols]
     new = saved(df.select(*cols).distinct(), "new")
-    seen = new
+    paths, spark = [new._scratch_path], df.sparkSession
     for _ in range(max_rounds):
+        seen = spark.read.schema(new.schema).parquet(*paths)
         found = step(new.withColumn(M, F.lit(1).cast("bigint"))).select(*cols).distinct()
         new = saved(found.join(seen, same(found, seen), "left_anti"), "new")
         if new.isEmpty():
             return seen.withColumn(M, F.lit(1).cast("bigint"))
-        seen = saved(seen.unionByName(new), "seen")
+        paths.append(new._scratch_path)
     raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
 
 
@@ -74,33 +90,41 @@ def iterate_log(df: DataFrame, f: Body, max_rounds: int = 100, on_limit: str = "
 def at_change_versions(tr: DataFrame, version: str = "version") -> DataFrame:
     """Snapshots at each version that changes anything, with the version as a column of the record."""
     record = [c for c in tr.columns if c not in (M, version)]
-    last = tr.agg(F.max(version)).first()[0]
-    spans = snapshots(tr, version)
-    if last is None:
-        return spans.select(*record, M, F.col("valid_from").alias(version))
-    every = spans.select(*record, M, F.explode(F.sequence("valid_from", F.coalesce(F.col("valid_to") - 1, F.lit(last)))).alias(version))
-    return every.join(tr.select(version).distinct(), version, "left_semi").select(*record, M, version)
+    # places of the versions that occur: intervals are spread over these, not over every integer between
+    placed = saved(tr.select(version).distinct().withColumn("_place", F.row_number().over(Window.orderBy(version))), "places")
+    last = placed.agg(F.max("_place")).first()[0] or 0
+    spans = snapshots(tr.join(placed, version).drop(version), "_place")
+    every = spans.select(*record, M, F.explode(F.sequence("valid_from", F.coalesce(F.col("valid_to") - 1, F.lit(last)))).alias("_place"))
+    return every.join(placed, "_place").select(*record, M, version)
 
 
-def iterate_trace(tr: DataFrame, f: Body, version: str = "version", max_rounds: int = 100) -> DataFrame:
+def iterate_trace_log(tr: DataFrame, f: Body, version: str = "version", max_rounds: int = 100, on_limit: str = "raise") -> DataFrame:
+    """The changes that each round makes at each version, labelled by version and ``round``."""
+    return iterate_log(at_change_versions(tr, version), f, max_rounds, on_limit)
+
+
+def iterate_trace(tr: DataFrame, f: Body, version: str = "version", max_rounds: int = 100, on_limit: str = "raise") -> DataFrame:
     """Changes of the fixpoint at every version, by one loop over all versions at once.
 
+    ``on_limit='return'`` takes what ``max_rounds`` rounds give where a version has not settled.
+
     ``f`` sees the version as a column of the record and must carry it.  A version leaves the loop
     once a round no longer changes it.  Answers start from each version's own input, so deletions
     are right for any ``f``.
     """
     now = saved(consolidate(at_change_versions(tr, version)), "round")
     versions = saved(tr.select(version).distinct(), "versions")
-    done = None
-    for _ in range(max_rounds):
+    done, rounds = None, 0
+    while not _limit(rounds, max_rounds, on_limit):
         new = saved(consolidate(f(now)), "round")
+        rounds += 1
         moving = saved(difference(new, now).select(version).distinct(), "moving")
         still = new.join(moving, version, "left_anti")
         done = still if done is None else done.unionByName(still)
         if moving.isEmpty():
             return _along_versions(done, versions, version)
         now = saved(new.join(moving, version, "left_semi"), "round")
-    raise RuntimeError(f"no fixpoint within {max_rounds} rounds")
+    return _along_versions(now if done is None else done.unionByName(now), versions, version)
 
 
 def _along_versions(answers: DataFrame, versions: DataFrame, version: str) -> DataFrame:

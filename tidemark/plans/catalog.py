@@ -313,6 +313,116 @@ def _(spark, d):
     return T.count_trace(tr, ["key"]).select("key", "count", M, "version.v0", "version.v1")
 
 
+_SUMMED = "SELECT key, {0}, CAST(sum(m) AS BIGINT) AS multiplicity, v0, v1 FROM ({1}) WHERE {0} IS NOT NULL GROUP BY key, {0}, v0, v1 HAVING sum(m) <> 0"
+
+
+@query("r7_sum_product", sql(_SUMMED.format("sum", _FOUR.format("sum")), "order_churn2", more=_product_sql("", "sum", "CAST(sum(s.value * s.multiplicity) AS BIGINT)", "order_churn2")))
+def _(spark, d):
+    return T.sum_product(J.order_churn2(spark, d), ["key"], "value")
+
+
+_MAX_PRODUCT = sql(_SUMMED.format("max", _FOUR.format("max")), "order_churn2", more=_product_sql("", "max", "max(s.value)", "order_churn2"))
+
+
+@query("r7_max_product", _MAX_PRODUCT)
+def _(spark, d):
+    return T.max_product(J.order_churn2(spark, d), ["key"], "value")
+
+
+@query("r7_reduce_product", _MAX_PRODUCT)
+def _(spark, d):
+    return T.reduce_product(J.order_churn2(spark, d), ["key"], ["value"], _largest_only, "max bigint")
+
+
+# Lexicographic versions, taken back six digits later by some orders.
+_LEX = ("t AS (SELECT key, value, multiplicity, {'v0': v0, 'v1': v1} AS version FROM order_churn2 UNION ALL "
+        "SELECT key, value, -multiplicity, {'v0': v0 + 1, 'v1': v1} FROM order_churn2 WHERE value % 3 = 0)")
+
+
+def _lex_trace(spark, d) -> DataFrame:
+    tr = J.order_churn2(spark, d)
+    both = tr.unionByName(C.negate(tr.where("value % 3 = 0")).withColumn("v0", F.col("v0") + 1))
+    return both.withColumn("version", V.lexicographic(["v0", "v1"])).drop("v0", "v1")
+
+
+def _parted(df: DataFrame) -> DataFrame:
+    return df.select(*[c for c in df.columns if c != "version"], "version.v0", "version.v1")
+
+
+_LEX_OUT = "SELECT {0}, multiplicity, version.v0 AS v0, version.v1 AS v1 FROM ({1})"
+
+
+def _odd_extreme(name: str, source: str) -> str:
+    """As ``_extreme_sql`` for any order of versions; null keys are a key, null values no candidates."""
+    spans = (f"spans AS (SELECT key, value, version AS f, lead(version) OVER w AS t, sum(d) OVER w AS net FROM (SELECT key, value, version, sum(multiplicity) AS d "
+             f"FROM {source} WHERE value IS NOT NULL GROUP BY key, value, version HAVING sum(multiplicity) <> 0) WINDOW w AS (PARTITION BY key, value ORDER BY version))")
+    best = (f"best AS (SELECT v.key, v.version, {name}(s.value) AS x FROM (SELECT DISTINCT key, version FROM {source}) v LEFT JOIN spans s ON s.key IS NOT DISTINCT FROM v.key "
+            f"AND s.net > 0 AND s.f <= v.version AND (s.t IS NULL OR v.version < s.t) GROUP BY v.key, v.version)")
+    return f"{spans}, {best}"
+
+
+def _odd_changes(name: str) -> str:
+    return (f"SELECT key, {name}, m AS multiplicity, version FROM (SELECT key, version, unnest([old, x]) AS {name}, unnest([CAST(-1 AS BIGINT), CAST(1 AS BIGINT)]) AS m FROM "
+            f"(SELECT *, lag(x) OVER (PARTITION BY key ORDER BY version) AS old FROM best) WHERE x IS DISTINCT FROM old) WHERE {name} IS NOT NULL")
+
+
+@query("r8_sum_lex", sql(_LEX_OUT.format("key, sum", _changes_sql("value * multiplicity", "sum", "t")), "order_churn2", more=_LEX))
+def _(spark, d):
+    return _parted(T.sum_trace(_lex_trace(spark, d), ["key"], "value"))
+
+
+@query("r8_distinct_lex", sql(_LEX_OUT.format("key, value", _DISTINCT.format("t")), "order_churn2", more=_LEX))
+def _(spark, d):
+    return _parted(T.distinct_trace(_lex_trace(spark, d), ["key", "value"]))
+
+
+for _name, _f in (("min", lambda tr: T.min_trace(tr, ["key"], "value")), ("max", lambda tr: T.max_trace(tr, ["key"], "value")),
+                  ("reduce", lambda tr: T.reduce_trace(tr, ["key"], ["value"], _largest_only, "max bigint"))):
+    _of = "min" if _name == "min" else "max"
+    query(f"r8_{_name}_lex", sql(_LEX_OUT.format(f"key, {_of}", _odd_changes(_of)), "order_churn2", more=f"{_LEX}, {_odd_extreme(_of, 't')}"))(
+        lambda spark, d, f=_f: _parted(f(_lex_trace(spark, d))))
+
+
+# Null keys, null values, and integers beyond 2 ** 53.
+_ODD = ("odd AS (SELECT CASE WHEN key % 10 = 0 THEN NULL ELSE key + 9007199254740992 END AS key, CASE WHEN value % 7 = 0 THEN NULL ELSE value + 9007199254740992 END AS value, multiplicity, version FROM order_churn)")
+
+
+def _as_text(value: str, body: str, more: str = "") -> str:
+    """Keys and values as text, as some clients turn integers beside nulls to floats."""
+    return f"SELECT CAST(key AS VARCHAR) AS key, CAST({value} AS VARCHAR) AS {value}, multiplicity{more} FROM ({body})"
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in df.columns if c not in (M, "version")})
+
+
+def _odd_trace(spark, d) -> DataFrame:
+    big = F.lit(9007199254740992).cast("bigint")
+    return J.order_churn(spark, d).select(F.when(F.col("key") % 10 != 0, F.col("key") + big).alias("key"), F.when(F.col("value") % 7 != 0, F.col("value") + big).alias("value"), M, "version")
+
+
+@query("r3_min_odd", sql(_as_text("min", _odd_changes("min"), ", version"), "order_churn", more=f"{_ODD}, {_odd_extreme('min', 'odd')}"))
+def _(spark, d):
+    return _texts(T.min_trace(_odd_trace(spark, d), ["key"], "value"))
+
+
+@query("r4_max_odd", sql(_as_text("max", _odd_changes("max"), ", version"), "order_churn", more=f"{_ODD}, {_odd_extreme('max', 'odd')}"))
+def _(spark, d):
+    return _texts(T.max_trace(_odd_trace(spark, d), ["key"], "value"))
+
+
+@query("r6_reduce_odd", sql(_as_text("max", _odd_changes("max"), ", version"), "order_churn", more=f"{_ODD}, {_odd_extreme('max', 'odd')}"))
+def _(spark, d):
+    largest = lambda rows: [(v, 1) for v, m in rows if m > 0 and v[0] is not None][-1:]
+    return _texts(T.reduce_trace(_odd_trace(spark, d), ["key"], ["value"], largest, "max bigint"))
+
+
+@query("a1_reduce_odd", sql(
+    _as_text("value", f"SELECT key, value, {ONE} AS multiplicity FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY value NULLS FIRST) AS r FROM odd GROUP BY key, value HAVING sum(multiplicity) > 0) WHERE r <= 2"), "order_churn", more=_ODD))
+def _(spark, d):
+    return _texts(C.reduce_groups(_odd_trace(spark, d).drop("version"), ["key"], ["value"], _two_least, "value bigint"))
+
+
 # ---- versions as data --------------------------------------------------------------------------
 
 @query("v1_snapshot", sql(f"SELECT key, value, {_big('sum(multiplicity)')} AS multiplicity FROM order_churn WHERE version <= 20 GROUP BY key, value HAVING sum(multiplicity) <> 0", "order_churn"))
@@ -592,3 +702,13 @@ def _(spark, d):
 @query("x7_lines_per_customer", f"SELECT o_custkey AS customer, {_big('count(*)')} AS count, {ONE} AS multiplicity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
 def _(spark, d):
     return J.lines_per_customer(spark, d)
+
+
+_X6_PRODUCT = ("SELECT key, count, CAST(sum(m) AS BIGINT) AS multiplicity, v0, v1 FROM (" + _FOUR.format("count") + ") WHERE count IS NOT NULL GROUP BY key, count, v0, v1 HAVING sum(m) <> 0")
+_X6_JOINED = _PRODUCT_B + ", j AS (SELECT a.key, greatest(a.v0, b.v0) AS v0, greatest(a.v1, b.v1) AS v1, a.multiplicity * b.multiplicity AS multiplicity FROM order_churn2 a JOIN b ON a.key = b.key), "
+
+
+@query("x6_join_count_product", sql(_X6_PRODUCT, "order_churn2", more=_X6_JOINED + _product_sql("", "count", "CAST(sum(s.multiplicity) AS BIGINT)", "j")))
+def _(spark, d):
+    left, right = (C.consolidate(x.select("key", M, "v0", "v1")) for x in (J.order_churn2(spark, d), _customers(spark, d)))
+    return T.count_product(T.join_trace(left, right, ["key"], ["v0", "v1"], null_keys=False), ["key"])

@@ -41,6 +41,9 @@ def tap(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_deltas(tr: DataFrame, path: str, version: str = "version") -> None:
-    """Changes as Parquet, one folder a version; rewriting a version replaces it."""
-    (tr.repartition(version).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Changes as Parquet, one folder a version; rewriting a version replaces it.
+
+    Rows are dealt by version, and Spark splits a version that is too large for one task.
+    """
+    (tr.hint("rebalance", F.col(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(version).parquet(path))
