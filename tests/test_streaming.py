@@ -37,3 +37,62 @@ def test_late_rows_are_set_aside(spark):
     late = spark.createDataFrame([(9, 9, 1, 2)], SCHEMA)
     store.run(W.feed([tr, late], "t-late"))
     assert rows(store.late_rows(SCHEMA)) == [(9, 9, 1, 2)]
+
+
+def counts(stored, low, high):
+    return T.count_trace(stored, ["key"]).where(F.col("version") >= low)
+
+
+def test_store_survives_restart_replay_and_folding(spark, tmp_path):
+    """A new store on the path goes on, a batch given again changes nothing, and folded history answers as before."""
+    tr = churn(spark).cache()
+    path = f"file://{tmp_path}/store"
+    parts = [tr.where(F.col("version") == v) for v in range(8)] + [W.heartbeat(tr, 9)]
+    for i, p in enumerate(parts):
+        store = W.VersionedStore(spark, "t-store", counts, path=path, fold_every=3)  # a restart before each batch
+        store.batch(p, i)
+        if i in (2, 5):
+            before = rows(store.changes("key bigint, count bigint, multiplicity bigint, version int"))
+            W.VersionedStore(spark, "t-store", counts, path=path, fold_every=3).batch(p, i)
+            assert rows(store.changes("key bigint, count bigint, multiplicity bigint, version int")) == before
+    assert store.frontier == 9 and store._ids(f"{path}/base") and len(store._ids(store.trace)) < len(parts)
+    assert rows(store.changes("key bigint, count bigint, multiplicity bigint, version int")) == rows(T.count_trace(tr, ["key"]))
+    store.batch(spark.createDataFrame([(9, 9, 1, 4)], SCHEMA), len(parts))
+    assert rows(store.late_rows(SCHEMA)) == [(9, 9, 1, 4)]
+
+
+def test_frontier_by_word_never_moves_back(spark):
+    import pytest
+    tr = churn(spark)
+    store = W.VersionedStore(spark, "t-word", counts)
+    store.batch(tr, 0)
+    assert store.frontier == 7
+    store.advance(8)
+    assert store.frontier == 8
+    assert rows(store.changes("key bigint, count bigint, multiplicity bigint, version int")) == rows(T.count_trace(tr, ["key"]))
+    with pytest.raises(ValueError):
+        store.advance(5)
+
+
+def test_two_inputs_close_what_both_have_closed(spark):
+    tr = churn(spark)
+    sided = tr.withColumn("side", (F.col("key") == 2).cast("int"))
+    store = W.VersionedStore(spark, "t-meet", lambda stored, low, high: stored.where(F.col("version") >= low), side="side", sides=2)
+    store.batch(sided.where("side = 0"), 0)
+    assert store.frontier == 0
+    store.batch(sided.where("side = 1 and version <= 3"), 1)
+    assert store.frontier == 3 and {r.version for r in store.changes(sided.schema).collect()} == {0, 1, 2}
+    a, b = tr.where("key = 1"), tr.where("key = 2 and version <= 4")
+    out = W.run_to_end(W.stream_concat(W.feed([a.where("version <= 5"), a.where("version > 5")], "t-a"), W.feed([b.where("version <= 2"), b.where("version > 2")], "t-b"), ["key"]), "t-two")
+    assert {r.version for r in out.collect()} <= set(range(4)) and out.count() > 0
+
+
+def test_closed_through_tells_the_watermark(spark):
+    from tidemark.scratch import new_folder
+    stream = W.event_time(W.feed([churn(spark)], "t-through"))
+    query = (stream.groupBy("et").agg(F.sum("multiplicity").alias("m")).writeStream.format("memory").queryName("t_through")
+             .option("checkpointLocation", new_folder(spark, "t-through")).outputMode("append").start())
+    try:
+        assert W.closed_through(query).startswith("1970-01-01T00:00:07")
+    finally:
+        query.stop()

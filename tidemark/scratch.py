@@ -68,3 +68,7 @@ def discard(*tables: DataFrame) -> None:
     """Deletes the folders of tables that ``saved`` returned; nothing may read them any more."""
     for df in tables:
         _delete(df.sparkSession, df._scratch_path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
