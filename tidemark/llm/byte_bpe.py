@@ -10,7 +10,7 @@ a batch is encoded once (``cutting``), and a worker keeps the ids of chunks in a
 
 Defined results: null texts count as empty and have no ids; the hash of no ids is that of the empty
 string; repeated rows are encoded each for itself, rows without a doc_id too; other columns never
-reach a task.  Very long texts are cut in parts of about 16 MB, their ids hashed as they come; a
+reach a task.  Very long texts are cut in parts of about 4 MB, their ids hashed as they come; a
 single word of any length goes over one heap, in n log n steps.
 """
 

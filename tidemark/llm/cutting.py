@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 1 << 24
+GROUP_BYTES = 1 << 22
 SPACE, BLANK, LETTER, DIGIT, PUNCT, QUOTE, OTHER = range(7)
 # First bytes of two-byte letters U+00C0-U+017F and U+0400-U+047F; the exceptions below are no
 # letters (multiplication, division) or become two when lower-cased (dotted capital I).

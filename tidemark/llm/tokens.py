@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.cutting import cut, distinct, groups, spread
 
-KEPT = 500_000  # chunks whose ids a worker keeps
+KEPT = 200_000  # chunks whose ids a worker keeps
 LONGEST = 64    # bytes of a chunk worth keeping
 JOINED = 1024
 

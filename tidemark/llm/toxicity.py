@@ -43,7 +43,7 @@ from tidemark.llm.common import crc_fold, documents
 SAMPLE_DOCS = 10_000
 FEATURES = 2_000
 BITMAP = 32_768  # bits of Spark's bitmap aggregate
-CACHE = 400_000
+CACHE = 150_000
 SPACED_RUN = 4
 BREAKS = 4.0  # nats that the breaks around a word of evidence may cost in a spaced run
 THRESHOLD = 0.3
