@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import (byte_bpe, lm_scoring, packing, quality_rules, secret_scan, simhash, token_files, toxicity,
-                          url_filter, vector_dedup)
+from tidemark.llm import (byte_bpe, lm_scoring, packing, prefix_trie, quality_rules, secret_scan, simhash, token_files,
+                          toxicity, url_filter, vector_dedup)
 from tidemark.llm.common import table
 
 
@@ -53,6 +53,11 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.spliced(turns))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_secret_scan, op3_toxicity, op4_byte_bpe, op5_lm_scoring, op6_vector_dedup,
-    op7_quality_rules, op8_token_files, op9_best_fit_packing, op10_url_filter)}
+    op7_quality_rules, op8_token_files, op9_best_fit_packing, op10_url_filter, op11_prefix_trie)}
