@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import (byte_bpe, lm_scoring, packing, prefix_trie, quality_rules, secret_scan, simhash, token_files,
+from tidemark.llm import (alignment, byte_bpe, lm_scoring, packing, prefix_trie, quality_rules, secret_scan, simhash, token_files,
                           toxicity, url_filter, vector_dedup)
 from tidemark.llm.common import table
 
@@ -58,6 +58,11 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(prefix_trie.spliced(turns))
 
 
+def op12_token_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_secret_scan, op3_toxicity, op4_byte_bpe, op5_lm_scoring, op6_vector_dedup,
-    op7_quality_rules, op8_token_files, op9_best_fit_packing, op10_url_filter, op11_prefix_trie)}
+    op7_quality_rules, op8_token_files, op9_best_fit_packing, op10_url_filter, op11_prefix_trie, op12_token_alignment)}
