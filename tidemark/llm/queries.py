@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import (alignment, byte_bpe, lm_scoring, packing, prefix_trie, quality_rules, secret_scan, simhash, token_files,
-                          toxicity, url_filter, vector_dedup)
+from tidemark.llm import (alignment, byte_bpe, lm_scoring, packing, prefix_trie, quality_rules, repeats, secret_scan,
+                          simhash, token_files, toxicity, url_filter, vector_dedup)
 from tidemark.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op12_token_alignment(spark, sf_dir):
                            public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_suffix_dedup(spark, sf_dir):
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_secret_scan, op3_toxicity, op4_byte_bpe, op5_lm_scoring, op6_vector_dedup,
-    op7_quality_rules, op8_token_files, op9_best_fit_packing, op10_url_filter, op11_prefix_trie, op12_token_alignment)}
+    op7_quality_rules, op8_token_files, op9_best_fit_packing, op10_url_filter, op11_prefix_trie, op12_token_alignment, op13_suffix_dedup)}
