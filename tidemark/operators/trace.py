@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import replay
-from tidemark.functions.values import arrow_schema, columns_of, rows_of
 from tidemark.functions.versions import advance_by, version_leq, version_lub
 from tidemark.operators.collection import consolidate, difference, join, not_negative
+from tidemark.operators.product import count_product, distinct_product, max_product, min_product, reduce_product, sum_product
 from tidemark.sources import M
 
 __all__ = ["append_trace", "compact", "count_product", "count_trace", "delta_between", "distinct_product", "distinct_trace", "join_trace",
@@ -90,111 +89,6 @@ def reduce_trace(tr: DataFrame, key: Sequence[str], value: Sequence[str], f: Cal
     return replay.replay(tr, key, value, lambda: replay.Replay(f), result, version)
 
 
-def _grid(tr: DataFrame, key: Sequence[str], own: Sequence[str], coords: Sequence[str], term: Column | None = None) -> DataFrame:
-    """Prefix sums of changes (of ``term``, else the multiplicity) and of rows over each key's grid of coordinates.
-
-    ``own`` extends the key by values that are summed apart but share the key's grid.
-    """
-    a, b = coords
-    summed = tr.groupBy(*key, *own, a, b).agg(F.coalesce(F.sum(F.col(M) if term is None else term), F.lit(0)).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    points = tr.select(*key, a).distinct().join(tr.select(*key, b).distinct(), list(key))
-    if own:
-        points = points.join(tr.select(*key, *own).distinct(), list(key))
-    full = points.join(summed, [*key, *own, a, b], "left").fillna(0, ["_d", "_n"])
-    for order, others in ((a, b), (b, a)):
-        w = Window.partitionBy(*key, *own, others).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        full = full.withColumn("_d", F.sum("_d").over(w)).withColumn("_n", F.sum("_n").over(w))
-    return full
-
-
-def _cross_difference(answers: DataFrame, key: Sequence[str], name: str, coords: Sequence[str]) -> DataFrame:
-    """Changes of an answer (null: none) by first differences along both coordinates."""
-    a, b = coords
-    along_a, along_b = Window.partitionBy(*key, b).orderBy(a), Window.partitionBy(*key, a).orderBy(b)
-    step = answers.withColumn("_x", F.lag(name).over(along_a)).withColumn("_y", F.lag(name).over(along_b)).withColumn("_xy", F.lag("_x").over(along_b))
-    terms = F.array(*[F.struct(F.col(c).alias("x"), F.lit(m).cast("bigint").alias("m")) for c, m in ((name, 1), ("_x", -1), ("_y", -1), ("_xy", 1))])
-    rows = step.select(*key, a, b, F.explode(terms).alias("_c")).where("_c.x is not null")
-    return consolidate(rows.select(*key, F.col("_c.x").alias(name), F.col("_c.m").alias(M), a, b))
-
-
-def count_product(tr: DataFrame, key: Sequence[str], coords: Sequence[str] = ("v0", "v1")) -> DataFrame:
-    """``count_trace`` where versions are partially ordered by two coordinates."""
-    full = _grid(tr, key, (), coords)
-    answers = full.select(*key, *coords, F.when(F.col("_n") > 0, F.col("_d")).alias("count"))
-    return _cross_difference(answers, key, "count", coords)
-
-
-def sum_product(tr: DataFrame, key: Sequence[str], value: str, coords: Sequence[str] = ("v0", "v1")) -> DataFrame:
-    """``sum_trace`` in product order; null values add nothing."""
-    full = _grid(tr, key, (), coords, F.col(value) * F.col(M))
-    answers = full.select(*key, *coords, F.when(F.col("_n") > 0, F.col("_d")).alias("sum"))
-    return _cross_difference(answers, key, "sum", coords)
-
-
-def _extreme_product(tr: DataFrame, key: Sequence[str], value: str, coords: Sequence[str], name: str, pick: Callable) -> DataFrame:
-    full = _grid(tr, key, (value,), coords)
-    answers = full.groupBy(*key, *coords).agg(pick(F.when(not_negative(F.col("_d")) > 0, F.col(value))).alias(name))
-    return _cross_difference(answers, key, name, coords)
-
-
-def min_product(tr: DataFrame, key: Sequence[str], value: str, coords: Sequence[str] = ("v0", "v1")) -> DataFrame:
-    return _extreme_product(tr, key, value, coords, "min", F.min)
-
-
-def max_product(tr: DataFrame, key: Sequence[str], value: str, coords: Sequence[str] = ("v0", "v1")) -> DataFrame:
-    return _extreme_product(tr, key, value, coords, "max", F.max)
-
-
-def reduce_product(tr: DataFrame, key: Sequence[str], value: Sequence[str], f: Callable, result: str, coords: Sequence[str] = ("v0", "v1")) -> DataFrame:
-    """``reduce_trace`` in product order: ``f`` sees a key's values at each point of the key's grid.
-
-    A key's consolidated changes must fit a task, as its grid is swept there.
-    """
-    a, b = coords
-    types = dict(tr.dtypes)
-    spec = ", ".join([*(f"`{k}` {types[k]}" for k in key), result, f"{M} bigint", f"`{a}` {types[a]}", f"`{b}` {types[b]}"])
-    shape = arrow_schema(spec)
-
-    def run(group: pa.Table) -> pa.Table:
-        ids = rows_of([group.column(k).slice(0, 1) for k in key])[0] if key else ()
-        changes: dict = {}
-        for x, y, v, m in zip(group.column(a).to_pylist(), group.column(b).to_pylist(), rows_of([group.column(c) for c in value]), group.column(M).to_pylist()):
-            changes.setdefault(x, {}).setdefault(y, []).append((v, m))
-        along = sorted({y for ys in changes.values() for y in ys})
-        upto: dict = {y: {} for y in along}  # net changes at coordinate y of all rows with a first coordinate seen so far
-        below, out = [[] for _ in along], []
-        for x in sorted(changes):
-            for y, rows in changes[x].items():
-                for v, m in rows:
-                    upto[y][v] = upto[y].get(v, 0) + m
-            net, before, last = {}, [], []
-            for i, y in enumerate(along):
-                for v, m in upto[y].items():
-                    net[v] = net.get(v, 0) + m
-                live = {v: m for v, m in net.items() if m}
-                answer = f(replay.in_order(live)) if live else []
-                # the change at (x, y) is the answer's second difference over the grid
-                step: dict = {}
-                for rows, sign in ((answer, 1), (below[i], -1), (before, -1), (last, 1)):
-                    for v, m in rows:
-                        step[v] = step.get(v, 0) + sign * m
-                out += [(*ids, *v, m, x, y) for v, m in replay.in_order({v: m for v, m in step.items() if m})]
-                before, last, below[i] = answer, below[i], answer
-        return pa.Table.from_arrays(columns_of(out, shape), schema=shape)
-
-    return consolidate(tr.select(*key, *value, M, a, b)).groupBy(*key).applyInArrow(run, spec)
-
-
-def distinct_product(tr: DataFrame, cols: Sequence[str], coords: Sequence[str] = ("v0", "v1")) -> DataFrame:
-    """Presence on each record's own grid, differenced along both coordinates."""
-    a, b = coords
-    there = _grid(tr, cols, (), coords).withColumn("_in", (not_negative(F.col("_d")) > 0).cast("bigint"))
-    along_a, along_b = Window.partitionBy(*cols, b).orderBy(a), Window.partitionBy(*cols, a).orderBy(b)
-    step = there.withColumn("_da", F.col("_in") - F.lag("_in", 1, 0).over(along_a))
-    step = step.withColumn(M, F.col("_da") - F.lag("_da", 1, 0).over(along_b))
-    return step.where(F.col(M) != 0).select(*cols, M, a, b)
-
-
 def snapshot_at(tr: DataFrame, at: dict[str, int]) -> DataFrame:
     """The collection as of a version: all changes at or before it."""
     names = list(at)

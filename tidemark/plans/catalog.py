@@ -696,7 +696,7 @@ _JOIN_COUNT = sql(_changes_sql("multiplicity", "count", f"({_JOINED})"), "order_
 
 @query("x6_join_count", _JOIN_COUNT)
 def _(spark, d):
-    return J.join_count(J.order_trace(spark, d), J.line_trace(spark, d))
+    return J.join_count(J.order_trace(spark, d), J.line_trace(spark, d), null_keys=False)
 
 
 @query("x7_lines_per_customer", f"SELECT o_custkey AS customer, {_big('count(*)')} AS count, {ONE} AS multiplicity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
@@ -710,5 +710,102 @@ _X6_JOINED = _PRODUCT_B + ", j AS (SELECT a.key, greatest(a.v0, b.v0) AS v0, gre
 
 @query("x6_join_count_product", sql(_X6_PRODUCT, "order_churn2", more=_X6_JOINED + _product_sql("", "count", "CAST(sum(s.multiplicity) AS BIGINT)", "j")))
 def _(spark, d):
-    left, right = (C.consolidate(x.select("key", M, "v0", "v1")) for x in (J.order_churn2(spark, d), _customers(spark, d)))
-    return T.count_product(T.join_trace(left, right, ["key"], ["v0", "v1"], null_keys=False), ["key"])
+    return J.join_count(J.order_churn2(spark, d), _customers(spark, d), null_keys=False, versions=("v0", "v1"))
+
+
+# ---- three coordinates, null keys, records taken back ------------------------------------------
+
+_CHURN3 = ("b3 AS (SELECT CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS key, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(floor(o_totalprice / 20000) AS BIGINT) END AS value, "
+           "CAST((year(o_orderdate) - 1992) // 2 AS INTEGER) AS v0, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) // 2 AS v1, CAST(month(o_orderdate) // 5 AS INTEGER) AS v2, o_orderstatus FROM orders), "
+           f"t3 AS (SELECT key, value, {ONE} AS multiplicity, v0, v1, v2 FROM b3 UNION ALL SELECT key, value, CAST(-1 AS BIGINT), v0 + 1, v1, v2 + 1 FROM b3 WHERE o_orderstatus = 'F')")
+
+
+def churn3(spark, d) -> DataFrame:
+    """key custkey or null, value price class or null, version (years, priority, season); filled orders go one step later in two coordinates."""
+    o = J.read(spark, d, "orders").select(
+        F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("key"), F.when(F.col("o_orderkey") % 7 != 0, F.floor(F.col("o_totalprice") / 20000).cast("bigint")).alias("value"),
+        F.expr("cast((year(o_orderdate) - 1992) div 2 as int)").alias("v0"), F.expr("cast(cast(substr(o_orderpriority, 1, 1) as int) div 2 as int)").alias("v1"),
+        F.expr("cast(month(o_orderdate) div 5 as int)").alias("v2"), "o_orderstatus")
+    cols = ["key", "value", M, "v0", "v1", "v2"]
+    gone = o.where("o_orderstatus = 'F'").withColumns({M: F.lit(-1).cast("bigint"), "v0": F.col("v0") + 1, "v2": F.col("v2") + 1})
+    return S.collection(o).select(*cols).unionByName(gone.select(*cols))
+
+
+def _by_axes(keys: list[str], name: str, answer: str, source: str, coords: list[str]) -> str:
+    """By definition: the answer on each key's whole grid, then +1 here and -1 at the next place, along one axis after the other."""
+    same = lambda a, b, cols: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols)
+    k = ", ".join(keys)
+    axes = ", ".join(f"a{i} AS (SELECT {k}, {c}, lead({c}) OVER (PARTITION BY {k} ORDER BY {c}) AS nxt FROM (SELECT DISTINCT {k}, {c} FROM {source}))" for i, c in enumerate(coords))
+    grid = f"SELECT {', '.join('a0.' + x for x in keys)}, {', '.join(f'a{i}.{c}' for i, c in enumerate(coords))} FROM a0 " + " ".join(f"JOIN a{i} ON {same('a0', f'a{i}', keys)}" for i in range(1, len(coords)))
+    upto = " AND ".join(f"s.{c} <= g.{c}" for c in coords)
+    spots = ", ".join(f"g.{x}" for x in [*keys, *coords])
+    steps = [f"{axes}, grid AS ({grid}), r0 AS (SELECT {spots}, {answer} AS {name}, 1 AS m FROM grid g JOIN {source} s ON {same('g', 's', keys)} AND {upto} GROUP BY ALL)"]
+    for i, c in enumerate(coords):
+        rest = ", ".join(f"r.{x}" for x in [*keys, *coords, name] if x != c)
+        every = ", ".join([*keys, *coords, name])
+        steps.append(f"r{i + 1} AS (SELECT {every}, m FROM r{i} UNION ALL SELECT {every}, m FROM (SELECT {rest}, x.nxt AS {c}, -r.m AS m FROM r{i} r JOIN a{i} x ON {same('r', 'x', keys)} AND r.{c} = x.{c} WHERE x.nxt IS NOT NULL))")
+    return ", ".join(steps)
+
+
+_THREE_KEPT = "SELECT CAST(key AS VARCHAR) AS key, {0}, CAST(sum(m) AS BIGINT) AS multiplicity, v0, v1, v2 FROM r3 WHERE {0} IS NOT NULL GROUP BY ALL HAVING sum(m) <> 0"
+_XYZ = ["v0", "v1", "v2"]
+
+
+def _said(df: DataFrame) -> DataFrame:
+    return df.withColumn("key", F.col("key").cast("string"))
+
+
+def _extreme3(pick: str) -> str:
+    """As ``_by_axes`` with the extreme of the values whose net is positive at a place of the grid."""
+    axes = _by_axes(["key"], pick, "NULL", "t3", _XYZ).split(", r0 AS (")
+    rest = axes[1][axes[1].index("), r1 AS (") + 1:]
+    nets = ("nets AS (SELECT g.key, g.v0, g.v1, g.v2, s.value FROM grid g JOIN t3 s ON g.key IS NOT DISTINCT FROM s.key AND s.v0 <= g.v0 AND s.v1 <= g.v1 AND s.v2 <= g.v2 "
+            "WHERE s.value IS NOT NULL GROUP BY ALL HAVING sum(s.multiplicity) > 0)")
+    return f"{axes[0]}, {nets}, r0 AS (SELECT key, v0, v1, v2, {pick}(value) AS {pick}, 1 AS m FROM nets GROUP BY ALL){rest}"
+
+
+@query("r7_count_three", sql(_THREE_KEPT.format("count"), more=_CHURN3 + ", " + _by_axes(["key"], "count", "CAST(sum(s.multiplicity) AS BIGINT)", "t3", _XYZ)))
+def _(spark, d):
+    return _said(T.count_product(churn3(spark, d), ["key"], _XYZ))
+
+
+@query("r7_sum_three", sql(_THREE_KEPT.format("sum"), more=_CHURN3 + ", " + _by_axes(["key"], "sum", "CAST(coalesce(sum(s.value * s.multiplicity), 0) AS BIGINT)", "t3", _XYZ)))
+def _(spark, d):
+    return _said(T.sum_product(churn3(spark, d), ["key"], "value", _XYZ))
+
+
+@query("r7_min_three", sql(_THREE_KEPT.format("min"), more=_CHURN3 + ", " + _extreme3("min")))
+def _(spark, d):
+    return _said(T.min_product(churn3(spark, d), ["key"], "value", _XYZ))
+
+
+@query("r7_max_three", sql(_THREE_KEPT.format("max"), more=_CHURN3 + ", " + _extreme3("max")))
+def _(spark, d):
+    return _said(T.max_product(churn3(spark, d), ["key"], "value", _XYZ))
+
+
+@query("r7_distinct_three", sql(
+    "SELECT CAST(key AS VARCHAR) AS key, CAST(value AS VARCHAR) AS value, CAST(sum(m * here) AS BIGINT) AS multiplicity, v0, v1, v2 FROM r3 GROUP BY ALL HAVING sum(m * here) <> 0",
+    more=_CHURN3 + ", " + _by_axes(["key", "value"], "here", "CASE WHEN sum(s.multiplicity) > 0 THEN 1 ELSE 0 END", "t3", _XYZ)))
+def _(spark, d):
+    return _said(T.distinct_product(churn3(spark, d), ["key", "value"], _XYZ)).withColumn("value", F.col("value").cast("string"))
+
+
+@query("r7_reduce_three", sql(_THREE_KEPT.format("max"), more=_CHURN3 + ", " + _extreme3("max")))
+def _(spark, d):
+    largest = lambda rows: [(v, 1) for v, m in rows if m > 0 and v[0] is not None][-1:]
+    return _said(T.reduce_product(churn3(spark, d), ["key"], ["value"], largest, "max bigint", _XYZ))
+
+
+_X6_ODD = ("o AS (SELECT CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS key, v0, v1, multiplicity FROM (SELECT o_custkey, CAST(year(o_orderdate) - 1995 AS INTEGER) AS v0, "
+           f"CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS v1, {ONE} AS multiplicity FROM orders)), "
+           f"c AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey END AS key, c_nationkey % 7 AS v0, c_nationkey % 5 + 1 AS v1, {ONE} AS multiplicity FROM customer), "
+           "ca AS (SELECT key, v0, v1, sum(multiplicity) AS multiplicity FROM c GROUP BY ALL), oa AS (SELECT key, v0, v1, sum(multiplicity) AS multiplicity FROM o GROUP BY ALL), "
+           "j AS (SELECT oa.key, CAST(greatest(oa.v0, ca.v0) AS INTEGER) AS v0, CAST(greatest(oa.v1, ca.v1) AS INTEGER) AS v1, oa.multiplicity * ca.multiplicity AS multiplicity FROM oa JOIN ca ON oa.key IS NOT DISTINCT FROM ca.key), ")
+
+
+@query("x6_join_count_odd", sql("SELECT CAST(key AS VARCHAR) AS key, count, CAST(sum(m) AS BIGINT) AS multiplicity, v0, v1 FROM r2 GROUP BY ALL HAVING sum(m) <> 0",
+                                more=_X6_ODD + _by_axes(["key"], "count", "CAST(sum(s.multiplicity) AS BIGINT)", "j", ["v0", "v1"])))
+def _(spark, d):
+    odd = lambda df: df.withColumn("key", F.when(F.col("key") % 10 != 0, F.col("key")))
+    return _said(J.join_count(odd(J.order_churn2(spark, d)), odd(_customers(spark, d)), versions=("v0", "v1")))

@@ -89,14 +89,17 @@ def closure_step(limit: int, step):
     return f
 
 
-def join_count(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
-    """Changes of the number of joined records a key, pre-aggregated.
+def join_count(a: DataFrame, b: DataFrame, key: str = "key", null_keys: bool = True, versions: tuple[str, ...] = ("version",)) -> DataFrame:
+    """Changes of the number of joined records a key, pre-aggregated; several ``versions`` are coordinates of a product order.
+
+    Null keys match each other; ``null_keys=False`` says that there are none, which saves an exchange.
 
     The count needs no values: each side shrinks to one net change for each (key, version) before
     the join, which keeps hot keys at one row a version.
     """
-    left, right = (C.consolidate(x.select(key, M, "version")) for x in (a, b))
-    return T.count_trace(T.join_trace(left, right, [key], null_keys=False), [key])
+    left, right = (C.consolidate(x.select(key, M, *versions)) for x in (a, b))
+    joined = T.join_trace(left, right, [key], versions, null_keys)
+    return T.count_trace(joined, [key], *versions) if len(versions) == 1 else T.count_product(joined, [key], versions)
 
 
 def lines_per_customer(spark, sf_dir) -> DataFrame:
