@@ -28,6 +28,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,12 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import documents, saved
 from tidemark.llm.cutting import distinct, groups, spread
+from tidemark.llm.tokens import Cache
 
 BLOCK_BYTES = 16 << 20
-KEPT, LONGEST = 200_000, 64  # segments that a worker keeps, and their longest
+KEPT = 50_000    # segments that a worker keeps
+SHIFT = 20       # a pair is one number: A's id, then SHIFT bits of B's
+LONG_GROUP = 4096
 SPACE = "▁"
 _UNVISIBLE = np.zeros(256, dtype=bool)
 _UNVISIBLE[:0x21] = True
@@ -49,52 +53,44 @@ _UNVISIBLE[0x7F] = True
 
 def runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places behind the last token of each group in both end arrays (ascending; the last ends are equal)."""
-    n, m = len(ends_a), len(ends_b)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = ends_a.tolist(), ends_b.tolist()
-    cut_a, cut_b = [], []
+    n, m = len(a), len(b)
+    from_a, from_b, many = [], [], []  # stretches of groups that follow each other one to one
     i = j = 0
     while i < n:
-        # how far do the arrays agree at this shift?  one, two, four, ... places, then by halves
-        known, step = 0, 1
-        limit = min(n - i, m - j)
-        while known < limit:
-            upto = min(known + step, limit)
-            if a[i + known:i + upto] == b[j + known:j + upto]:
-                known, step = upto, step * 2
-            elif step == 1:
-                break
-            else:
-                step = max(1, (upto - known) // 2)
-                while step:  # the first difference lies in the stretch just probed
-                    if known + step <= limit and a[i + known:i + known + step] == b[j + known:j + known + step]:
-                        known += step
-                    step //= 2
-                break
-        if known:
-            cut_a.append((i, i + known))
-            cut_b.append((j, j + known))
-            i, j = i + known, j + known
-            if i >= n:
-                break
-        # an irregular group: the side that is behind goes on until both ends meet
-        while a[i] != b[j]:
-            if a[i] < b[j]:
-                i += 1
-            else:
-                j += 1
-        i, j = i + 1, j + 1
-        cut_a.append((i - 1, i))
-        cut_b.append((j - 1, j))
-    flat = lambda spans: np.concatenate([np.arange(x + 1, y + 1) for x, y in spans])
-    return _unrolled(cut_a) if len(cut_a) > 64 else flat(cut_a), _unrolled(cut_b) if len(cut_b) > 64 else flat(cut_b)
-
-
-def _unrolled(spans: list[tuple[int, int]]) -> np.ndarray:
-    x = np.array(spans, dtype=np.int64)
-    many = x[:, 1] - x[:, 0]
-    return np.arange(int(many.sum())) + np.repeat(x[:, 0] + 1 - (np.cumsum(many) - many), many)
+        x, y = a[i], b[j]
+        if x != y:
+            # an irregular group: the side that is behind goes on until both ends meet; the shift changes
+            while x != y:
+                if x < y:
+                    i += 1
+                    x = a[i]
+                else:
+                    j += 1
+                    y = b[j]
+            known = 1
+        else:
+            # how far do the arrays agree at this shift?  one, two, four, ... places, then by halves
+            known, step, limit = 1, 1, min(n - i, m - j)
+            while known + step <= limit and a[i + known:i + known + step] == b[j + known:j + known + step]:
+                known += step
+                step *= 2
+            step = min(step, limit - known)
+            while step:
+                if known + step <= limit and a[i + known:i + known + step] == b[j + known:j + known + step]:
+                    known += step
+                step //= 2
+        from_a.append(i)
+        from_b.append(j)
+        many.append(known)
+        i += known
+        j += known
+    return _unrolled(from_a, many), _unrolled(from_b, many)
+
+
+def _unrolled(first: list[int], many: list[int]) -> np.ndarray:
+    first, many = np.array(first, dtype=np.int64), np.array(many, dtype=np.int64)
+    return np.arange(int(many.sum())) + np.repeat(first + 1 - (np.cumsum(many) - many), many)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -121,68 +117,87 @@ class Pair:
             raise ValueError("a piece of the vocabulary goes on after a space: texts cannot be cut there")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(SPACE, " ").encode() for p in pieces]
         self.size_a, self.size_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.known: dict[bytes, tuple] = {}
-
-    def learn(self, segments: list[bytes]) -> dict[bytes, tuple]:
-        """For each segment (fits, n_a, n_b, n_groups, links as bytes of pair numbers, text of its groups)."""
+        if max(len(self.bytes_a), len(self.bytes_b)) > 1 << SHIFT:
+            raise ValueError("a vocabulary is too large for the numbers of pairs")
+        # what a token adds to a text of groups: its number and what follows it
+        said = lambda n, mark: np.array([b"%d%s" % (i, mark) for i in range(n)], dtype=object)
+        self.said_a, self.said_b = [[said(len(t), x) for x in marks] for t, marks in ((self.bytes_a, (b",", b"|")), (self.bytes_b, (b",", b";")))]
+        self.known = Cache(KEPT)
+
+    def _fitting(self, segments: list[bytes], ids: list[list[int]], names: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Are the tokens' bytes the segment's?  Asked of all at once; one by one only where that fails."""
+        flat = _flat(ids)
+        owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        fits = np.bincount(owner, sizes[flat], len(ids)) == [len(s) for s in segments]
+        if fits.all() and b"".join(map(names.__getitem__, flat.tolist())) == b"".join(segments):
+            return fits
+        return np.array([b"".join(map(names.__getitem__, x)) == s for s, x in zip(segments, ids)], dtype=bool)
+
+    def learn(self, segments: list[bytes]) -> None:
+        """Adds to ``known`` for each segment (fits, n_a, n_b, n_groups, links, their weights if not one, text of its groups)."""
         texts = [s.decode() for s in segments]
         ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         ids_b = [y if t != " " else [self.b.piece_to_id(SPACE)] for t, y in zip(texts, self.b.encode([t[1:] for t in texts], num_threads=1))]
-        out, fit = {}, []
-        for s, x, y in zip(segments, ids_a, ids_b):
-            if b"".join(map(self.bytes_a.__getitem__, x)) == s and b"".join(map(self.bytes_b.__getitem__, y)) == s:
-                fit.append((s, x, y))
-            else:
-                out[s] = (False, 0, 0, 0, b"", b"")
-        flat_a = np.fromiter((i for _, x, _ in fit for i in x), np.int64)
-        flat_b = np.fromiter((i for _, _, y in fit for i in y), np.int64)
+        fits = self._fitting(segments, ids_a, self.bytes_a, self.size_a) & self._fitting(segments, ids_b, self.bytes_b, self.size_b)
+        if not fits.all():
+            bad = (False, 0, 0, 0, b"", b"", b"")
+            self.known.update((s, bad) for s, f in zip(segments, fits.tolist()) if not f)
+            segments, ids_a, ids_b = ([x for x, f in zip(every, fits.tolist()) if f] for every in (segments, ids_a, ids_b))
+        if not segments:
+            return
+        flat_a, flat_b = _flat(ids_a), _flat(ids_b)
         cut_a, cut_b = runs(np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b]))
-        of = np.searchsorted(cut_a, np.cumsum([len(x) for _, x, _ in fit]), side="left") + 1 if fit else []  # groups up to each segment's end
-        cut_a, cut_b, flat_a, flat_b = cut_a.tolist(), cut_b.tolist(), flat_a.tolist(), flat_b.tolist()
-        i = j = g = 0
-        for (s, x, y), stop in zip(fit, np.asarray(of).tolist()):
-            links, said = [], []
-            for k in range(g, stop):
-                left, right = flat_a[i:cut_a[k]], flat_b[j:cut_b[k]]
-                i, j = cut_a[k], cut_b[k]
-                if len(left) == 1 == len(right):
-                    links.append(left[0] << 32 | right[0])
-                    said.append(f"{left[0]}|{right[0]}")
-                else:
-                    links += [p << 32 | q for p in left for q in right] if len(left) * len(right) <= 4096 else []
-                    said.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                    if len(left) * len(right) > 4096:
-                        links.append((left, right))  # a long group: counted by kinds, not written out
-            out[s] = (True, len(x), len(y), stop - g, _weighted(links), ";".join(said).encode())
-            g = stop
-        return out
+        from_a, from_b = np.r_[0, cut_a[:-1]], np.r_[0, cut_b[:-1]]
+        n_a, n_b = cut_a - from_a, cut_b - from_b
+        in_a, in_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (ids_a, ids_b))
+        groups_to = np.searchsorted(cut_a, np.cumsum(in_a)) + 1  # groups up to each segment's end
+        n_groups = np.diff(groups_to, prepend=0)
+        # the text of all groups in turn
+        place_a, place_b = (np.repeat(f, n) for f, n in ((from_b, n_a), (cut_a, n_b)))  # tokens of the other side before one
+        pieces = np.empty(len(flat_a) + len(flat_b), dtype=object)
+        last_a, last_b = np.zeros(len(flat_a), bool), np.zeros(len(flat_b), bool)
+        last_a[cut_a - 1], last_b[cut_b - 1] = True, True
+        pieces[np.arange(len(flat_a)) + place_a] = np.where(last_a, self.said_a[1][flat_a], self.said_a[0][flat_a])
+        pieces[np.arange(len(flat_b)) + place_b] = np.where(last_b, self.said_b[1][flat_b], self.said_b[0][flat_b])
+        pieces = pieces.tolist()
+        stops = (np.cumsum(in_a) + np.cumsum(in_b)).tolist()
+        # links: every token of A with every token of B of its group
+        many = n_a * n_b
+        long = many > LONG_GROUP
+        usual = np.where(long, 0, many)
+        offset = np.arange(int(usual.sum())) - np.repeat(np.cumsum(usual) - usual, usual)
+        wide = np.repeat(n_b, usual)
+        links = flat_a[np.repeat(from_a, usual) + offset // wide] << SHIFT | flat_b[np.repeat(from_b, usual) + offset % wide]
+        upto = np.cumsum(usual)[groups_to - 1].tolist()
+        rare = np.flatnonzero(long)
+        owner = dict.fromkeys(np.searchsorted(groups_to, rare, side="right").tolist())
+        x = y = 0
+        for k, (s, a, b, g, stop, end) in enumerate(zip(segments, in_a.tolist(), in_b.tolist(), n_groups.tolist(), stops, upto)):
+            own, weights = links[x:end], b""
+            if k in owner:  # a long group is counted by kinds of token, not link by link
+                found = [(own, np.ones(len(own), np.int64))]
+                for q in rare[(rare >= groups_to[k] - g) & (rare < groups_to[k])].tolist():
+                    (p, n), (r, m) = (np.unique(f[u:v], return_counts=True) for f, u, v in ((flat_a, from_a[q], cut_a[q]), (flat_b, from_b[q], cut_b[q])))
+                    found.append(((p[:, None] << SHIFT | r[None, :]).ravel(), (n[:, None] * m[None, :]).ravel()))
+                own, n = _summed(*(np.concatenate(c) for c in zip(*found)))
+                weights = n.tobytes()
+            self.known[s] = (True, a, b, g, own.tobytes(), weights, b"".join(pieces[y:stop]))
+            x, y = end, stop
 
     def segments(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[tuple]]]:
         """(first text, texts, their first segments, number of each segment, what each distinct one is)."""
-        for first, buf, starts, texts, added in _spaced_groups(column):
+        for first, texts, buf, starts in _spaced_groups(column):
             cuts = _cuts(buf, starts)
             numbers, names = distinct(buf, cuts)
-            new = [s for s in names if s not in self.known]
-            found = self.learn(new) if new else {}
-            yield first, texts, np.searchsorted(cuts, starts), numbers, [found[s] if s in found else self.known[s] for s in names]
-            short = {s: v for s, v in found.items() if len(s) <= LONGEST}
-            if len(self.known) + len(short) > KEPT:
-                self.known = {s: self.known[s] for s in names if s in self.known}
-            if len(self.known) + len(short) <= KEPT:
-                self.known.update(short)
-
-
-def _weighted(links: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pair numbers of a segment and how many links each has."""
-    plain = [x for x in links if not isinstance(x, tuple)]
-    if len(plain) == 1 and len(links) == 1:
-        return np.array(plain, np.int64), np.ones(1, np.int64)
-    keys, many = [np.array(plain, np.int64)], [np.ones(len(plain), np.int64)]
-    for left, right in (x for x in links if isinstance(x, tuple)):
-        (p, n), (q, m) = np.unique(left, return_counts=True), np.unique(right, return_counts=True)
-        keys.append(((p[:, None] << 32) | q[None, :]).ravel())
-        many.append((n[:, None] * m[None, :]).ravel())
-    return _summed(np.concatenate(keys), np.concatenate(many))
+            new = self.known.met(set(names))
+            if new:
+                self.learn(list(new))
+            yield first, texts, np.searchsorted(cuts, starts), numbers, list(map(self.known.__getitem__, names))
+            self.known.drop_long(new)
+
+
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
 
 
 def _summed(keys: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,18 +210,17 @@ def _summed(keys: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _spaced_groups(column: pa.Array) -> Iterator[tuple]:
-    """``cutting.groups`` with a space put before each text; a part of a very long text that goes on begins with its own space."""
+    """(first text, texts, bytes, starts): ``cutting.groups`` with a space before each text; a part that goes on begins with its own."""
     last = -1
     for first, data, starts, texts in groups(column):
         if not len(starts):
             continue
-        goes_on = first == last and len(texts) == 1 and texts[0] == 0
-        last = first if len(texts) == 1 and texts[0] == 0 else -1
-        if goes_on:
-            yield first, data, starts, texts, 0
+        alone = len(texts) == 1 and texts[0] == 0
+        if first == last and alone:
+            yield first, texts, data, starts
         else:
-            buf = np.insert(data, starts, 0x20)
-            yield first, buf, starts + np.arange(len(starts)), texts, 1
+            yield first, texts, np.insert(data, starts, 0x20), starts + np.arange(len(starts))
+        last = first if alone else -1
 
 
 def _cuts(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -219,7 +233,10 @@ def _cuts(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
         p1, p2 = before[wide], buf[at[wide] - 2]
         p3 = buf[np.maximum(at[wide] - 3, 0)]
         fine[wide] = ~((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0)) | (p3 >= 0xE1) & (p3 <= 0xE3) & ((p2 == 0x9A) | (p2 == 0x80) | (p2 == 0x81)))
-    return np.union1d(at[fine], starts)
+    first = np.zeros(len(buf), dtype=bool)
+    first[at[fine]] = True
+    first[starts] = True
+    return np.flatnonzero(first)
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -250,28 +267,33 @@ def _aligned(pair: Pair, column: pa.Array) -> Iterator[tuple]:
     """(n_a, n_b, n_groups, sha, distinct pairs, links of each) of each text in order."""
     at, now = 0, _Text()
     for first, texts, first_segment, numbers, what in pair.segments(column):
-        fits, n_a, n_b, n_groups = (np.array([w[k] for w in what], dtype=np.int64) for k in range(4))
-        pairs = [w[4] if w[0] else (np.zeros(0, np.int64),) * 2 for w in what]
-        sizes = np.array([len(p[0]) for p in pairs], dtype=np.int64)
-        keys, per_segment = spread(numbers, sizes, np.concatenate([p[0] for p in pairs]))
-        many, _ = spread(numbers, sizes, np.concatenate([p[1] for p in pairs]))
-        said = [w[5] for w in what]
+        fits, n_a, n_b, n_groups = (np.array(c, dtype=np.int64) for c in list(zip(*what))[:4])
+        sizes = np.array([len(w[4]) // 8 for w in what], dtype=np.int64)
+        links, per_segment = spread(numbers, sizes, np.frombuffer(b"".join([w[4] for w in what]), np.int64))
+        weights = None
+        if any(w[5] for w in what):
+            weights, _ = spread(numbers, sizes, np.frombuffer(b"".join([w[5] or np.ones(len(w[4]) // 8, np.int64).tobytes() for w in what]), np.int64))
+        said = [w[6] for w in what]
         sums = [np.add.reduceat(x[numbers], first_segment).tolist() for x in (1 - fits, n_a, n_b, n_groups)]
-        # links of one pair in one text are one row: sort by (text, pair)
-        text_of = np.repeat(np.arange(len(texts)), np.add.reduceat(per_segment, first_segment))
-        order = np.lexsort((keys, text_of))
-        keys, text_of, many = keys[order], text_of[order], many[order]
-        heads = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (text_of[1:] != text_of[:-1])]) if len(keys) else np.zeros(0, np.int64)
-        many = np.add.reduceat(many, heads) if len(keys) else many
-        keys, text_of = keys[heads], text_of[heads]
-        bounds = np.searchsorted(text_of, np.arange(len(texts) + 1))
+        # links of one pair in one text are one row: sort by text and pair, which share a number
+        keys = np.repeat(np.arange(len(texts)) << 2 * SHIFT, np.add.reduceat(per_segment, first_segment)) | links
+        if weights is None:
+            keys.sort()
+        else:
+            order = np.argsort(keys, kind="stable")
+            keys, weights = keys[order], weights[order]
+        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        many = np.diff(heads, append=len(keys)) if weights is None else np.add.reduceat(weights, heads)
+        keys = keys[heads]
+        bounds = np.searchsorted(keys, np.arange(len(texts) + 1) << 2 * SHIFT).tolist()
+        keys &= (1 << 2 * SHIFT) - 1
         stops = np.r_[first_segment[1:], len(numbers)].tolist()
-        numbers = numbers.tolist()
+        numbers, first_segment = numbers.tolist(), first_segment.tolist()
         for k, t in enumerate(texts.tolist()):
             while at < first + t:
                 yield now.done()
                 at, now = at + 1, _Text()
-            body = b";".join([said[x] for x in numbers[first_segment[k]:stops[k]]])
+            body = b"".join([said[x] for x in numbers[first_segment[k]:stops[k]]])[:-1]  # the last group ends without a mark
             if now.sha is None:
                 now.sha = hashlib.sha256(body)
             else:
@@ -349,7 +371,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BY
            .mapInArrow(_unpacked, "block bigint, key bigint, holding bigint"))
     own = saved(own, "block-pairs", compression="zstd")
     totals = own.groupBy("key").agg(F.sum("holding").alias("total"))
-    totals = saved(totals.withColumn("a", F.shiftright("key", 32)), "pair-totals")
+    totals = saved(totals.withColumn("a", F.shiftright("key", SHIFT)), "pair-totals")
     highest = totals.groupBy("a").agg(F.max("total").alias("highest"))  # a row for each id of A's vocabulary at most
     rated = totals.join(F.broadcast(highest), "a").select("key", "total", (F.col("total") == F.col("highest")).alias("best"))
     asked = own.select("block", "key").join(rated, "key").select("block", "key", "total", "best")
@@ -361,7 +383,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BL
     """(a, b, documents): the corpus-wide table of linked ids, by which one vocabulary maps to the other."""
     rows = documents(docs).mapInArrow(_aligner(path_a, path_b, block_bytes), _ROWS).where("keys is not null").select("block", "keys", "holding")
     own = rows.mapInArrow(_unpacked, "block bigint, key bigint, holding bigint")
-    return own.groupBy("key").agg(F.sum("holding").alias("documents")).select(F.shiftright("key", 32).alias("a"), F.expr("key & 4294967295").alias("b"), "documents")
+    return own.groupBy("key").agg(F.sum("holding").alias("documents")).select(F.shiftright("key", SHIFT).alias("a"), F.expr(f"key & {(1 << SHIFT) - 1}").alias("b"), "documents")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
