@@ -66,6 +66,12 @@ def grid_cells(spark, sf_dir) -> DataFrame:
     return collection(li.select((F.col("l_partkey") % 200).cast("int").alias("x"), (F.col("l_suppkey") % 100).cast("int").alias("y")).distinct())
 
 
+def every_cell(spark, sf_dir) -> DataFrame:
+    """A cell for each part and supplier of a line item."""
+    li = read(spark, sf_dir, "lineitem")
+    return collection(li.select(F.col("l_partkey").cast("int").alias("x"), F.col("l_suppkey").cast("int").alias("y")).distinct())
+
+
 def grid_step(cells: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Cells with three neighbours, or with two that were there: one aggregate and one join.
 
@@ -89,15 +95,21 @@ def closure_step(limit: int, step):
     return f
 
 
+def reached(limit: int, step):
+    """The linear part of ``closure_step``: ``x`` and what ``step`` makes of it, up to ``limit``."""
+    return lambda df: C.concat(df, df.withColumn("x", step(F.col("x")))).where(F.col("x") <= limit)
+
+
 def join_count(a: DataFrame, b: DataFrame, key: str = "key", null_keys: bool = True, versions: tuple[str, ...] = ("version",)) -> DataFrame:
     """Changes of the number of joined records a key, pre-aggregated; several ``versions`` are coordinates of a product order.
 
+    A version whose changes cancel keeps its row, so that the key counts 0 and is not unknown.
     Null keys match each other; ``null_keys=False`` says that there are none, which saves an exchange.
 
     The count needs no values: each side shrinks to one net change for each (key, version) before
     the join, which keeps hot keys at one row a version.
     """
-    left, right = (C.consolidate(x.select(key, M, *versions)) for x in (a, b))
+    left, right = (x.groupBy(key, *versions).agg(F.sum(M).alias(M)).select(key, M, *versions) for x in (a, b))
     joined = T.join_trace(left, right, [key], versions, null_keys)
     return T.count_trace(joined, [key], *versions) if len(versions) == 1 else T.count_product(joined, [key], versions)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType
 
 M = "multiplicity"
 
@@ -47,3 +48,21 @@ def write_deltas(tr: DataFrame, path: str, version: str = "version") -> None:
     """
     (tr.hint("rebalance", F.col(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(version).parquet(path))
+
+
+def write_stream_deltas(stream: DataFrame, path: str):
+    """A writer for a stream's changes: each micro-batch owns the folder of its id, split by version.
+
+    A batch that is given again overwrites its own folder and nothing else, so a restart leaves no change twice.
+    """
+    def put(df: DataFrame, batch_id: int) -> None:
+        df.hint("rebalance", F.col("version")).write.mode("overwrite").partitionBy("version").parquet(f"{path}/batch_id={batch_id}")
+    return stream.writeStream.foreachBatch(put)
+
+
+def read_deltas(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``write_stream_deltas`` wrote; a filter on ``version`` opens that version's folders only."""
+    kind = spark.createDataFrame([], schema).schema
+    if "batch_id" not in kind.names:
+        kind = kind.add("batch_id", LongType())
+    return spark.read.schema(kind).option("basePath", path).parquet(path).drop("batch_id")

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.replay import changes_between, in_order
-from tidemark.functions.versions import split_by_frontier
-from tidemark.operators.trace import compact
-from tidemark.scratch import drop_folder, new_folder
+from tidemark.scratch import new_folder
 from tidemark.sources import M, stream_trace
+from tidemark.streaming.store import VersionedStore
+
+__all__ = ["ClosedVersions", "VersionedStore", "closed_through", "event_time", "feed", "heartbeat", "run_to_end", "stream_concat", "stream_consolidate", "stream_count", "stream_distinct",
+           "stream_join", "stream_linear", "stream_max", "stream_min", "stream_reduce", "stream_sum"]
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -202,121 +204,3 @@ def stream_concat(a: DataFrame, b: DataFrame, record: Sequence[str]) -> DataFram
     a.sparkSession.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min")
     both = event_time(a).unionByName(event_time(b))
     return both.groupBy("et", "version", *record).agg(F.sum(M).alias(M)).where(F.col(M) != 0).select(*record, M, "version")
-
-
-class VersionedStore:
-    """Change logs kept as tables, fed by ``foreachBatch``: late rows, chains, fixpoints.
-
-    Folders below ``path``: ``trace``, ``late`` and ``changes`` hold a folder ``batch_id=`` for each
-    batch, ``frontier`` one small table for each, ``base`` the trace folded at a batch.  A batch reads
-    only what batches before it wrote and overwrites its own folders, so that a replay, or a new store
-    on the same path after a restart, gives the same answers.
-
-    The frontier is the version below which all is closed.  Seeing a version closes those below it;
-    with ``side``, a column that names the input of a row, a version is closed when all ``sides`` inputs
-    are beyond it (the meet of their frontiers).  ``advance`` closes versions by word.  ``answer``, a
-    function from the stored trace and the range of newly closed versions to changes, is run when the
-    frontier moves; it sees versions closed before folded into the last of them.
-    """
-
-    def __init__(self, spark: SparkSession, name: str, answer: Callable[[DataFrame, int, int], DataFrame], path: str | None = None,
-                 side: str | None = None, sides: int = 1, fold_every: int = 8):
-        self.spark, self.answer, self.side, self.sides, self.fold_every = spark, answer, side, sides, fold_every
-        self.path = path or new_folder(spark, name)
-        self.trace, self.late, self.out = (f"{self.path}/{x}" for x in ("trace", "late", "changes"))
-
-    def _exists(self, path: str) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-    def _ids(self, path: str) -> list[int]:
-        """Batches that have a finished folder below ``path``, ascending."""
-        if not self._exists(path):
-            return []
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        names = [f.getPath().getName() for f in hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(hadoop)]
-        return sorted(n for n in (int(x.split("=")[1]) for x in names if x.startswith("batch_id=")) if self._exists(f"{path}/batch_id={n}/_SUCCESS"))
-
-    def _frontiers(self, before: int | None = None) -> dict[str, int]:
-        """The last frontier of each input, of batches before the given one."""
-        ids = [i for i in self._ids(f"{self.path}/frontier") if before is None or i < before]
-        if not ids:
-            return {}
-        rows = self.spark.read.schema("side string, frontier int").parquet(f"{self.path}/frontier/batch_id={ids[-1]}").collect()  # a row an input
-        return {r.side: r.frontier for r in rows}
-
-    def _meet(self, frontiers: dict[str, int]) -> int:
-        return min(frontiers.values()) if len(frontiers) >= self.sides else 0
-
-    @property
-    def frontier(self) -> int:
-        return self._meet(self._frontiers())
-
-    def _stored(self, schema, through: int) -> DataFrame:
-        """The trace of batches up to ``through``: the last base before it and what came after."""
-        bases = [b for b in self._ids(f"{self.path}/base") if b < through]
-        ids = [i for i in self._ids(self.trace) if i <= through and (not bases or i > bases[-1])]
-        paths = ([f"{self.path}/base/batch_id={bases[-1]}"] if bases else []) + [f"{self.trace}/batch_id={i}" for i in ids]
-        return self.spark.read.schema(schema).parquet(*paths)
-
-    def _close(self, schema, batch_id: int, was: dict[str, int], now: dict[str, int]) -> None:
-        """Answers the versions that closed, folds history from time to time, and then says so in ``frontier``."""
-        low, high = self._meet(was), self._meet(now)
-        if high > low:
-            stored = compact(self._stored(schema, batch_id), [(low - 1,)])
-            self.answer(stored.where(F.col("version") < high), low, high).write.mode("overwrite").parquet(f"{self.out}/batch_id={batch_id}")
-            if batch_id % self.fold_every == self.fold_every - 1:
-                compact(self._stored(schema, batch_id), [(high - 1,)]).write.mode("overwrite").parquet(f"{self.path}/base/batch_id={batch_id}")
-                older = [b for b in self._ids(f"{self.path}/base") if b < batch_id][:-1]  # the one before stays for a replay
-                for b in older:
-                    drop_folder(self.spark, f"{self.path}/base/batch_id={b}")
-                kept = [b for b in self._ids(f"{self.path}/base") if b < batch_id]
-                for i in self._ids(self.trace):
-                    if kept and i <= kept[-1]:
-                        drop_folder(self.spark, f"{self.trace}/batch_id={i}")
-        self.spark.createDataFrame(sorted(now.items()), "side string, frontier int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/frontier/batch_id={batch_id}")
-
-    def batch(self, df: DataFrame, batch_id: int) -> None:
-        """Stores open rows, sets late ones aside, and answers the versions that closed."""
-        df = df.persist()
-        try:
-            was = self._frontiers(batch_id)
-            late, fresh = split_by_frontier(df, ["version"], [(self._meet(was),)])
-            late.where(F.col(M) != 0).write.mode("overwrite").parquet(f"{self.late}/batch_id={batch_id}")
-            fresh.where(F.col(M) != 0).write.mode("overwrite").parquet(f"{self.trace}/batch_id={batch_id}")
-            who = F.col(self.side).cast("string") if self.side else F.lit("")
-            seen = {r.side: r.seen for r in df.groupBy(who.alias("side")).agg(F.max("version").alias("seen")).where("seen is not null").collect()}  # a row an input
-            now = {k: max(was.get(k, 0), seen.get(k, 0)) for k in {*was, *seen}}
-            self._close(df.schema, batch_id, was, now)
-        finally:
-            df.unpersist()
-
-    def advance(self, version: int, side: str = "") -> None:
-        """Declares all versions of an input below ``version`` closed; a frontier never moves back."""
-        was = self._frontiers()
-        if version < was.get(side, 0):
-            raise ValueError(f"the frontier is at {was[side]} and cannot move back to {version}")
-        ids = self._ids(self.trace)
-        if not ids:
-            raise ValueError("nothing has arrived yet")
-        last = ids[-1]
-        schema = self.spark.read.parquet(f"{self.trace}/batch_id={last}").schema
-        batch_id = max(last, *self._ids(f"{self.path}/frontier")) + 1
-        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.trace}/batch_id={batch_id}")
-        self._close(schema, batch_id, was, {**was, side: version})
-
-    def run(self, stream: DataFrame) -> "VersionedStore":
-        """Takes all that has arrived; a store on the same path goes on where the last one ended."""
-        query = (stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start())
-        query.awaitTermination()
-        return self
-
-    def changes(self, schema) -> DataFrame:
-        return self._read(self.out, schema)
-
-    def late_rows(self, schema) -> DataFrame:
-        return self._read(self.late, schema)
-
-    def _read(self, path: str, schema) -> DataFrame:
-        ids = self._ids(path)
-        return self.spark.read.schema(schema).parquet(*[f"{path}/batch_id={i}" for i in ids]) if ids else self.spark.createDataFrame([], schema)
