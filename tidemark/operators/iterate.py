@@ -7,7 +7,7 @@ loop body maps a collection to a collection and consolidates it, usually by endi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -108,23 +108,43 @@ def iterate_trace(tr: DataFrame, f: Body, version: str = "version", max_rounds:
 
     ``on_limit='return'`` takes what ``max_rounds`` rounds give where a version has not settled.
 
-    ``f`` sees the version as a column of the record and must carry it.  A version leaves the loop
-    once a round no longer changes it.  Answers start from each version's own input, so deletions
+    ``f`` may be any function of a collection; it sees the version as a column of the record and must carry it.  A version leaves the loop
+    once a round no longer changes it.  (``incremental.iterate_changes`` is for a linear ``f``: there a version pays for its changes only.)  Answers start from each version's own input, so deletions
     are right for any ``f``.
     """
-    now = saved(consolidate(at_change_versions(tr, version)), "round")
     versions = saved(tr.select(version).distinct(), "versions")
+    answers = iterate_scoped(at_change_versions(tr, version), f, [version], max_rounds, on_limit)
+    return _along_versions(answers, versions, version)
+
+
+def iterate_scoped(df: DataFrame, f: Body, scope: Sequence[str], max_rounds: int = 100, on_limit: str = "raise") -> DataFrame:
+    """A fixpoint in each scope (the values of some columns, which ``f`` carries), by one loop over all of them.
+
+    A scope leaves the loop once a round no longer changes it.  ``on_limit='return'`` takes what
+    ``max_rounds`` rounds give where a scope has not settled.  Null is a scope like others.
+    """
+    who = F.struct(*[F.col(c) for c in scope])
+    now = saved(consolidate(df), "round")
     done, rounds = None, 0
     while not _limit(rounds, max_rounds, on_limit):
         new = saved(consolidate(f(now)), "round")
         rounds += 1
-        moving = saved(difference(new, now).select(version).distinct(), "moving")
-        still = new.join(moving, version, "left_anti")
+        moving = saved(difference(new, now).select(who.alias("_scope")).distinct(), "moving")
+        still = new.join(moving, who == F.col("_scope"), "left_anti")
         done = still if done is None else done.unionByName(still)
         if moving.isEmpty():
-            return _along_versions(done, versions, version)
-        now = saved(new.join(moving, version, "left_semi"), "round")
-    return _along_versions(now if done is None else done.unionByName(now), versions, version)
+            return done
+        now = saved(new.join(moving, who == F.col("_scope"), "left_semi"), "round")
+    return now if done is None else done.unionByName(now)
+
+
+def iterate_nested(df: DataFrame, outer: Body, inner: Body, scope: Sequence[str], max_rounds: int = 100) -> DataFrame:
+    """A loop within a loop: each outer round takes ``outer`` of what it has and runs ``inner`` on that to its own fixpoint.
+
+    The inner loop runs for all scopes at once and each leaves it when it has settled; a scope that a whole outer
+    round does not change leaves the outer loop too, and its inner loop is not run again.
+    """
+    return iterate_scoped(df, lambda now: iterate_scoped(outer(now), inner, scope, max_rounds), scope, max_rounds)
 
 
 def _along_versions(answers: DataFrame, versions: DataFrame, version: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark import sources as S
 from tidemark.functions import versions as V
-from tidemark.operators import collection as C, iterate as I, trace as T
+from tidemark.operators import collection as C, incremental as N, iterate as I, trace as T
 from tidemark.plans import jobs as J
 from tidemark.scratch import new_folder
 from tidemark.sources import M
@@ -21,6 +21,7 @@ ORACLE: dict[str, str] = {}
 
 MONTHS = "CAST((year({0}) - 1995) * 12 + month({0}) - 1 AS INTEGER)"
 ONE = "CAST(1 AS BIGINT)"
+_XYZ = ["v0", "v1", "v2"]
 CTES = {
     "event_log": f"SELECT user_id AS key, event_type AS value, {ONE} AS multiplicity, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS version FROM events",
     "event_signed": "SELECT key, value, CAST(CASE WHEN value = 'error' THEN -1 ELSE 1 END AS BIGINT) AS multiplicity, version FROM event_log",
@@ -533,6 +534,48 @@ def _(spark, d):
     return V.not_covered(V.minimal_versions(f, ["v0", "v1"]), g, ["v0", "v1"])
 
 
+# Versions that trade one coordinate for another, so that hundreds are minimal.
+_TRADES = ("g AS (SELECT DISTINCT datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS v0, CAST(6000 - 2 * datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + o_custkey % 40 AS BIGINT) AS v1, CAST(o_orderkey % 30 AS BIGINT) AS v2 FROM orders), "
+           "f AS (SELECT DISTINCT datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS v0, CAST(6000 - 2 * datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + l_partkey % 80 AS BIGINT) AS v1, CAST(l_orderkey % 30 + l_linenumber AS BIGINT) AS v2 FROM lineitem)")
+_BELOW3 = "{0}.v0 <= {1}.v0 AND {0}.v1 <= {1}.v1 AND {0}.v2 <= {1}.v2"
+_MINIMAL3 = "SELECT v0, v1, v2 FROM {0} a WHERE NOT EXISTS (SELECT 1 FROM {0} b WHERE " + _BELOW3.format("b", "a") + " AND (b.v0 < a.v0 OR b.v1 < a.v1 OR b.v2 < a.v2))"
+
+
+def _trades(spark, d) -> tuple[DataFrame, DataFrame]:
+    def of(df, day, key, low):
+        day = F.datediff(F.col(day), F.lit("1992-01-01").cast("date"))
+        return df.select(day.alias("v0"), (6000 - 2 * day + key).cast("bigint").alias("v1"), low.cast("bigint").alias("v2")).distinct()
+    f = of(J.read(spark, d, "lineitem"), "l_shipdate", F.col("l_partkey") % 80, F.col("l_orderkey") % 30 + F.col("l_linenumber"))
+    return f, of(J.read(spark, d, "orders"), "o_orderdate", F.col("o_custkey") % 40, F.col("o_orderkey") % 30)
+
+
+@query("v11_minimal_trade", sql("SELECT DISTINCT v0, v1 FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.v0 <= a.v0 AND b.v1 <= a.v1 AND (b.v0 < a.v0 OR b.v1 < a.v1))", more=_TRADES))
+def _(spark, d):
+    return V.minimal_versions(_trades(spark, d)[1], ["v0", "v1"])
+
+
+@query("v11_minimal_three", sql(_MINIMAL3.format("g"), more=_TRADES))
+def _(spark, d):
+    return V.minimal_versions(_trades(spark, d)[1], _XYZ)
+
+
+@query("v12_meet_three", sql(_MINIMAL3.format("u"), more=_TRADES + ", u AS (SELECT * FROM f UNION SELECT * FROM g)"))
+def _(spark, d):
+    return V.frontier_meet(*_trades(spark, d), _XYZ)
+
+
+@query("v13_frontier_trade", sql("SELECT v0, v1, v2 FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE " + _BELOW3.format("f", "g") + ")", more=_TRADES))
+def _(spark, d):
+    f, g = _trades(spark, d)
+    return V.not_covered(f, g, _XYZ)
+
+
+@query("v13_frontier_two", sql("SELECT v0, v1 FROM (SELECT DISTINCT v0, v1 FROM g) g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.v0 <= g.v0 AND f.v1 <= g.v1)", more=_TRADES))
+def _(spark, d):
+    f, g = _trades(spark, d)
+    return V.not_covered(f, g.select("v0", "v1").distinct(), ["v0", "v1"])
+
+
 @query("v14_split", sql("SELECT key, value, v0, v1, NOT ((2 <= v0 AND 1 <= v1) OR (1 <= v0 AND 3 <= v1)) AS closed FROM order_churn2", "order_churn2"))
 def _(spark, d):
     closed, opened = V.split_by_frontier(J.order_churn2(spark, d).drop(M), ["v0", "v1"], [(2, 1), (1, 3)])
@@ -632,6 +675,63 @@ def _(spark, d):
     return I.iterate(seeds, J.closure_step(top, lambda x: x * 2), max_rounds=3, on_limit="return")
 
 
+@query("i5_round_log_whole", sql(f"SELECT x, {ONE} AS multiplicity, CAST(min(r) AS INTEGER) AS round FROM c GROUP BY x", more=_ALL_ROUNDS.format(" AND x > 0"), recursive=True))
+def _(spark, d):
+    seeds, top = _all_seeds(spark, d)
+    return I.iterate_log(seeds, J.closure_step(top, lambda x: x * 2))
+
+
+# Every customer key by year, orders taken back six months later: the closure at each version.
+_ALL_TRACE = ("tr AS (SELECT key AS x, multiplicity, CAST(version // 12 AS INTEGER) AS version FROM order_churn WHERE key IS NOT NULL), top AS (SELECT max(x) AS t FROM tr), vs AS (SELECT DISTINCT version FROM tr), "
+              "inp AS (SELECT vs.version, x FROM vs JOIN tr ON tr.version <= vs.version GROUP BY vs.version, x HAVING sum(multiplicity) > 0), ")
+_ALL_CLOSURES = (_ALL_TRACE + "c AS (SELECT version, x FROM inp UNION SELECT version, {0} FROM c, top WHERE {0} <= t), n AS (SELECT version, lead(version) OVER (ORDER BY version) AS nxt FROM vs), "
+                 "d AS (SELECT x, 1 AS m, version FROM c UNION ALL SELECT x, -1, nxt FROM c JOIN n USING (version) WHERE nxt IS NOT NULL)")
+
+
+def _all_closures(by: str) -> str:
+    return sql(f"SELECT x, {_big('sum(m)')} AS multiplicity, version FROM d GROUP BY x, version HAVING sum(m) <> 0", "order_churn", more=_ALL_CLOSURES.format(by), recursive=True)
+
+
+def _all_trace(spark, d) -> tuple[DataFrame, int]:
+    tr = J.order_churn(spark, d).where("key is not null").select(F.col("key").cast("bigint").alias("x"), M, F.expr("cast(version div 12 as int)").alias("version"))
+    return tr, _top(tr)
+
+
+@query("i2_iterate_trace_whole", _all_closures("x * 2"))
+def _(spark, d):
+    tr, top = _all_trace(spark, d)
+    return N.iterate_changes(tr, J.reached(top, lambda x: x * 2), ["x"])
+
+
+@query("x3_closure_whole", _all_closures("x * 3"))
+def _(spark, d):
+    tr, top = _all_trace(spark, d)
+    return N.iterate_changes(tr, J.reached(top, lambda x: x * 3), ["x"])
+
+
+_CHANGED = ("vs AS (SELECT DISTINCT version FROM (SELECT x, version, p, lag(p, 1, 0) OVER (PARTITION BY x ORDER BY version) AS old FROM (SELECT x, version, CASE WHEN sum(d) OVER (PARTITION BY x ORDER BY version) > 0 "
+            "THEN 1 ELSE 0 END AS p FROM (SELECT x, version, sum(multiplicity) AS d FROM tr GROUP BY ALL))) WHERE p <> old)")
+
+
+@query("i5_version_rounds", sql(f"SELECT x, {ONE} AS multiplicity, version, CAST(min(r) AS INTEGER) AS round FROM c GROUP BY x, version", "order_churn",
+                                more=_ALL_TRACE.replace("vs AS (SELECT DISTINCT version FROM tr)", _CHANGED) + "c AS (SELECT version, x, 0 AS r FROM inp UNION SELECT version, x * 2, r + 1 FROM c, top WHERE x * 2 <= t AND x > 0)", recursive=True))
+def _(spark, d):
+    tr, top = _all_trace(spark, d)
+    # each version's input, every record once
+    return I.iterate_trace_log(T.distinct_trace(tr, ["x"]), J.closure_step(top, lambda x: x * 2))
+
+
+@query("i6_nested", sql(f"SELECT nation, x, {ONE} AS multiplicity FROM c", recursive=True,
+                        more="top AS (SELECT max(c_custkey) AS t FROM customer), c AS (SELECT c_nationkey AS nation, CAST(c_custkey AS BIGINT) AS x FROM customer "
+                             "UNION SELECT nation, x * k FROM c, top, (VALUES (2), (3)) AS f(k) WHERE x * k <= t)"))
+def _(spark, d):
+    """In each nation, closed under doubling within every round of tripling."""
+    c = J.read(spark, d, "customer")
+    seeds = S.collection(c.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").cast("bigint").alias("x")))
+    top = _top(seeds)
+    return I.iterate_nested(seeds, J.closure_step(top, lambda x: x * 3), J.closure_step(top, lambda x: x * 2), ["nation"])
+
+
 # ---- user functions ----------------------------------------------------------------------------
 
 @query("u1_map", sql("SELECT key, value * 2 + 1 AS value, multiplicity FROM order_churn", "order_churn"))
@@ -676,6 +776,25 @@ def _(spark, d):
     return C.map_records(closed, "x", (F.col("x") * F.col("x")).alias("square"))
 
 
+_CELLS = f"cells AS (SELECT DISTINCT CAST(l_partkey AS INTEGER) AS x, CAST(l_suppkey AS INTEGER) AS y, {ONE} AS multiplicity FROM lineitem)"
+
+
+@query("x1_grid_step_whole", sql(f"SELECT x, y, {ONE} AS multiplicity FROM ({_grid_sql('cells')})", more=_CELLS))
+def _(spark, d):
+    return J.grid_step(J.every_cell(spark, d))
+
+
+@query("x2_grid_fixpoint_whole", sql(f"SELECT x, y, {ONE} AS multiplicity FROM g3", more=f"{_CELLS}, g1 AS ({_grid_sql('cells')}), g2 AS ({_grid_sql('g1')}), g3 AS ({_grid_sql('g2')})"))
+def _(spark, d):
+    return I.iterate(J.every_cell(spark, d), J.grid_step, max_rounds=3, on_limit="return")
+
+
+@query("x4_squares_whole", sql(f"SELECT x, x * x AS square, {ONE} AS multiplicity FROM c", more=_ALL_CLOSED.format("x * 3"), recursive=True))
+def _(spark, d):
+    seeds, top = _all_seeds(spark, d)
+    return C.map_records(I.iterate(seeds, J.closure_step(top, lambda x: x * 3)), "x", (F.col("x") * F.col("x")).alias("square"))
+
+
 _EVEN = ("SELECT value, CAST(sum(m) AS BIGINT) AS multiplicity, version FROM (SELECT value + 5 AS value, multiplicity AS m, version FROM order_churn WHERE (value + 5) % 2 = 0 "
          "UNION ALL SELECT value, -multiplicity, version FROM order_churn) GROUP BY value, version HAVING sum(m) <> 0")
 
@@ -748,7 +867,6 @@ def _by_axes(keys: list[str], name: str, answer: str, source: str, coords: list[
 
 
 _THREE_KEPT = "SELECT CAST(key AS VARCHAR) AS key, {0}, CAST(sum(m) AS BIGINT) AS multiplicity, v0, v1, v2 FROM r3 WHERE {0} IS NOT NULL GROUP BY ALL HAVING sum(m) <> 0"
-_XYZ = ["v0", "v1", "v2"]
 
 
 def _said(df: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark import streaming as W
-from tidemark.operators import iterate as I
+from tidemark import sources as S, streaming as W
+from tidemark.functions import versions as V
+from tidemark.operators import incremental as N, trace as T
 from tidemark.plans import jobs as J
-from tidemark.plans.catalog import _CLOSURE_SQL, _DISTINCT, _EVEN, _JOIN_COUNT, _JOINED, _changes_sql, _closure_trace, _extreme_sql, even_difference, sql
+from tidemark.plans.catalog import ORACLE as ORACLE_BATCH, _CLOSURE_SQL, _DISTINCT, _EVEN, _JOIN_COUNT, _JOINED, _all_trace, _changes_sql, _closure_trace, _customers, _extreme_sql, even_difference, sql
+from tidemark.scratch import new_folder
 from tidemark.sources import M
 
 QUERIES: dict[str, Callable] = {}
@@ -73,30 +75,115 @@ def _(spark, d):
 @query("w6_late", sql("SELECT key, value, multiplicity, version FROM order_churn WHERE key % 7 = 0 AND version < (SELECT max(version) FROM order_churn WHERE key % 7 <> 0)", "order_churn"))
 def _(spark, d):
     tr = J.order_churn(spark, d)
-    store = W.VersionedStore(spark, "late", lambda stored, low, high: stored.where(F.col("version") >= low))
+    store = W.VersionedStore(spark, "late", lambda stored, low, high: stored)
     store.run(W.feed([tr.where("key % 7 <> 0"), tr.where("key % 7 = 0")], "late"))
     return store.late_rows(tr.schema)
 
 
+def _closure_store(spark, name: str, linear) -> W.VersionedStore:
+    fixpoint = N.IncrementalFixpoint(spark, name, linear, ["x"])
+    return W.VersionedStore(spark, name, lambda rows, low, high, n: fixpoint.update(rows, n), keeps_state=True)
+
+
 @query("w8_iterate", _CLOSURE_SQL)
 def _(spark, d):
     tr = _closure_trace(spark, d)
+    return _closure_store(spark, "iterate", J.reached(500, lambda x: x * 2)).run(replayed(tr, "iterate", 2)).changes(tr.schema)
+
+
+@query("w8_iterate_whole", ORACLE_BATCH["x3_closure_whole"])
+def _(spark, d):
+    tr, top = _all_trace(spark, d)
+    return _closure_store(spark, "iterate-whole", J.reached(top, lambda x: x * 3)).run(replayed(tr, "iterate-whole", 4)).changes(tr.schema)
+
+
+def _two_sides(a: DataFrame, b: DataFrame, *versions: str) -> DataFrame:
+    tagged = lambda df, k: df.select("key", M, *versions, F.lit(k).alias("side"))
+    return tagged(a, 0).unionByName(tagged(b, 1))
+
+
+def _joined_counts(*versions: str):
+    def answer(stored: DataFrame, low, high) -> DataFrame:
+        return J.join_count(stored.where("side = 0"), stored.where("side = 1"), versions=versions)
+    return answer
+
+
+def _join_counted(batches: int):
+    def run(spark, d):
+        both = _two_sides(J.order_trace(spark, d), J.line_trace(spark, d), "version")
+        store = W.VersionedStore(spark, "join-count", _joined_counts("version"), key=["key"]).run(replayed(both, "join-count", batches))
+        return store.changes("key bigint, count bigint, multiplicity bigint, version int")
+    return run
 
-    def answer(stored: DataFrame, low: int, high: int) -> DataFrame:
-        return I.iterate_trace(stored, J.closure_step(500, lambda x: x * 2)).where(F.col("version") >= low)
 
-    return W.VersionedStore(spark, "iterate", answer).run(replayed(tr, "iterate", 2)).changes(tr.schema)
+query("w9_join_count", _JOIN_COUNT)(_join_counted(BATCHES))
+query("w9_many_batches", _JOIN_COUNT)(_join_counted(24))
 
 
-@query("w9_join_count", _JOIN_COUNT)
+@query("s5_advance", sql(_changes_sql("multiplicity", "count", "order_churn"), "order_churn"))
 def _(spark, d):
-    both = J.order_trace(spark, d).select("key", M, "version", F.lit(0).alias("side")).unionByName(
-        J.line_trace(spark, d).select("key", M, "version", F.lit(1).alias("side")))
+    """Words between batches, each batch given twice, a new store before each step: every change comes once."""
+    tr = J.order_churn(spark, d)
+    path, low, high = new_folder(spark, "advance"), *tr.agg(F.min("version"), F.max("version")).first()
+    store = lambda: W.VersionedStore(spark, "advance", lambda stored, a, b: T.count_trace(stored, ["key"]), path=path, key=["key"])
+    if low is None:
+        return T.count_trace(tr, ["key"])
+    step = -(-(high - low + 1) // 4)
+    for i, v in enumerate(range(low, high + 1, step)):
+        part = tr.where((F.col("version") >= v) & (F.col("version") < v + step))
+        store().batch(part, i)
+        store().advance(v + step)  # the batch's last version too
+        store().batch(part, i)
+    return store().changes("key bigint, count bigint, multiplicity bigint, version int")
 
-    def answer(stored: DataFrame, low: int, high: int) -> DataFrame:
-        touched = stored.where(F.col("version") >= low).select("key").distinct()
-        own = stored.join(touched, "key", "left_semi")
-        return J.join_count(own.where("side = 0"), own.where("side = 1")).where(F.col("version") >= low)
 
-    store = W.VersionedStore(spark, "join-count", answer).run(replayed(both, "join-count"))
+@query("w5_meet", sql(_changes_sql("multiplicity", "count", "(SELECT key, multiplicity, version FROM order_trace UNION ALL SELECT key, multiplicity, version FROM line_trace)"), "order_trace", "line_trace"))
+def _(spark, d):
+    """Two inputs that move apart: a version is answered when both have closed it."""
+    both = _two_sides(J.order_trace(spark, d), J.line_trace(spark, d), "version")
+    store = W.VersionedStore(spark, "meet", lambda stored, a, b: T.count_trace(stored, ["key"]), key=["key"], side="side", sides=2)
+    cuts = [(0, -1000, 1 << 20), (1, -1000, 20), (1, 20, 50), (1, 50, 1 << 20)]
+    for i, (side, a, b) in enumerate(cuts):
+        store.batch(both.where((F.col("side") == side) & (F.col("version") >= a) & (F.col("version") < b)), i)
+    store.advance(1 << 20, "0")
+    store.advance(1 << 20, "1")
     return store.changes("key bigint, count bigint, multiplicity bigint, version int")
+
+
+@query("w10_join_count_product", ORACLE_BATCH["x6_join_count_product"])
+def _(spark, d):
+    """x6 in product order, fed by frontiers that are antichains."""
+    both = _two_sides(J.order_churn2(spark, d), _customers(spark, d), "v0", "v1")
+    store = W.VersionedStore(spark, "join-count-product", _joined_counts("v0", "v1"), key=["key"], coords=("v0", "v1"))
+    was = [(-100, -100)]
+    for i, now in enumerate(([(0, 0)], [(3, 0), (0, 3)], [(5, 0), (3, 4)], [(100, 0), (5, 5)], [(100, 100)])):
+        store.batch(both.where(V.open_at(["v0", "v1"], was) & ~V.open_at(["v0", "v1"], now)), i)
+        store.advance(now)
+        was = now
+    return store.changes("key bigint, count bigint, multiplicity bigint, v0 int, v1 int")
+
+
+@query("k2_stream", sql("SELECT key, value, multiplicity, version FROM order_churn", "order_churn"))
+def _(spark, d):
+    """A stream's changes written by batch; the whole stream is given twice."""
+    tr = J.order_churn(spark, d)
+    stream, path = replayed(tr, "sink"), new_folder(spark, "sink")
+    for attempt in range(2):
+        done = S.write_stream_deltas(stream.where(F.col(M) != 0), path).option("checkpointLocation", f"{path}-checkpoint{attempt}").trigger(availableNow=True).start()
+        done.awaitTermination()
+    return S.read_deltas(spark, path, tr.schema)
+
+
+@query("k3_closed_through", sql("SELECT max(version) AS version, count(*) AS rows FROM order_churn", "order_churn"))
+def _(spark, d):
+    """The watermark after all input: versions below the last heartbeat's are answered."""
+    tr = J.order_churn(spark, d)
+    stream, out = W.event_time(replayed(tr, "through")), new_folder(spark, "through")
+    query = (stream.groupBy("et", "version").agg(F.sum(F.abs(M)).alias("rows")).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", f"{out}-checkpoint").outputMode("append").start())
+    try:
+        through = W.closed_through(query)
+    finally:
+        query.stop()
+    done = spark.read.schema("et timestamp, version int, rows bigint").parquet(out).where(F.col("et") <= F.lit(through).cast("timestamp"))
+    return done.agg(F.max("version").alias("version"), F.sum("rows").alias("rows"))
