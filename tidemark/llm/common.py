@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.scratch import saved
 
-__all__ = ["components", "crc_fold", "documents", "saved", "table"]
+__all__ = ["components", "crc_fold", "documents", "give_back", "in_places", "saved", "table"]
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system: Spark keeps idle workers, which would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
@@ -15,6 +27,11 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
                      F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def in_places(df: DataFrame, f) -> DataFrame:
+    """``f`` of ``df`` with its columns named by place, then under their own names again, whatever these hold (dots, blanks)."""
+    return f(df.toDF(*[f"c{i}" for i in range(len(df.columns))])).toDF(*df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import components, documents, saved
 
@@ -269,4 +270,4 @@ def _add_fingerprint(df: DataFrame) -> DataFrame:
         for b in batches:
             texts = b.column("_text").cast(pa.binary()).to_pylist()
             yield b.append_column("_fp", pa.array([_signed(fingerprint(t)) for t in texts], pa.int64()))
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_fp bigint"]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("_fp", LongType())]))

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import crc_fold, documents
+from tidemark.llm.common import crc_fold, documents, in_places
 
 SAMPLE_DOCS = 10_000
 FEATURES = 2_000
@@ -400,6 +400,7 @@ def drop_toxic(docs: DataFrame, scorer: Scorer | None, threshold: float = THRESH
     """The rows that score below the threshold, with all their columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.names.index("text")).to_pylist()
+            texts = b.column(k).to_pylist()
             yield b.filter(pa.array([scorer is None or scorer.score(t or "") < threshold for t in texts], pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+    k = docs.columns.index("text")
+    return in_places(docs, lambda df: df.mapInArrow(run, df.schema))
