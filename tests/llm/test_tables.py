@@ -170,3 +170,18 @@ def test_pipeline_stages(spark):
         assert now <= seen
         seen = now
     assert {r.doc_id for r in p.run(spark, sf).select("doc_id").collect()} == seen
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rare_links_are_found(spark, seed):
+    """Random vectors, and a hundred pairs just beyond the threshold: next to nothing in a sample has a link."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(100):
+        c, z = r.uniform(0.951, 0.97), r.normal(size=64)
+        z -= (z @ x[k]) * x[k]
+        x[11_000 + k] = c * x[k] + np.sqrt(1 - c * c) * z / np.linalg.norm(z)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {row.vec_id: (row.n_links, row.component_id) for row in vector_dedup.near_duplicates(df).where("n_links > 0").collect()}
+    assert sum(got.get(k, (0, -1))[1] == k and got.get(11_000 + k, (0, -1))[1] == k for k in range(100)) >= 99

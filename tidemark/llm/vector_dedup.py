@@ -43,6 +43,7 @@ COSINE = 0.95
 SAMPLE = 16_384
 LISTS = 4096
 QUERIES, RECALL = 512, 0.999
+LINKED = 100  # sample vectors with links, from which the margin is measured
 STEPS = 256  # of the measured margin
 SUBSPACES, WORDS = 8, 256
 PIECE = 1024
@@ -144,10 +145,8 @@ INDEXED = "rep long, copies long, v {0}, list int, codes binary, error double, p
 DEALT = "own_group int, low int, high int, block int, " + INDEXED
 
 
-def _margin(distinct: DataFrame, q: Quantiser, cosine: float, radius: float, recall: float, queries: int) -> float:
-    """The margin at which ``recall`` of the links between a sample and all vectors are found."""
-    if recall >= 1:
-        return radius
+def _needed(distinct: DataFrame, q: Quantiser, cosine: float, radius: float, queries: int) -> np.ndarray:
+    """Links of sample vectors with all others: a row for each that has any, counted by the step of margin at which they are found."""
     rows = distinct.where(F.col("dim") == q.dim).select("v", "rep").orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(queries).collect()
     s, names = _unit([r.v for r in rows]), np.array([r.rep for r in rows])
     s_own = _nearest(s, q.centre)
@@ -167,14 +166,27 @@ def _margin(distinct: DataFrame, q: Quantiser, cosine: float, radius: float, rec
 
     found = (distinct.where(F.col("dim") == q.dim).select("v", "rep").mapInArrow(run, "query long, step long, links long")
              .groupBy("query", "step").agg(F.sum("links").alias("links")).collect())  # at most queries x steps
-    if not found:
-        return radius * min(1.0, 4 / q.dim ** 0.5)  # links are rare: what evenly spread differences need
     table = np.zeros((len(s), STEPS + 1))
     for r in found:
         table[r.query, r.step] = r.links
-    table = table[table.any(axis=1)]
+    return table[table.any(axis=1)]
+
+
+def _margin(distinct: DataFrame, q: Quantiser, cosine: float, radius: float, recall: float, queries: int) -> float:
+    """The margin at which ``recall`` of the links between a sample and all vectors are found.
+
+    It is measured only where ``LINKED`` sample vectors have links, of ``queries`` or eight times as many.  Where links are
+    rarer the margin is the radius, at which no list that may hold a link is left out.
+    """
+    if recall >= 1:
+        return radius
+    table = _needed(distinct, q, cosine, radius, queries)
+    if len(table) < LINKED:
+        table = _needed(distinct, q, cosine, radius, 8 * queries)
+    if len(table) < LINKED:
+        return radius
     share = np.minimum(np.cumsum(table.sum(axis=0)) / table.sum(), np.cumsum((table / table.sum(axis=1, keepdims=True)).mean(axis=0)))
-    return float(min(radius, radius * max(1.1 * np.argmax(share >= recall - 1e-12) / STEPS, q.dim ** -0.5)))
+    return float(min(radius, radius * max(1.1 * np.argmax(share >= recall - 1e-12) / STEPS, 2 * q.dim ** -0.5)))
 
 
 def _index(q: Quantiser, margin: float):
@@ -224,19 +236,16 @@ def _places(sizes: dict[int, int], lists: int, block: int) -> tuple[np.ndarray,
 
 def _deal(first: np.ndarray, parts: np.ndarray):
     """Each vector once for every block of which it probes a list, with both blocks in order."""
-    blocks = int((first + parts).max())
-    of = np.zeros((len(first), blocks), dtype=np.float32)
-    for k in range(len(first)):
-        of[k, first[k]:first[k] + parts[k]] = 1
-
     def run(batches):
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 rows = b.slice(s, 1024)
                 own = rows.column("list").to_numpy()
                 block = first[own] + rows.column("turn").to_numpy() % parts[own]
-                to = _bits(rows.column("probes"), len(first)).astype(np.float32) @ of > 0
-                i, other = np.nonzero(to)
+                i, k = np.nonzero(_bits(rows.column("probes"), len(first)))
+                many = parts[k]
+                other = np.repeat(first[k] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                i, other = np.divmod(np.unique(np.repeat(i, many) << 40 | other), 1 << 40)  # small lists share a block
                 mine = block[i]
                 rows = rows.drop_columns(["turn"]).take(pa.array(i))
                 yield pa.RecordBatch.from_arrays(
