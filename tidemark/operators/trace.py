@@ -54,7 +54,7 @@ def sum_trace(tr: DataFrame, key: Sequence[str], value: str, version: str = "ver
     return _running(tr, key, F.col(value) * F.col(M), "sum", version)
 
 
-def _extreme(tr: DataFrame, key, value: str, version: str, greatest: bool, insert_only: bool) -> DataFrame:
+def _extreme(tr: DataFrame, key, value: str, version: str, greatest: bool, insert_only: bool, spread: int) -> DataFrame:
     name, pick = ("max", F.max) if greatest else ("min", F.min)
     if insert_only:
         best = tr.groupBy(*key, version).agg(pick(value).alias("_d"))
@@ -62,16 +62,23 @@ def _extreme(tr: DataFrame, key, value: str, version: str, greatest: bool, inser
         return _as_changes(best.select(*key, version, pick("_d").over(w).alias(name)), key, name, version)
     kind = dict(tr.dtypes)[value]
     present = tr.where(F.col(value).isNotNull())
+    if spread > 1:
+        dealt = present.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(spread)).cast("int"))
+        present = replay.replay(dealt, [*key, "_part"], [value], lambda: replay.RunningExtreme(greatest), f"`{value}` {kind}", version).drop("_part")
     return replay.replay(present, key, [value], lambda: replay.RunningExtreme(greatest), f"{name} {kind}", version)
 
 
-def min_trace(tr: DataFrame, key: Sequence[str], value: str, version: str = "version", insert_only: bool = False) -> DataFrame:
-    """Changes of the least value; ``insert_only`` says that nothing is ever taken back."""
-    return _extreme(tr, key, value, version, False, insert_only)
+def min_trace(tr: DataFrame, key: Sequence[str], value: str, version: str = "version", insert_only: bool = False, spread: int = 1) -> DataFrame:
+    """Changes of the least value; ``insert_only`` says that nothing is ever taken back.
+
+    A key's changes pass through one task; where keys are hot, ``spread`` deals each key's values over so many tasks first, and
+    only the changes of the parts' extremes meet.
+    """
+    return _extreme(tr, key, value, version, False, insert_only, spread)
 
 
-def max_trace(tr: DataFrame, key: Sequence[str], value: str, version: str = "version", insert_only: bool = False) -> DataFrame:
-    return _extreme(tr, key, value, version, True, insert_only)
+def max_trace(tr: DataFrame, key: Sequence[str], value: str, version: str = "version", insert_only: bool = False, spread: int = 1) -> DataFrame:
+    return _extreme(tr, key, value, version, True, insert_only, spread)
 
 
 def distinct_trace(tr: DataFrame, cols: Sequence[str], version: str = "version") -> DataFrame:

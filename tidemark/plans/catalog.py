@@ -251,6 +251,28 @@ def _(spark, d):
     return T.max_trace(J.order_churn(spark, d), ["key"], "value")
 
 
+# One key with a third of all rows.
+_HOT = "hot AS (SELECT CASE WHEN key % 3 = 0 THEN 0 ELSE key END AS key, value, multiplicity, version FROM order_churn)"
+
+
+def _hot_trace(spark, d) -> DataFrame:
+    return J.order_churn(spark, d).withColumn("key", F.when(F.col("key") % 3 == 0, 0).otherwise(F.col("key")))
+
+
+def _hot_sql(name: str) -> str:
+    return _extreme_sql(name).replace("order_churn)", "hot)").replace("FROM order_churn GROUP", "FROM hot GROUP").replace(", spans AS", f", {_HOT}, spans AS", 1)
+
+
+@query("r3_min_hot", _hot_sql("min"))
+def _(spark, d):
+    return T.min_trace(_hot_trace(spark, d), ["key"], "value", spread=16)
+
+
+@query("r4_max_hot", _hot_sql("max"))
+def _(spark, d):
+    return T.max_trace(_hot_trace(spark, d), ["key"], "value", spread=16)
+
+
 _DISTINCT = ("SELECT key, value, p - old AS multiplicity, version FROM (SELECT key, value, version, p, lag(p, 1, CAST(0 AS BIGINT)) OVER (PARTITION BY key, value ORDER BY version) AS old FROM "
              "(SELECT key, value, version, CAST(CASE WHEN sum(d) OVER (PARTITION BY key, value ORDER BY version) > 0 THEN 1 ELSE 0 END AS BIGINT) AS p FROM "
              "(SELECT key, value, version, sum(multiplicity) AS d FROM {0} GROUP BY key, value, version))) WHERE p <> old")

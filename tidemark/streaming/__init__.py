@@ -168,12 +168,15 @@ def _net(rows) -> int:
 
 
 def stream_count(stream: DataFrame, key: str, value: str) -> DataFrame:
-    return stream_reduce(stream, key, value, lambda rows: [((_net(rows),), 1)], "count bigint", empty_too=True)
+    """A key's state is one number: its values are not told apart."""
+    return stream_reduce(stream.withColumn(value, F.lit(0)), key, value, lambda rows: [((_net(rows),), 1)], "count bigint", empty_too=True)
 
 
 def stream_sum(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """Null values add nothing."""
-    return stream_reduce(stream, key, value, lambda rows: [((sum(v * m for v, m in rows if v is not None),), 1)], "sum bigint", empty_too=True)
+    """Null values add nothing.  A key's state is two numbers: the sum (under 0) and the net multiplicity (under 1), which tells that it is there."""
+    parts = F.array(F.struct(F.lit(0).alias("v"), F.coalesce(F.col(value) * F.col(M), F.lit(0)).cast("bigint").alias("m")), F.struct(F.lit(1).alias("v"), F.col(M).alias("m")))
+    split = stream.select(key, "version", F.explode(parts).alias("_p")).select(key, F.col("_p.v").alias(value), F.col("_p.m").alias(M), "version")
+    return stream_reduce(split, key, value, lambda rows: [((sum(m for v, m in rows if v == 0),), 1)], "sum bigint", empty_too=True)
 
 
 def _live(rows) -> list:
