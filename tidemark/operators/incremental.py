@@ -96,20 +96,21 @@ class IncrementalFixpoint:
             schema = made.schema
             own = made if own is None else own.unionByName(made)
             fresh = made.select(self._who().alias("_k"), self._bucket().alias("_b")).distinct()
-            known = fresh if known is None else known.unionByName(fresh)
-            # earlier changes of all records of this update; those of this round schedule a look
-            everyone = saved(known.distinct(), "known")
-            buckets = sorted(r._b for r in everyone.select("_b").distinct().collect())  # at most as many as there are buckets
-            earlier = self._history(schema, number, buckets).join(everyone.select(F.col("_k").alias("_t")), self._who() == F.col("_t"), "left_semi")
-            last = earlier.agg(F.max("round")).first()[0]
-            due = fresh.select("_k").unionByName(earlier.where(F.col("round") == i).select(self._who().alias("_k"))).distinct()
-            due = saved(due, "due")
+            if self._runs(number):
+                # earlier changes of all records of this update; those of this round schedule a look
+                everyone = saved((fresh if known is None else known.unionByName(fresh)).distinct(), "known")
+                buckets = sorted(r._b for r in everyone.select("_b").distinct().collect())  # at most as many as there are buckets
+                earlier = self._history(schema, number, buckets).join(everyone.select(F.col("_k").alias("_t")), self._who() == F.col("_t"), "left_semi")
+                last = earlier.agg(F.max("round")).first()[0]
+                due = saved(fresh.select("_k").unionByName(earlier.where(F.col("round") == i).select(self._who().alias("_k"))).distinct(), "due")
+                known = everyone
+            else:
+                earlier, last, due = self.spark.createDataFrame([], schema), None, fresh.select("_k")
             history = earlier.withColumn("_old", F.lit(True)).unionByName(own.withColumn("_old", F.lit(False))).where(F.col("round") <= i)
             jumps = saved(self._jumps(history.join(due.withColumnRenamed("_k", "_t"), self._who() == F.col("_t"), "left_semi"), i), "jumps")
             looked.append(due.count())
             out = jumps if out is None else out.unionByName(jumps)
             now = jumps if i else jumps.unionByName(negate(start))
-            known = everyone
             i += 1
             if (last is None or last < i) and consolidate(now).isEmpty():
                 break
