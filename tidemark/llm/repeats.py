@@ -25,22 +25,25 @@ remove each other; documents shorter than LENGTH keep all; other columns are not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import documents, saved
+from tidemark.llm.common import documents, give_back, saved
+from tidemark.scratch import discard
 
 LENGTH, K = 50, 16
 BEFORE = LENGTH - K        # places at which a string over an anchor may start
 WIDE = BEFORE + LENGTH     # bytes of a context
 BATCHES = 4
 BATCH_BYTES = 1 << 40      # larger tables come in more batches
-BLOCK_BYTES = 16 << 20
-SHARD_SUFFIXES = 1 << 20   # suffixes of all levels in a shard, about
+BLOCK_BYTES = 2 << 20
+SHARD_SUFFIXES = 1 << 18   # suffixes of all levels in a shard, about
+ROW_SUFFIXES = 1 << 15     # of a row of an array, so that rows stay small for Spark
 SUFFIXES = 0.06            # anchors a byte: 2 / (BEFORE + 2), measured 0.058
-PIECE = 1 << 20            # bytes whose anchors are sought at once
+PIECE = 1 << 18            # bytes whose anchors are sought at once
 LEAST = -(1 << 63)         # null ids
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -184,6 +187,7 @@ ANSWER, REQUEST, LEVEL, PLACES, BYTES, SUFFIX = range(6)
 
 
 def _packed(rows: list[tuple]) -> pa.Table:
+    give_back()
     rows = [(*r, *(None,) * (7 - len(r))) for r in rows]
     columns = zip(*rows) if rows else [[]] * 7
     return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PACKED_ARROW)], schema=_PACKED_ARROW)
@@ -214,9 +218,9 @@ def _suffixes(shards: int):
         held, size, at = [], 0, None
 
         def close():
-            ctx, low, key = _firsts(*(np.concatenate(c) for c in zip(*held)))
-            rows = [(SUFFIX, shard, k.tobytes(), c.tobytes(), _planes(x), at.to_bytes(8, "little"))
-                    for shard, k, c, x in _split(_shard_of(key, shards), key, ctx, low)]
+            ctx, low, key, spot = _firsts(*(np.concatenate(c) for c in zip(*held)))
+            rows = [(SUFFIX, shard, k.tobytes(), c.tobytes(), _planes(x), at.to_bytes(8, "little"), _planes(y))
+                    for shard, k, c, x, y in _split(_shard_of(key, shards), key, ctx, low, spot)]
             yield from _packed(rows).to_batches(max_chunksize=256)
 
         for batch in batches:
@@ -228,11 +232,13 @@ def _suffixes(shards: int):
                 at = int(blocks[a])
                 part = batch.slice(a, b - a)
                 data, bounds = _texts(part.column("text"))
-                _, doc, key, ctx, _, _ = anchors(data, bounds)
-                held.append((ctx, _ids(part.column("doc_id"))[doc], key))
+                place, doc, key, ctx, _, _ = anchors(data, bounds)
+                held.append((ctx, _ids(part.column("doc_id"))[doc], key, part.column("start").to_numpy()[doc] + place - bounds[doc]))
                 size += len(data) + 1
         if held:
             yield from close()
+        held = batch = None
+        give_back()
     return run
 
 
@@ -241,23 +247,31 @@ def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(heads.tolist(), [*heads[1:].tolist(), len(x)]))
 
 
+def _level_rows(shard: int, key: np.ndarray, ctx: np.ndarray, *more: np.ndarray) -> list[tuple]:
+    """A sorted array in rows."""
+    cuts = [(k, k + ROW_SUFFIXES) for k in range(0, len(key), ROW_SUFFIXES)]
+    return [(LEVEL, shard, _planes(key[a:b], True), ctx[a:b].tobytes(), *(_planes(x[a:b]) for x in more)) for a, b in cuts]
+
+
 def _scan(batch_rows: pa.Table, level_rows: pa.Table) -> pa.Table:
     """A shard's new array along the arrays of the levels: answers, requests for bytes, and the array that becomes a level."""
     if not batch_rows.num_rows:
         return _packed([])
-    parts = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), _from_planes(c).view(np.int64), int.from_bytes(d, "little")) for a, b, c, d in _rows(batch_rows, "a", "b", "c", "d")]
+    parts = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), _from_planes(c).view(np.int64), _from_planes(e).view(np.int64), int.from_bytes(d, "little"))
+             for a, b, c, d, e in _rows(batch_rows, *"abcde")]
     shard = batch_rows.column("place")[0].as_py()
-    key, ctx, low = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    block = np.concatenate([np.full(len(p[0]), p[3], np.int64) for p in parts])
+    key, ctx, low, spot = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    block = np.concatenate([np.full(len(p[0]), p[4], np.int64) for p in parts])
     new = np.ones(len(key), dtype=bool)
     keys = np.unique(key)
-    for a, b, c, d in _rows(level_rows, "a", "b", "c", "d"):
+    for a, *others in _rows(level_rows, *"abcde"):
         k = _from_planes(a, True)
         here = keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k
-        k, x, y, z = k[here], np.frombuffer(b, np.uint64)[here], _from_planes(c).view(np.int64)[here], _from_planes(d).view(np.int64)[here]
-        key, ctx, low, block, new = np.r_[key, k], np.r_[ctx, x], np.r_[low, y], np.r_[block, z], np.r_[new, np.zeros(len(k), bool)]
+        if here.any():
+            x, y, z, w = np.frombuffer(others[0], np.uint64)[here], *(_from_planes(o).view(np.int64)[here] for o in others[1:])
+            key, ctx, low, block, spot, new = np.r_[key, k[here]], np.r_[ctx, x], np.r_[low, y], np.r_[block, z], np.r_[spot, w], np.r_[new, np.zeros(len(x), bool)]
     order = np.lexsort((new, low, ctx, key))  # what a level has goes first among equals
-    key, ctx, low, block, new = key[order], ctx[order], low[order], block[order], new[order]
+    key, ctx, low, block, spot, new = key[order], ctx[order], low[order], block[order], spot[order], new[order]
     head = np.r_[True, (ctx[1:] != ctx[:-1]) | (key[1:] != key[:-1])]
     group = np.cumsum(head) - 1
     first = low[head][group]
@@ -266,10 +280,10 @@ def _scan(batch_rows: pa.Table, level_rows: pa.Table) -> pa.Table:
     for b, c, x in _split(block[told], ctx[told], first[told]):
         out.append((ANSWER, b, c.tobytes(), _planes(x)))
     level = head & new
-    out.append((LEVEL, shard, _planes(key[level], True), ctx[level].tobytes(), _planes(low[level]), _planes(block[level])))
+    out += _level_rows(shard, key[level], ctx[level], low[level], block[level], spot[level])
     # from here on the first holders of each ctx; rows of one id may lie in several blocks
     holds = head | (new & (low == first))
-    key, ctx, low, block, new = key[holds], ctx[holds], low[holds], block[holds], new[holds]
+    key, ctx, low, block, spot, new = key[holds], ctx[holds], low[holds], block[holds], spot[holds], new[holds]
     of_key = np.r_[True, key[1:] != key[:-1]]
     start, group = np.flatnonzero(of_key), np.cumsum(of_key) - 1
     asks = new & (low > np.minimum.reduceat(low, start)[group])
@@ -277,8 +291,8 @@ def _scan(batch_rows: pa.Table, level_rows: pa.Table) -> pa.Table:
     upto = np.full(len(low), LEAST)
     upto[asks] = low[asks]
     wanted = np.flatnonzero(asks | (low < np.maximum.reduceat(upto, start)[group]))
-    for b, c, k, x in _split(block[wanted], ctx[wanted], key[wanted], low[wanted]):
-        out.append((REQUEST, b, c.tobytes(), k.tobytes(), _planes(x)))
+    for b, c, k, x, y in _split(block[wanted], ctx[wanted], key[wanted], low[wanted], spot[wanted]):
+        out.append((REQUEST, b, c.tobytes(), k.tobytes(), _planes(x), y.tobytes()))
     return _packed(out)
 
 
@@ -288,16 +302,13 @@ def _fetched(shards: int):
         if not asked.num_rows or not docs.num_rows:
             return _packed([])
         block = asked.column("place")[0].as_py()
-        want, key, low = (np.concatenate(c) for c in zip(*((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), _from_planes(c)) for a, b, c in _rows(asked, "a", "b", "c"))))
-        order = np.argsort(want)
-        want, key, low = want[order], key[order], low[order]
+        want, key, low, spot = (np.concatenate(c) for c in zip(*((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), _from_planes(c), np.frombuffer(d, np.int64)) for a, b, c, d in _rows(asked, *"abcd"))))
         data, bounds = _texts(docs.column("text"))
-        at, _, _, ctx, before, rest = anchors(data, bounds)
-        ctx, at, before, rest = _firsts(ctx, at, before, rest)
-        place = np.minimum(np.searchsorted(ctx, want), len(ctx) - 1)
-        if (ctx[place] != want).any():
-            raise RuntimeError("a block does not hold a context that it named")
-        at, before, rest = at[place], before[place], rest[place]
+        starts = docs.column("start").to_numpy()
+        order = np.argsort(starts, kind="stable")
+        doc = order[np.searchsorted(starts[order], spot, side="right") - 1]
+        at = bounds[doc] + spot - starts[doc]
+        before, rest = np.minimum(at - bounds[doc], BEFORE), np.minimum(bounds[doc + 1] - at, LENGTH)
         off = np.arange(-BEFORE, LENGTH)
         body = data[np.clip(at[:, None] + off, 0, len(data) - 1)]
         body[(off < -before[:, None]) | (off >= rest[:, None])] = 0
@@ -377,23 +388,40 @@ def _removed(docs: pa.Table, told: pa.Table) -> pa.Table:
         here = at[some[(bits[some] >> i & 1) == 1]] - i
         np.add.at(cover, here, 1)
         np.add.at(cover, here + LENGTH, -1)
-    gone = np.cumsum(cover[:-1]) > 0
+    np.cumsum(cover, out=cover)
+    gone = cover[:-1] > 0
+    del cover
     # maximal runs within documents
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
-    before_gone = np.r_[False, gone[:-1]] if len(gone) else gone
-    starts = np.flatnonzero(gone & (~before_gone | edge[:-1]))
-    after_kept = np.r_[~gone[1:], True] if len(gone) else gone
-    ends = np.flatnonzero(gone & (after_kept | edge[1:])) + 1
-    left = data[~gone]
-    upto = np.r_[0, np.cumsum(~gone)][bounds].astype(np.int64)
+    begins, stops = gone.copy(), gone.copy()
+    begins[1:] &= ~gone[:-1] | edge[1:-1]
+    stops[:-1] &= ~gone[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     of = np.searchsorted(starts, bounds)
+    give_back()
     shift = np.repeat(bounds[:-1], np.diff(of))
+    lost = np.r_[0, np.cumsum(ends - starts)][of]  # bytes that went before each document
+    left, upto = data[~gone], bounds - lost
     spans = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - shift, pa.int64()), pa.array(ends - shift, pa.int64())], ["start", "end"]))
     kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(upto), pa.py_buffer(left)]).cast(pa.binary())
     return pa.Table.from_arrays([docs.column("doc_id"), pa.array(np.diff(bounds)), kept, spans], schema=_RESULT_ARROW)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def _short_batches(spark, rows: int = 1000):
+    """Texts are long: fewer of them go to a Python worker at once."""
+    was = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, was)
+
+
 class RepeatIndex:
     """The levels.  ``add`` takes documents whose ids are not smaller than any before, and returns them without what repeats."""
 
@@ -409,16 +437,21 @@ class RepeatIndex:
             from pyspark import TaskContext
             size, number, own = 0, 0, TaskContext.get().partitionId() << 24
             for part in parts:
-                data, bounds = _texts(part.column("text"))
-                blocks = []
-                for n in np.diff(bounds).tolist():
+                blocks, starts = [], []
+                for n in np.diff(_texts(part.column("text"))[1]).tolist():
                     blocks.append((own + number) * batches + batch)
+                    starts.append(size)
                     size += n + 64
                     if size >= limit:
                         size, number = 0, number + 1
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), part.column("doc_id"), part.column("text")], names=["block", "doc_id", "text"])
+                whole = pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(starts, pa.int64()), part.column("doc_id"), part.column("text")], names=["block", "start", "doc_id", "text"])
+                for k in range(0, len(blocks), 512):
+                    yield whole.slice(k, 512)
+            part = whole = None
+            give_back()
 
-        return saved(documents(docs).mapInArrow(run, "block bigint, doc_id bigint, text string"), "repeat-texts", compression="zstd")
+        with _short_batches(self.spark):
+            return saved(documents(docs).mapInArrow(run, "block bigint, start bigint, doc_id bigint, text string"), "repeat-texts", compression="zstd")
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """``last`` says that nothing more will come, so that no level is kept."""
@@ -430,40 +463,45 @@ class RepeatIndex:
         stored = none
         for _, level in self.levels:
             stored = stored.unionByName(level)
-        scanned = saved(suffixes.groupBy("place").cogroup(stored.groupBy("place")).applyInArrow(_scan, _PACKED), "repeat-scan", compression="zstd")
-        holders = self.texts[0]
-        for t in self.texts[1:]:
-            holders = holders.unionByName(t)
-        asked = scanned.where(F.col("kind") == REQUEST).groupBy("place")
-        bodies = holders.withColumnRenamed("block", "place").groupBy("place").cogroup(asked).applyInArrow(_fetched(self.shards), _PACKED)
-        places = saved(bodies.groupBy("place").applyInArrow(_compared(batch, self.batches), _PACKED), "repeat-places", compression="zstd")
-        told = scanned.where(F.col("kind") == ANSWER).unionByName(places)
+        parts = ("answers", "requests", "level")
+        with _short_batches(self.spark):
+            scanned = saved(suffixes.groupBy("place").cogroup(stored.groupBy("place")).applyInArrow(_scan, _PACKED), "repeat-scan", compression="zstd")
+            answers, asked, level = (saved(scanned.where(F.col("kind") == k), f"repeat-{n}", compression="zstd") for k, n in zip((ANSWER, REQUEST, LEVEL), parts))
+            discard(scanned)
+            holders = self.texts[0]
+            for t in self.texts[1:]:
+                holders = holders.unionByName(t)
+            bodies = holders.withColumnRenamed("block", "place").groupBy("place").cogroup(asked.groupBy("place")).applyInArrow(_fetched(self.shards), _PACKED)
+            places = saved(bodies.groupBy("place").applyInArrow(_compared(batch, self.batches), _PACKED), "repeat-places", compression="zstd")
+            discard(asked)
+        told = answers.unionByName(places)
         out = texts.withColumnRenamed("block", "place").groupBy("place").cogroup(told.groupBy("place")).applyInArrow(_removed, _RESULT)
-        if not last:
-            self._keep(scanned.where(F.col("kind") == LEVEL))
+        if last:
+            discard(level, *(x for _, x in self.levels))
+        else:
+            self._keep(level)
         return out
 
     def _keep(self, level: DataFrame) -> None:
         """A new level; levels of its size or smaller merge with it, array by array."""
         size, parts = 1, [level]
-        old = []
         while self.levels and self.levels[-1][0] <= size:
             n, other = self.levels.pop()
             size += n
             parts.append(other)
-            old.append(other)
         if len(parts) > 1:
             every = parts[0]
             for p in parts[1:]:
                 every = every.unionByName(p)
             level = saved(every.groupBy("place").applyInArrow(_merged, _PACKED), "repeat-level", compression="zstd")
+            discard(*parts)
         self.levels.append((size, level))
 
 
 def _merged(rows: pa.Table) -> pa.Table:
-    key, ctx, low, block = (np.concatenate(c) for c in zip(*((_from_planes(a, True), np.frombuffer(b, np.uint64), _from_planes(c), _from_planes(d)) for a, b, c, d in _rows(rows, "a", "b", "c", "d"))))
+    key, ctx, *more = (np.concatenate(c) for c in zip(*((_from_planes(a, True), np.frombuffer(b, np.uint64), *map(_from_planes, others)) for a, b, *others in _rows(rows, *"abcde"))))
     order = np.lexsort((ctx, key))
-    return _packed([(LEVEL, rows.column("place")[0].as_py(), _planes(key[order], True), ctx[order].tobytes(), _planes(low[order]), _planes(block[order]))])
+    return _packed(_level_rows(rows.column("place")[0].as_py(), key[order], ctx[order], *(x[order] for x in more)))
 
 
 def without_repeats(docs: DataFrame, batches: int = BATCHES, shards: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
