@@ -91,3 +91,14 @@ def test_empty_table_and_spans(spark):
     assert R.without_repeats(df.where("false")).collect() == []
     got = {r.doc_id: r for r in R.without_repeats(df).collect()}
     assert got[1].spans == [] and [tuple(s) for s in got[2].spans] == [(2, 57)] and bytes(got[2].kept) == "abé".encode()
+
+
+def test_shards_hold_about_as_many_anchors_each():
+    data = np.random.default_rng(5).integers(97, 123, 1_000_000, dtype=np.uint8)
+    key = np.sort(R.anchors(data, np.array([0, len(data)]))[2])
+    shard = R._dealing(64)(key)
+    assert (np.diff(shard) >= 0).all() and shard[0] == 0 and shard[-1] == 63  # ranges
+    sizes = np.bincount(shard, minlength=64)
+    assert sizes.max() < 1.3 * sizes.mean() and sizes.min() > 0.7 * sizes.mean()
+    ends = np.array([0, 2**64 - 1], np.uint64)
+    assert R._dealing(1)(ends).tolist() == [0, 0] and R._dealing(10**8)(ends).tolist() == [0, 10**8 - 1]

@@ -41,6 +41,7 @@ BATCHES = 4
 BATCH_BYTES = 1 << 40      # larger tables come in more batches
 BLOCK_BYTES = 2 << 20
 SHARD_SUFFIXES = 1 << 18   # suffixes of all levels in a shard, about
+STEPS = 1 << 12          # of the table by which keys are dealt
 ROW_SUFFIXES = 1 << 15     # of a row of an array, so that rows stay small for Spark
 SUFFIXES = 0.06            # anchors a byte: 2 / (BEFORE + 2), measured 0.058
 PIECE = 1 << 18            # bytes whose anchors are sought at once
@@ -207,12 +208,29 @@ def _split(where: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(where[a]), *(c[a:b] for c in columns)
 
 
-def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of the key."""
-    return ((key >> _32) * np.uint64(shards) >> _32).astype(np.int64)
+def _dealing(shards: int):
+    """Keys to shards: ranges of the key that hold about as many anchors each.
 
-
-def _suffixes(shards: int):
+    Anchors are the smallest of BEFORE + 1 hashes, so small keys are far more frequent than large ones.  The driver makes the
+    bounds, so that all machines have the same.
+    """
+    low, high = np.zeros(STEPS - 1), np.ones(STEPS - 1)
+    wanted = np.arange(1, STEPS) / STEPS
+    for _ in range(60):  # the share of anchors up to x is 1 - (n + 2) / 2 * p**(n + 1) + n / 2 * p**(n + 2), n = BEFORE, p = 1 - x
+        x = (low + high) / 2
+        less = 1 - (BEFORE + 2) / 2 * (1 - x) ** (BEFORE + 1) + BEFORE / 2 * (1 - x) ** (BEFORE + 2) < wanted
+        low, high = np.where(less, x, low), np.where(less, high, x)
+    bounds = np.concatenate([[0], (low * 2**32).astype(np.int64), [2**32]])
+
+    def shard_of(key: np.ndarray) -> np.ndarray:
+        x = (key >> _32).astype(np.int64)
+        k = np.searchsorted(bounds, x, side="right") - 1
+        share = (k << 20) + ((x - bounds[k]) << 20) // (bounds[k + 1] - bounds[k])  # of STEPS * 2**20 = 2**32
+        return share * shards >> 32
+    return shard_of
+
+
+def _suffixes(shard_of):
     """Blocks of documents to their suffixes, one row for each shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, at = [], 0, None
@@ -220,7 +238,7 @@ def _suffixes(shards: int):
         def close():
             ctx, low, key, spot = _firsts(*(np.concatenate(c) for c in zip(*held)))
             rows = [(SUFFIX, shard, k.tobytes(), c.tobytes(), _planes(x), at.to_bytes(8, "little"), _planes(y))
-                    for shard, k, c, x, y in _split(_shard_of(key, shards), key, ctx, low, spot)]
+                    for shard, k, c, x, y in _split(shard_of(key), key, ctx, low, spot)]
             yield from _packed(rows).to_batches(max_chunksize=256)
 
         for batch in batches:
@@ -296,7 +314,7 @@ def _scan(batch_rows: pa.Table, level_rows: pa.Table) -> pa.Table:
     return _packed(out)
 
 
-def _fetched(shards: int):
+def _fetched(shard_of):
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         """The bytes of the contexts that a block is asked for, by shard."""
         if not asked.num_rows or not docs.num_rows:
@@ -314,7 +332,7 @@ def _fetched(shards: int):
         body[(off < -before[:, None]) | (off >= rest[:, None])] = 0
         sides = np.stack([before, rest], axis=1).astype(np.uint8)
         return _packed([(BYTES, s, np.stack([k, w], axis=1).tobytes(), _planes(x), sd.tobytes(), bd.tobytes(), block.to_bytes(8, "little"))
-                        for s, k, w, x, sd, bd in _split(_shard_of(key, shards), key, want, low, sides, body)])
+                        for s, k, w, x, sd, bd in _split(shard_of(key), key, want, low, sides, body)])
     return run
 
 
@@ -426,7 +444,7 @@ class RepeatIndex:
     """The levels.  ``add`` takes documents whose ids are not smaller than any before, and returns them without what repeats."""
 
     def __init__(self, spark, shards: int, batches: int, block_bytes: int = BLOCK_BYTES):
-        self.spark, self.shards, self.batches, self.block_bytes = spark, shards, batches, block_bytes
+        self.spark, self.shard_of, self.batches, self.block_bytes = spark, _dealing(shards), batches, block_bytes
         self.levels: list[tuple[int, DataFrame]] = []  # (batches in it, a row a shard)
         self.texts: list[DataFrame] = []
 
@@ -459,7 +477,7 @@ class RepeatIndex:
         texts = self._blocks(docs, batch)
         self.texts.append(texts)
         none = self.spark.createDataFrame([], _PACKED)
-        suffixes = texts.mapInArrow(_suffixes(self.shards), _PACKED)
+        suffixes = texts.mapInArrow(_suffixes(self.shard_of), _PACKED)
         stored = none
         for _, level in self.levels:
             stored = stored.unionByName(level)
@@ -471,7 +489,7 @@ class RepeatIndex:
             holders = self.texts[0]
             for t in self.texts[1:]:
                 holders = holders.unionByName(t)
-            bodies = holders.withColumnRenamed("block", "place").groupBy("place").cogroup(asked.groupBy("place")).applyInArrow(_fetched(self.shards), _PACKED)
+            bodies = holders.withColumnRenamed("block", "place").groupBy("place").cogroup(asked.groupBy("place")).applyInArrow(_fetched(self.shard_of), _PACKED)
             places = saved(bodies.groupBy("place").applyInArrow(_compared(batch, self.batches), _PACKED), "repeat-places", compression="zstd")
             discard(asked)
         told = answers.unionByName(places)
