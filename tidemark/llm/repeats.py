@@ -271,8 +271,8 @@ def _level_rows(shard: int, key: np.ndarray, ctx: np.ndarray, *more: np.ndarray)
     return [(LEVEL, shard, _planes(key[a:b], True), ctx[a:b].tobytes(), *(_planes(x[a:b]) for x in more)) for a, b in cuts]
 
 
-def _scan(batch_rows: pa.Table, level_rows: pa.Table) -> pa.Table:
-    """A shard's new array along the arrays of the levels: answers, requests for bytes, and the array that becomes a level."""
+def _scan(batch_rows: pa.Table, level_rows: pa.Table, keep: bool) -> pa.Table:
+    """A shard's new array along the arrays of the levels: answers, requests for bytes, and, to ``keep``, the array that becomes a level."""
     if not batch_rows.num_rows:
         return _packed([])
     parts = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), _from_planes(c).view(np.int64), _from_planes(e).view(np.int64), int.from_bytes(d, "little"))
@@ -297,8 +297,9 @@ def _scan(batch_rows: pa.Table, level_rows: pa.Table) -> pa.Table:
     told = np.flatnonzero(new & (low > first))
     for b, c, x in _split(block[told], ctx[told], first[told]):
         out.append((ANSWER, b, c.tobytes(), _planes(x)))
-    level = head & new
-    out += _level_rows(shard, key[level], ctx[level], low[level], block[level], spot[level])
+    if keep:
+        level = head & new
+        out += _level_rows(shard, key[level], ctx[level], low[level], block[level], spot[level])
     # from here on the first holders of each ctx; rows of one id may lie in several blocks
     holds = head | (new & (low == first))
     key, ctx, low, block, spot, new = key[holds], ctx[holds], low[holds], block[holds], spot[holds], new[holds]
@@ -481,10 +482,12 @@ class RepeatIndex:
         stored = none
         for _, level in self.levels:
             stored = stored.unionByName(level)
-        parts = ("answers", "requests", "level")
+        parts = [(ANSWER, "answers"), (REQUEST, "requests"), *([] if last else [(LEVEL, "level")])]
         with _short_batches(self.spark):
-            scanned = saved(suffixes.groupBy("place").cogroup(stored.groupBy("place")).applyInArrow(_scan, _PACKED), "repeat-scan", compression="zstd")
-            answers, asked, level = (saved(scanned.where(F.col("kind") == k), f"repeat-{n}", compression="zstd") for k, n in zip((ANSWER, REQUEST, LEVEL), parts))
+            scanned = saved(suffixes.groupBy("place").cogroup(stored.groupBy("place")).applyInArrow(lambda new, known: _scan(new, known, not last), _PACKED), "repeat-scan", compression="zstd")
+            if last:
+                discard(*(x for _, x in self.levels))
+            answers, asked, *level = (saved(scanned.where(F.col("kind") == k), f"repeat-{n}", compression="zstd") for k, n in parts)
             discard(scanned)
             holders = self.texts[0]
             for t in self.texts[1:]:
@@ -494,10 +497,8 @@ class RepeatIndex:
             discard(asked)
         told = answers.unionByName(places)
         out = texts.withColumnRenamed("block", "place").groupBy("place").cogroup(told.groupBy("place")).applyInArrow(_removed, _RESULT)
-        if last:
-            discard(level, *(x for _, x in self.levels))
-        else:
-            self._keep(level)
+        if not last:
+            self._keep(*level)
         return out
 
     def _keep(self, level: DataFrame) -> None:
