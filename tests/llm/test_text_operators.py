@@ -266,6 +266,36 @@ def test_secret_threshold_is_the_recall_quantile():
     assert (net.probabilities(bad[100:]) >= net.threshold).mean() <= 0.05
 
 
+def test_every_document_teaches_the_secret_network(spark):
+    """Findings in few of many documents that look alike to a sample, and behind many runs; threshold over all of them."""
+    r = np.random.default_rng(12)
+    ids = [x.i for x in spark.range(2_300).select(F.col("id").alias("i")).orderBy(F.xxhash64("id"), "id").collect()]
+    hexes = ["".join(r.choice(list("0123456789abcdef"), 40)) for _ in range(100)]
+    late = "9807-1576-2804 " * 2_000
+    rows = [(i, "a token of plain words that says nothing at all") for i in ids[:2_200]]
+    rows += [(i, f"{late if k == 0 else ''}river hill stone token = \"{h}\" and 98079157628{k:03} more") for k, (i, h) in enumerate(zip(ids[2_200:], hexes))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    net = secret_scan.train(docs)
+    assert net is not None
+    found = secret_scan.labelled(docs).collect()
+    value = lambda s: xxhash.xxh64_intdigest(s.encode()) >> 1
+    assert {x.v for x in found if x.y == 1} == {value(f"{h}") for h in hexes}
+    assert {value(f"98079157628{k:03}") for k in range(100)} | {value("9807-1576-2804")} <= {x.v for x in found if x.y == 0}
+    held = np.array([list(x.w) for x in found if x.y == 1 and x.v % 4 == 3], dtype=np.uint8)
+    p = np.sort(1 / (1 + np.exp(-np.clip(net.scale * net.logits(held) + net.shift, -40, 40))))
+    assert net.threshold == pytest.approx(p[int((1 - secret_scan.RECALL) * len(p))], rel=1e-6)
+    again = secret_scan.train(docs.repartition(2))
+    assert again.threshold == pytest.approx(net.threshold, rel=1e-6) and np.array_equal(again.state(), net.state())
+
+
+def test_secret_rank_of_all_values(spark):
+    r = np.random.default_rng(13)
+    for x in (r.normal(0, 9, 5_000), np.repeat([1.5, -2.25, 7.0], 900), np.array([3.0]), 1 + r.integers(0, 9, 4_000) * 2.0 ** -52):
+        df = spark.createDataFrame([(float(v),) for v in x], "t double")
+        for k in {0, len(x) // 100, len(x) - 1}:
+            assert secret_scan._kth(df, k) == np.sort(x)[k]
+
+
 def test_a_key_anywhere_in_a_long_run_is_read():
     assert len(secret_scan.windows("x" * 500, 10, 400)) > 10
     assert all(len(w) == secret_scan.WIDTH for w in secret_scan.windows("x" * 500, 10, 400))
