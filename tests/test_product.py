@@ -76,3 +76,19 @@ def test_no_rows_and_one_coordinate(spark):
         assert f(df.where("false")).collect() == []
     one = df.withColumn("version", F.col("v0"))
     assert rows(T.count_product(one, ["key"], ["version"])) == rows(T.count_trace(one, ["key"]).select("key", "count", "multiplicity", "version"))
+
+
+def test_reduce_sees_each_point_once_and_in_order_across_batches(spark):
+    """A task answers many points in one stretch of Python, whatever the batches: a worker is not asked once a group."""
+    data = [(f"k{k}", v, 1, k % 3, k % 2, 0) for k in range(40) for v in [None, *range(12)]]
+    tr = spark.createDataFrame(data, SCHEMA).repartition(5)
+    seen = lambda r: [(",".join(str(v[0]) for v, m in r if m == 1), 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = T.reduce_product(tr, ["key"], ["value"], lambda r: [((x,), m) for x, m in seen(r)], "said string", COORDS)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        got = rows(out)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(((f"k{k}", ",".join(["None", *map(str, range(12))]), 1, k % 3, k % 2, 0) for k in range(40)), key=repr)
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan

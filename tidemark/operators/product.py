@@ -13,13 +13,13 @@ not be null.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions import replay
 from tidemark.functions.values import arrow_schema, columns_of, rows_of
 from tidemark.operators.collection import consolidate, not_negative
 from tidemark.sources import M
@@ -147,20 +147,38 @@ def max_product(tr: DataFrame, key: Sequence[str], value: str, coords: Coords =
 def reduce_product(tr: DataFrame, key: Sequence[str], value: Sequence[str], f: Callable, result: str, coords: Coords = ("v0", "v1")) -> DataFrame:
     """``reduce_trace`` in product order: ``f`` sees a key's values at each of its points.
 
-    A group is one point of one key, so a key's points spread over tasks; one point's distinct values must fit one.
+    A group is one point of one key.  Groups come one after the other as rows in order, numbered from 1 in each, so a
+    task calls ``f`` for many of them in one Arrow batch and holds one point's distinct values.
     """
     live, points, changes = _live(tr, key, value, coords)
     kind = dict(live.dtypes)
     spec = ", ".join([f"`_k` {kind['_k']}", *(f"`{c}` {kind[c]}" for c in coords), result, f"{M} bigint"])
     shape = arrow_schema(spec)
-    width = 1 + len(coords)
-
-    def run(group: pa.Table) -> pa.Table:
-        net = dict(zip(rows_of([group.column(c) for c in value]), group.column("_net").to_pylist()))
-        rows = [(*v, m) for v, m in f(replay.in_order(net))]
-        same = [group.column(c).combine_chunks().take(pa.array([0] * len(rows), pa.int64())).cast(shape.field(c).type) for c in ("_k", *coords)]
-        return pa.Table.from_arrays([*same, *columns_of(rows, pa.schema(list(shape)[width:]))], schema=shape)
-
-    answers = live.groupBy("_k", *coords).applyInArrow(run, spec)
+    at, width = ["_k", *coords], 1 + len(coords)
+
+    def answered(places: pa.RecordBatch, groups: list[list]) -> pa.RecordBatch:
+        """The answers of ``groups``, whose key and point are the rows of ``places``; Spark has sorted them as ``in_order`` does."""
+        said = [(i, (*v, m)) for i, g in enumerate(groups) for v, m in f(g)]
+        same = [places.column(c).take(pa.array([i for i, _ in said], pa.int64())).cast(shape.field(c).type) for c in at]
+        return pa.RecordBatch.from_arrays([*same, *columns_of([r for _, r in said], pa.schema(list(shape)[width:]))], schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, last = None, []  # the group that may go on in the next batch
+        for batch in batches:
+            starts = [i for i, n in enumerate(batch.column("_n").to_pylist()) if n == 1]
+            rows = list(zip(rows_of([batch.column(c) for c in value]), batch.column("_net").to_pylist()))
+            last += rows[:starts[0]] if starts else rows
+            if not starts:
+                continue
+            if place is not None:
+                yield answered(place, [last])
+            if len(starts) > 1:
+                yield answered(batch.select(at).take(pa.array(starts[:-1], pa.int64())), [rows[a:b] for a, b in pairwise(starts)])
+            place, last = batch.select(at).take(pa.array(starts[-1:], pa.int64())), rows[starts[-1]:]
+        if place is not None:
+            yield answered(place, [last])
+
+    numbered = live.withColumn("_n", F.row_number().over(Window.partitionBy(*at).orderBy(*value)))
+    answers = numbered.mapInArrow(run, spec)
     names = [c for c in answers.columns if c not in ("_k", M, *coords)]
     return _from_answers(answers, points, changes, key, names, coords)
