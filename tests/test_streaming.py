@@ -188,3 +188,17 @@ def test_closed_through_tells_the_watermark(spark):
         assert W.closed_through(query).startswith("1970-01-01T00:00:07")
     finally:
         query.stop()
+
+
+def test_running_answers_are_jobs_over_stored_rows(spark, tmp_path):
+    """No call of Python a row: a batch is a job.  A second run on the path adds nothing, and emptied keys are asked if wanted."""
+    tr = spark.createDataFrame([(1, 5, 1, 0), (1, 6, 1, 0), (1, 5, -1, 3), (1, 6, -1, 3), (2, 7, 1, 1), (2, 7, -1, 1), (1, 8, 2, 9)], SCHEMA)
+    size = lambda rows: [((sum(m for _, m in rows),), 1)]
+    path = f"file://{tmp_path}/running"
+    answers = W.stream_reduce(replayed(tr, "t-running"), "key", "value", size, "n bigint", empty_too=True)
+    want = [(1, 0, -1, 9), (1, 0, 1, 3), (1, 2, -1, 3), (1, 2, 1, 0), (1, 2, 1, 9), (2, 0, 1, 1)]
+    assert rows(answers.run("t-running", path)) == want
+    assert rows(answers.run("t-running", path)) == want
+    assert answers.store("t-running", path).frontier == 10
+    some = W.stream_reduce(replayed(tr, "t-some"), "key", "value", size, "n bigint")
+    assert rows(W.run_to_end(some, "t-some")) == [r for r in want if r[1]]

@@ -70,8 +70,8 @@ def in_order(net: dict) -> Weighted:
 class Replay:
     """A key's weighted values and what a user function makes of them."""
 
-    def __init__(self, f: Callable[[Weighted], Weighted]):
-        self.f, self.net = f, {}
+    def __init__(self, f: Callable[[Weighted], Weighted], empty_too: bool = False):
+        self.f, self.empty_too, self.net = f, empty_too, {}
 
     def apply(self, changes: Weighted) -> None:
         for v, m in changes:
@@ -82,7 +82,7 @@ class Replay:
                 self.net.pop(v, None)
 
     def answer(self) -> Weighted:
-        return self.f(in_order(self.net)) if self.net else []
+        return self.f(in_order(self.net)) if self.net or self.empty_too else []
 
 
 def changes_between(old: Weighted, new: Weighted) -> Weighted:
@@ -93,10 +93,13 @@ def changes_between(old: Weighted, new: Weighted) -> Weighted:
     return in_order({v: m for v, m in net.items() if m})
 
 
-def replay(tr: DataFrame, key: Sequence[str], value: Sequence[str], make: Callable[[], object], result: str, version: str = "version") -> DataFrame:
-    """Changes of a key's answer at each version that touches it; ``result`` names its columns."""
+def replay(tr: DataFrame, key: Sequence[str], value: Sequence[str], make: Callable[[], object], result: str, version: str = "version", empty_too: bool = False) -> DataFrame:
+    """Changes of a key's answer at each version that touches it; ``result`` names its columns.
+
+    ``empty_too``: versions whose changes cancel are seen too.
+    """
     types = dict(tr.dtypes)
-    summed = tr.groupBy(*key, *value, version).agg(F.sum(M).alias(M)).where(F.col(M) != 0)
+    summed = tr.groupBy(*key, *value, version).agg(F.sum(M).alias(M)).where(F.lit(True) if empty_too else F.col(M) != 0)
     dealt = summed.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key, version, *value)
     spec = ", ".join([*(f"`{k}` {types[k]}" for k in key), result, f"{M} bigint", f"`{version}` {types[version]}"])
     schema, width = arrow_schema(spec), len(key)

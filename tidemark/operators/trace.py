@@ -91,9 +91,12 @@ def distinct_trace(tr: DataFrame, cols: Sequence[str], version: str = "version")
     return change.where(F.col(M) != 0).select(*cols, M, version)
 
 
-def reduce_trace(tr: DataFrame, key: Sequence[str], value: Sequence[str], f: Callable, result: str, version: str = "version") -> DataFrame:
-    """Changes of ``f``'s answer; it sees a key's consolidated (value, multiplicity) list."""
-    return replay.replay(tr, key, value, lambda: replay.Replay(f), result, version)
+def reduce_trace(tr: DataFrame, key: Sequence[str], value: Sequence[str], f: Callable, result: str, version: str = "version", empty_too: bool = False) -> DataFrame:
+    """Changes of ``f``'s answer; it sees a key's consolidated (value, multiplicity) list.
+
+    ``empty_too``: it is asked for keys whose records cancelled too.
+    """
+    return replay.replay(tr, key, value, lambda: replay.Replay(f, empty_too), result, version, empty_too)
 
 
 def snapshot_at(tr: DataFrame, at: dict[str, int]) -> DataFrame:

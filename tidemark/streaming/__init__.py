@@ -4,26 +4,23 @@ A version is a logical integer.  ``event_time`` maps version n to second n + 1,
 one second then means: seeing version n closes all versions below n.  The last version closes after
 a heartbeat, a row with multiplicity 0 at the version to which the frontier moves; heartbeats reach
 the stateful operator and are dropped there.
+Running answers of keys (``ClosedAnswers``) close versions in the same way, by the store's ledger.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.replay import changes_between, in_order
+from tidemark.operators import trace as T
 from tidemark.scratch import new_folder
 from tidemark.sources import M, stream_trace
 from tidemark.streaming.store import VersionedStore
 
-__all__ = ["ClosedVersions", "VersionedStore", "closed_through", "event_time", "feed", "heartbeat", "run_to_end", "stream_concat", "stream_consolidate", "stream_count", "stream_distinct",
+__all__ = ["ClosedAnswers", "VersionedStore", "closed_through", "event_time", "feed", "heartbeat", "run_to_end", "stream_concat", "stream_consolidate", "stream_count", "stream_distinct",
            "stream_join", "stream_linear", "stream_max", "stream_min", "stream_reduce", "stream_sum"]
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def event_time(df: DataFrame, version: str = "version") -> DataFrame:
     return df.withColumn("et", F.timestamp_seconds(F.col(version) + 1)).withWatermark("et", "1 second")
 
@@ -48,8 +45,10 @@ def feed(batches: Sequence[DataFrame], name: str, rows_per_file: int = 1_000_000
     return stream_trace(spark, path, batches[0].schema, files)
 
 
-def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_end(df: DataFrame | ClosedAnswers, name: str, mode: str = "append") -> DataFrame:
     """Runs the query over all that has arrived and returns what it wrote."""
+    if isinstance(df, ClosedAnswers):
+        return df.run(name)
     spark = df.sparkSession
     out, checkpoint = new_folder(spark, name), new_folder(spark, f"{name}-checkpoint")
     query = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
@@ -90,113 +89,62 @@ def stream_join(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     return a.join(right, on, "inner").select(*kept, *values, F.greatest("version", "_v").alias("version"), (F.col(M) * F.col("_m")).alias(M))
 
 
-class ClosedVersions(StatefulProcessor):
-    """Running answer of one key: changes wait by version until the watermark closes it.
+class ClosedAnswers:
+    """The running answer of a stream's keys at closed versions, as stored traces give it: ``run`` or ``run_to_end``.
 
-    State: pending changes by (version, value), and the net multiplicity of each live value.  A
-    timer handles all pending versions that are closed, in ascending order.
+    A micro-batch is one Spark job over the keys that it closes versions of, not a call a row or a key.  ``answer`` makes
+    the changes of stored rows; ``shape`` is the DDL of its columns.
     """
 
-    def __init__(self, f: Callable, kind: str, names: Sequence[str], empty_too: bool):
-        self.f, self.kind, self.names, self.empty_too = f, kind, list(names), empty_too
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getMapState("pending", f"version int, value {self.kind}", "m bigint")
-        self.live = handle.getMapState("live", f"value {self.kind}", "m bigint")
-        self.touched = handle.getValueState("touched", "seen boolean")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for row in rows:
-            if row[M] == 0:
-                continue  # a heartbeat moves the watermark only
-            at = (row["version"], row["value"])
-            old = self.pending.getValue(at)
-            if old is None:
-                self.handle.registerTimer((at[0] + 1) * 1000)
-            self.pending.updateValue(at, ((old[0] if old else 0) + row[M],))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        through = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
-        waiting: dict[int, list] = {}
-        for (version, value), (m,) in list(self.pending.iterator()):
-            if version <= through:
-                waiting.setdefault(version, []).append((value, m))
-        net = {k[0]: m[0] for k, m in self.live.iterator()}
-        started = self.touched.exists()
-        out = []
-        for version in sorted(waiting):
-            old = self.f(in_order(net)) if started and (net or self.empty_too) else []
-            for value, m in waiting[version]:
-                net[value] = net.get(value, 0) + m
-                self.pending.removeKey((version, value))
-                if net[value]:
-                    self.live.updateValue((value,), (net[value],))
-                else:
-                    del net[value]
-                    self.live.removeKey((value,))
-            started = True
-            new = self.f(in_order(net)) if net or self.empty_too else []
-            out += [Row(**dict(zip(self.names, (*key, *v, m, version)))) for v, m in changes_between(old, new)]
-        if started:
-            self.touched.update((True,))
-        return iter(out)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_reduce(stream: DataFrame, key: str, value: str, f: Callable, result: str, empty_too: bool = False) -> DataFrame:
-    """Changes of ``f``'s answer at each closed version; needs the RocksDB state store.
+    def __init__(self, stream: DataFrame, key: str, answer: Callable[[DataFrame], DataFrame], shape: str):
+        self.stream, self.key, self.answer, self.shape = stream, key, answer, shape
 
-    ``f`` maps the sorted (value, net multiplicity) list to [(result tuple, multiplicity)].
-    ``empty_too`` keeps an answer for keys whose records cancelled, as count and sum want.
-    """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    types = dict(stream.dtypes)
-    shaped = event_time(stream.select(F.col(key).alias("key"), F.col(value).alias("value"), M, "version"))
-    spec = f"key {types[key]}, {result}, {M} bigint, version int"
-    names = ["key", *[c.split()[0] for c in result.split(",")], M, "version"]
-    processor = ClosedVersions(f, types[value], names, empty_too)
-    out = shaped.groupBy("key").transformWithState(statefulProcessor=processor, outputStructType=spec, outputMode="Append", timeMode="EventTime")
-    return out.withColumnRenamed("key", key) if key != "key" else out
+    def store(self, name: str, path: str | None = None) -> VersionedStore:
+        """A store on an old path goes on where it ended."""
+        return VersionedStore(self.stream.sparkSession, name, lambda stored, low, high: self.answer(stored), path=path, key=[self.key])
 
+    def run(self, name: str, path: str | None = None) -> DataFrame:
+        """Takes all that has arrived and returns the changes so far."""
+        return self.store(name, path).run(self.stream).changes(self.shape)
 
-def _net(rows) -> int:
-    return sum(m for _, m in rows)
 
+def _closed(stream: DataFrame, key: str, result: str, answer: Callable[[DataFrame], DataFrame]) -> ClosedAnswers:
+    types = dict(stream.dtypes)
+    return ClosedAnswers(stream, key, answer, f"`{key}` {types[key]}, {result}, {M} bigint, version {types['version']}")
+
+
+def stream_reduce(stream: DataFrame, key: str, value: str, f: Callable, result: str, empty_too: bool = False) -> ClosedAnswers:
+    """Changes of ``f``'s answer at each closed version.
 
-def stream_count(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """A key's state is one number: its values are not told apart."""
-    return stream_reduce(stream.withColumn(value, F.lit(0)), key, value, lambda rows: [((_net(rows),), 1)], "count bigint", empty_too=True)
+    ``f`` maps the sorted (value, net multiplicity) list to [(result tuple, multiplicity)].
+    ``empty_too`` keeps an answer for keys whose records cancelled, as count and sum want.
+    """
+    def of_values(rows):
+        return f([(v[0], m) for v, m in rows])
+    return _closed(stream.select(key, value, M, "version"), key, result, lambda stored: T.reduce_trace(stored, [key], [value], of_values, result, empty_too=empty_too))
 
 
-def stream_sum(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """Null values add nothing.  A key's state is two numbers: the sum (under 0) and the net multiplicity (under 1), which tells that it is there."""
-    parts = F.array(F.struct(F.lit(0).alias("v"), F.coalesce(F.col(value) * F.col(M), F.lit(0)).cast("bigint").alias("m")), F.struct(F.lit(1).alias("v"), F.col(M).alias("m")))
-    split = stream.select(key, "version", F.explode(parts).alias("_p")).select(key, F.col("_p.v").alias(value), F.col("_p.m").alias(M), "version")
-    return stream_reduce(split, key, value, lambda rows: [((sum(m for v, m in rows if v == 0),), 1)], "sum bigint", empty_too=True)
+def stream_count(stream: DataFrame, key: str, value: str) -> ClosedAnswers:
+    """A key's history is one number a version: its values are not told apart."""
+    return _closed(stream.select(key, M, "version"), key, "count bigint", lambda stored: T.count_trace(stored, [key]))
 
 
-def _live(rows) -> list:
-    if any(m < 0 for _, m in rows):
-        raise ValueError("negative net multiplicity")
-    return [v for v, m in rows if m]
+def stream_sum(stream: DataFrame, key: str, value: str) -> ClosedAnswers:
+    """Null values add nothing."""
+    return _closed(stream.select(key, value, M, "version"), key, "sum bigint", lambda stored: T.sum_trace(stored, [key], value))
 
 
-def stream_min(stream: DataFrame, key: str, value: str) -> DataFrame:
+def stream_min(stream: DataFrame, key: str, value: str) -> ClosedAnswers:
     """Null values are no candidates."""
-    return stream_reduce(stream, key, value, lambda rows: [((v,), 1) for v in _live(rows) if v is not None][:1], f"min {dict(stream.dtypes)[value]}")
+    return _closed(stream.select(key, value, M, "version"), key, f"min {dict(stream.dtypes)[value]}", lambda stored: T.min_trace(stored, [key], value))
 
 
-def stream_max(stream: DataFrame, key: str, value: str) -> DataFrame:
-    return stream_reduce(stream, key, value, lambda rows: [((v,), 1) for v in _live(rows) if v is not None][-1:], f"max {dict(stream.dtypes)[value]}")
+def stream_max(stream: DataFrame, key: str, value: str) -> ClosedAnswers:
+    return _closed(stream.select(key, value, M, "version"), key, f"max {dict(stream.dtypes)[value]}", lambda stored: T.max_trace(stored, [key], value))
 
 
-def stream_distinct(stream: DataFrame, key: str, value: str) -> DataFrame:
-    out = stream_reduce(stream, key, value, lambda rows: [((v,), 1) for v in _live(rows)], f"present {dict(stream.dtypes)[value]}")
-    return out.withColumnRenamed("present", value)
+def stream_distinct(stream: DataFrame, key: str, value: str) -> ClosedAnswers:
+    return _closed(stream.select(key, value, M, "version"), key, f"`{value}` {dict(stream.dtypes)[value]}", lambda stored: T.distinct_trace(stored, [key, value]))
 
 
 def stream_concat(a: DataFrame, b: DataFrame, record: Sequence[str]) -> DataFrame:

@@ -109,12 +109,17 @@ class VersionedStore:
             real = df.where(F.col(M) != 0)  # heartbeats only move the frontier
             is_open = open_at(self.coords, was) if was is not None else F.lit(True)
             step = state["step"] + 1
-            self._write(real.where(~is_open), f"late/step={step}")
             word = dict(state["word"])
-            if len(self.coords) == 1:
-                who = F.col(self.side).cast("string") if self.side else F.lit("")
-                for r in df.groupBy(who.alias("side")).agg(F.max(self.coords[0]).alias("seen")).where("seen is not null").collect():  # a row an input
+            who = F.col(self.side).cast("string") if self.side else F.lit("")
+            seen = F.max(self.coords[0]) if len(self.coords) == 1 else F.lit(None)
+            heard = df.groupBy(who.alias("side")).agg(seen.alias("seen"), F.count(F.when((F.col(M) != 0) & ~is_open, 1)).alias("late")).collect()  # a row an input
+            for r in heard:
+                if r.seen is not None:
                     word[r.side] = [(max(r.seen, word[r.side][0][0]) if r.side in word else r.seen,)]
+            if any(r.late for r in heard):
+                self._write(real.where(~is_open), f"late/step={step}")
+            else:
+                drop_folder(self.spark, f"{self.path}/late/step={step}")  # of a batch that did not come to its end
             self._step(state, df.schema, real.where(is_open), {**state, "step": step, "batch": batch_id, "word": word})
         finally:
             df.unpersist()
@@ -166,7 +171,8 @@ class VersionedStore:
         return F.pmod(F.xxhash64(*[F.col(k) for k in self.key]), F.lit(self.buckets)).cast("int") if self.key else F.lit(0)
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", self._bucket()).repartition("_bucket", *self.key)
+        """Dealt by bucket, a file each; Spark splits a bucket that is too large for one task."""
+        return df.withColumn("_bucket", self._bucket()).hint("rebalance", F.col("_bucket"))
 
     def _runs(self, ranges: int) -> list[tuple[int, int, int]]:
         """(level, first range, last range) of the runs of ``ranges`` ranges; a merged run stands for those within it."""
