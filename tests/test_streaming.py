@@ -202,3 +202,17 @@ def test_running_answers_are_jobs_over_stored_rows(spark, tmp_path):
     assert answers.store("t-running", path).frontier == 10
     some = W.stream_reduce(replayed(tr, "t-some"), "key", "value", size, "n bigint")
     assert rows(W.run_to_end(some, "t-some")) == [r for r in want if r[1]]
+
+
+def test_streams_join_over_tables(spark, tmp_path):
+    """Both histories are tables that a batch joins; a second run on the path adds nothing, a lost checkpoint replaces what is there."""
+    from tidemark.scratch import drop_folder
+    a = spark.createDataFrame([(1, 5, 1, 0), (None, 6, 1, 1), (1, 7, -1, 4)], SCHEMA)
+    b = spark.createDataFrame([(1, 50, 1, 3), (None, 60, 2, 0), (1, 50, -1, 5)], SCHEMA).withColumnRenamed("value", "batch")
+    joined = W.stream_join(W.feed([a.where("version < 2"), a.where("version >= 2")], "t-left"), W.feed([b.where("version < 4"), b.where("version >= 4")], "t-right"), ["key"])
+    want = T.join_trace(a, b, ["key"]).select("key", "value", "batch", "version", "multiplicity")
+    in_order = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    path = f"file://{tmp_path}/joined"
+    assert in_order(joined.run("t-joined", path)) == in_order(want)
+    drop_folder(spark, f"{path}/checkpoint")
+    assert in_order(joined.run("t-joined", path)) == in_order(want)

@@ -12,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from tidemark.operators import trace as T
 from tidemark.scratch import new_folder
 from tidemark.sources import M, stream_trace
 from tidemark.streaming.store import VersionedStore
 
-__all__ = ["ClosedAnswers", "VersionedStore", "closed_through", "event_time", "feed", "heartbeat", "run_to_end", "stream_concat", "stream_consolidate", "stream_count", "stream_distinct",
+__all__ = ["ClosedAnswers", "JoinedStreams", "VersionedStore", "closed_through", "event_time", "feed", "heartbeat", "run_to_end", "stream_concat", "stream_consolidate", "stream_count", "stream_distinct",
            "stream_join", "stream_linear", "stream_max", "stream_min", "stream_reduce", "stream_sum"]
 
 def event_time(df: DataFrame, version: str = "version") -> DataFrame:
@@ -45,9 +46,9 @@ def feed(batches: Sequence[DataFrame], name: str, rows_per_file: int = 1_000_000
     return stream_trace(spark, path, batches[0].schema, files)
 
 
-def run_to_end(df: DataFrame | ClosedAnswers, name: str, mode: str = "append") -> DataFrame:
+def run_to_end(df: DataFrame | ClosedAnswers | JoinedStreams, name: str, mode: str = "append") -> DataFrame:
     """Runs the query over all that has arrived and returns what it wrote."""
-    if isinstance(df, ClosedAnswers):
+    if isinstance(df, (ClosedAnswers, JoinedStreams)):
         return df.run(name)
     spark = df.sparkSession
     out, checkpoint = new_folder(spark, name), new_folder(spark, f"{name}-checkpoint")
@@ -75,18 +76,61 @@ def stream_consolidate(stream: DataFrame, record: Sequence[str]) -> DataFrame:
     return grouped.where(F.col(M) != 0).select(*record, M, "version")
 
 
-def stream_join(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Each side's changes meet the other side's history; state grows with history by design.
+class JoinedStreams:
+    """Each side's changes meet the other side's history, at once; both histories are kept as tables, a folder a batch.
 
-    Null keys match, as in the batch join: a state row is found by the key with null made a value.
+    A batch writes its rows, then the changes that they make: new rows of the left with all of the right, and old rows of
+    the left with new ones of the right.  A batch that is given again overwrites its own folders and reads none after it.
     """
-    right = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
-                     *[F.col(c).alias(f"{c}_right" if c in a.columns else c) for c in b.columns if c not in (*key, M, "version")],
-                     F.col(M).alias("_m"), F.col("version").alias("_v"))
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
-    values = [c for c in right.columns if not c.startswith("_")]
-    kept = [c for c in a.columns if c not in (M, "version")]
-    return a.join(right, on, "inner").select(*kept, *values, F.greatest("version", "_v").alias("version"), (F.col(M) * F.col("_m")).alias(M))
+
+    def __init__(self, a: DataFrame, b: DataFrame, key: Sequence[str]):
+        self.spark, self.key, self.sides = a.sparkSession, list(key), (a, b)
+        right = {c: f"{c}_right" if c in a.columns else c for c in b.columns if c not in (*key, M, "version")}
+        out = a.drop(M, "version").schema
+        for c, name in right.items():
+            out = out.add(name, b.schema[c].dataType)
+        self.right, self.schema = right, out.add("version", a.schema["version"].dataType).add(M, LongType())
+
+    def _both(self) -> DataFrame:
+        """One stream of both sides: a row's own columns are in its side's struct."""
+        a, b = (F.struct(*[F.col(c) for c in x.columns]) for x in self.sides)
+        kinds = [x.select(s.alias("s")).schema["s"].dataType for x, s in zip(self.sides, (a, b))]
+        left = self.sides[0].where(F.col(M) != 0).select(F.lit(0).alias("side"), a.alias("_a"), F.lit(None).cast(kinds[1]).alias("_b"))
+        right = self.sides[1].where(F.col(M) != 0).select(F.lit(1).alias("side"), F.lit(None).cast(kinds[0]).alias("_a"), b.alias("_b"))
+        return left.unionByName(right)
+
+    def _rows(self, path: str, side: int, batches: str, last: int) -> DataFrame:
+        """A side's rows of the batches up to ``last`` that ``batches`` names."""
+        own = self.sides[side].schema
+        found = self.spark.read.schema(StructType().add("ab"[side], own).add("batch", IntegerType()).add("side", IntegerType())).parquet(f"{path}/rows")
+        return found.where(F.col("side") == side).where(f"batch {batches} {last}").select(f"{'ab'[side]}.*")
+
+    def _joined(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        moved = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.key)], *[F.col(c).alias(name) for c, name in self.right.items()],
+                             F.col(M).alias("_m"), F.col("version").alias("_v"))
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.key)]
+        kept = [c for c in left.columns if c not in (M, "version")]
+        return left.join(moved, on).select(*kept, *self.right.values(), F.greatest("version", "_v").alias("version"), (F.col(M) * F.col("_m")).alias(M))
+
+    def run(self, name: str, path: str | None = None) -> DataFrame:
+        """Takes all that has arrived and returns the changes so far; an old path goes on where it ended."""
+        path = path or new_folder(self.spark, name)
+
+        def take(df: DataFrame, n: int) -> None:
+            (df.withColumnsRenamed({"_a": "a", "_b": "b"}).withColumn("batch", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch", "side").parquet(f"{path}/rows"))
+            a, b = (lambda how: self._rows(path, 0, how, n)), (lambda how: self._rows(path, 1, how, n))
+            changes = self._joined(a("="), b("<=")).unionByName(self._joined(a("<"), b("=")))
+            changes.write.mode("overwrite").parquet(f"{path}/changes/_batch={n}")
+
+        self.spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{path}/changes/_batch=-1")  # of a stream that brings nothing
+        self._both().writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return self.spark.read.schema(self.schema).parquet(f"{path}/changes").select(*self.schema.names)
+
+
+def stream_join(a: DataFrame, b: DataFrame, key: Sequence[str]) -> JoinedStreams:
+    """Each side's changes meet the other side's history, which grows by design; null keys match, as in the batch join."""
+    return JoinedStreams(a, b, key)
 
 
 class ClosedAnswers:
