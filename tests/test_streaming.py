@@ -216,3 +216,19 @@ def test_streams_join_over_tables(spark, tmp_path):
     assert in_order(joined.run("t-joined", path)) == in_order(want)
     drop_folder(spark, f"{path}/checkpoint")
     assert in_order(joined.run("t-joined", path)) == in_order(want)
+
+
+def test_a_replay_reads_the_trace_a_fixed_number_of_times(spark):
+    """However many batches: the source is scanned for its versions and once more to be dealt, and not for each batch."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    tr = spark.range(40).selectExpr("id % 3 as key", "id as value", "1L as multiplicity", "cast(id as int) as version")
+    stream = replayed(tr.mapInArrow(noted, tr.schema), "t-replay", 5)
+    assert seen.value <= 2 * 40
+    out = W.run_to_end(stream, "t-replay").where("multiplicity <> 0")
+    assert rows(out) == rows(tr)

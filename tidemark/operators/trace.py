@@ -16,7 +16,7 @@ from tidemark.operators.collection import consolidate, difference, join, not_neg
 from tidemark.operators.product import count_product, distinct_product, max_product, min_product, reduce_product, sum_product
 from tidemark.sources import M
 
-__all__ = ["append_trace", "compact", "count_product", "count_trace", "delta_between", "distinct_product", "distinct_trace", "join_trace",
+__all__ = ["append_trace", "changes_of", "compact", "count_product", "count_trace", "delta_between", "distinct_product", "distinct_trace", "join_trace",
            "max_product", "max_trace", "min_product", "min_trace", "reduce_product", "reduce_trace", "snapshot_at", "snapshots", "sum_product", "sum_trace", "versions_of"]
 
 
@@ -31,7 +31,7 @@ def join_trace(a: DataFrame, b: DataFrame, key: Sequence[str], versions: Sequenc
     return out.select(*kept, *[x.alias(v) for x, v in zip(lub, versions)], M)
 
 
-def _as_changes(totals: DataFrame, key: Sequence[str], name: str, version: str) -> DataFrame:
+def changes_of(totals: DataFrame, key: Sequence[str], name: str, version: str) -> DataFrame:
     """-1 for the old and +1 for the new answer wherever it differs."""
     old = F.lag(name).over(Window.partitionBy(*key).orderBy(version))
     pairs = totals.withColumn("_old", old).where(F.col("_old").isNull() | (F.col("_old") != F.col(name)))
@@ -42,7 +42,7 @@ def _as_changes(totals: DataFrame, key: Sequence[str], name: str, version: str)
 def _running(tr: DataFrame, key: Sequence[str], term: Column, name: str, version: str) -> DataFrame:
     summed = tr.groupBy(*key, version).agg(F.coalesce(F.sum(term), F.lit(0)).alias("_d"))
     w = Window.partitionBy(*key).orderBy(version).rowsBetween(Window.unboundedPreceding, 0)
-    return _as_changes(summed.select(*key, version, F.sum("_d").over(w).alias(name)), key, name, version)
+    return changes_of(summed.select(*key, version, F.sum("_d").over(w).alias(name)), key, name, version)
 
 
 def count_trace(tr: DataFrame, key: Sequence[str], version: str = "version") -> DataFrame:
@@ -59,7 +59,7 @@ def _extreme(tr: DataFrame, key, value: str, version: str, greatest: bool, inser
     if insert_only:
         best = tr.groupBy(*key, version).agg(pick(value).alias("_d"))
         w = Window.partitionBy(*key).orderBy(version).rowsBetween(Window.unboundedPreceding, 0)
-        return _as_changes(best.select(*key, version, pick("_d").over(w).alias(name)), key, name, version)
+        return changes_of(best.select(*key, version, pick("_d").over(w).alias(name)), key, name, version)
     kind = dict(tr.dtypes)[value]
     present = tr.where(F.col(value).isNotNull())
     if spread > 1:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.operators import collection as C, trace as T
 from tidemark.sources import M, collection, trace
@@ -106,12 +106,26 @@ def join_count(a: DataFrame, b: DataFrame, key: str = "key", null_keys: bool = T
     A version whose changes cancel keeps its row, so that the key counts 0 and is not unknown.
     Null keys match each other; ``null_keys=False`` says that there are none, which saves an exchange.
 
-    The count needs no values: each side shrinks to one net change for each (key, version) before
-    the join, which keeps hot keys at one row a version.
+    The count needs no values: each side shrinks to one net change for each (key, version) first,
+    which keeps hot keys at one row a version; in product order these are joined.
     """
+    if len(versions) == 1:
+        left, right = (x.select(key, M, *versions, F.lit(i).alias("side")) for i, x in enumerate((a, b)))
+        both = left.unionByName(right)
+        return join_count_of_sides(both if null_keys else both.where(F.col(key).isNotNull()), key, *versions)
     left, right = (x.groupBy(key, *versions).agg(F.sum(M).alias(M)).select(key, M, *versions) for x in (a, b))
-    joined = T.join_trace(left, right, [key], versions, null_keys)
-    return T.count_trace(joined, [key], *versions) if len(versions) == 1 else T.count_product(joined, [key], versions)
+    return T.count_product(T.join_trace(left, right, [key], versions, null_keys), [key], versions)
+
+
+def join_count_of_sides(both: DataFrame, key: str = "key", version: str = "version") -> DataFrame:
+    """``join_count`` of one table whose ``side`` is 0 or 1, in total order: no join, as a key's count is the product of both sides' running counts.
+
+    It is known from the version on at which both sides have had a record.
+    """
+    counts = [F.sum(F.when(F.col("side") == i, F.col(M))).alias(f"_n{i}") for i in (0, 1)]
+    w = Window.partitionBy(key).orderBy(version).rowsBetween(Window.unboundedPreceding, 0)
+    running = both.groupBy(key, version).agg(*counts).select(key, version, (F.sum("_n0").over(w) * F.sum("_n1").over(w)).alias("count"))
+    return T.changes_of(running.where("count is not null"), [key], "count", version)
 
 
 def lines_per_customer(spark, sf_dir) -> DataFrame:

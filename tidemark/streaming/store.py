@@ -208,9 +208,10 @@ class VersionedStore:
             closing = due.where(~open_at(self.coords, high))
             touched = touched.unionByName(closing.select("_k", "_b")).distinct()
         buckets = sorted(r._b for r in touched.select("_b").distinct().collect())  # at most as many as there are buckets
-        own = self.history(schema, n + 1, buckets) if len(self.coords) > 1 else self._folded(self.history(schema, n, buckets), n).unionByName(new)
-        own = own.join(touched.select(F.col("_k").alias("_t")), self._key_struct() == F.col("_t"), "left_semi")
-        if len(self.coords) > 1:
+        own = self.history(schema, n + (len(self.coords) > 1), buckets).join(touched.select(F.col("_k").alias("_t")), self._key_struct() == F.col("_t"), "left_semi")
+        if len(self.coords) == 1:
+            own = self._folded(own, n).unionByName(new)  # only what is touched is folded
+        else:
             bounds = lub_closure(own.select(self._key_struct().alias("_k"), *self.coords), self.coords).where(open_at(self.coords, high))
             noted = bounds.withColumn("_b", F.pmod(F.xxhash64(*[F.col("_k")[k] for k in self.key]), F.lit(self.buckets)).cast("int"))
             rest = due.where(open_at(self.coords, high)).select(*noted.columns)
